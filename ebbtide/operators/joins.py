@@ -276,4 +276,4 @@ def value_count_panel(
     wide = long.groupBy(*keys).agg(
         *[F.max(F.when(F.col(kind) == k, F.col(value))).alias(n) for k, n in names.items()]
     )
-    return wide.na.drop("any", list(names.values()))
+    return wide.na.drop(how="any", subset=list(names.values()))

@@ -211,8 +211,7 @@ def entity_day_exact(tx: DataFrame, entity: Sequence[str], day: str = "sale_date
         F.count(F.lit(1)).alias("invoices"),
         F.sum("lines").alias("lines"),
         F.avg(F.col("electronic").cast("double")).alias("electronic_share"),
-        F.avg(double("net")).alias("avg_invoice"),
-    )
+    ).withColumn("avg_invoice", double("sales") / F.col("invoices"))
     people = (
         tx.select(*keys, observed_customer().alias("_c")).where("_c is not null").distinct()
         .groupBy(*keys).agg(F.count(F.lit(1)).alias("customers"))

@@ -222,7 +222,7 @@ def category_week_panel(t):
     f"""WITH {SALES}, inv AS (SELECT region, category AS sector, sale_date, transaction_number, sum(net_sales) AS net,
    max(CAST(electronic AS INTEGER)) AS e, count(*) AS lines FROM sales GROUP BY 1, 2, 3, 4),
  d AS (SELECT region, sector, sale_date, sum(net) AS sales, count(*) AS invoices, sum(lines) AS lines,
-   avg(CAST(e AS DOUBLE)) AS electronic_share, avg(CAST(net AS DOUBLE)) AS avg_invoice FROM inv GROUP BY 1, 2, 3),
+   avg(CAST(e AS DOUBLE)) AS electronic_share, CAST(sum(net) AS DOUBLE) / count(*) AS avg_invoice FROM inv GROUP BY 1, 2, 3),
  c AS (SELECT region, category AS sector, sale_date, count(DISTINCT customer_key) AS customers FROM sales GROUP BY 1, 2, 3)
  SELECT * FROM d JOIN c USING (region, sector, sale_date)""",
 )
@@ -255,7 +255,7 @@ def sector_day_panel(t):
 
 @query(
     "merchant_rollup",
-    "date:d sales:f4 gross:f4 returns:f4 units:f4 invoices:i basket:f4 return_rate:f",
+    "date:d sales:f4 gross:f4 returns:f4 units:f4 invoices:i basket:f1 return_rate:f",
     f"""WITH {panel_sql()}, g AS (SELECT date, sum(sales) AS sales, sum(gross) AS gross, sum(returns) AS returns, sum(units) AS units,
    sum(invoices) AS invoices FROM panel GROUP BY 1)
  SELECT *, sales / greatest(invoices, 1.0) AS basket, returns / greatest(gross, 1.0) AS return_rate FROM g""",
@@ -266,7 +266,7 @@ def merchant_rollup(t):
 
 @query(
     "market_rollup",
-    "week_start:d gross:f4 lines:i entities:i avg_ticket:f4",
+    "week_start:d gross:f4 lines:i entities:i avg_ticket:f1",
     f"""WITH {week_panel_sql('region')} SELECT week_start, sum(gross) AS gross, sum(lines) AS lines, count(*) AS entities,
    sum(gross) / nullif(sum(lines), 0) AS avg_ticket FROM wpanel GROUP BY 1""",
 )

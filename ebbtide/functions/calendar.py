@@ -103,10 +103,11 @@ def next_days_count(day: Column, flag, days: int = 7) -> Column:
 
 def next7_counts(df: DataFrame, day: str, windows: Mapping[str, Windows]) -> DataFrame:
     """Known-in-advance flags counted over the coming week."""
-    out = {
-        f"{name}_next7": next_days_count(F.col(day), lambda d, w=w: in_windows(d, w))
-        for name, w in windows.items()
-    }
+
+    def inside(w: Windows):
+        return lambda d: in_windows(d, w)
+
+    out = {f"{name}_next7": next_days_count(F.col(day), inside(w)) for name, w in windows.items()}
     out["weekend_next7"] = next_days_count(F.col(day), is_weekend)
     return df.withColumns(out)
 

@@ -117,7 +117,7 @@ def first_rejections(t):
 
 _SALES_COLS = (
     "sale_date:d transaction_number:s transaction_type:s sku:s product_name:s customer_key:s channel:s franchise:s "
-    "quantity:i unit_price:f4 discount_amount:f4 discount_percent:f gross_sales:f4 net_sales:f4 vat_amount:f4 total_amount:f4"
+    "quantity:i unit_price:f4 discount_amount:f4 discount_percent:f2 gross_sales:f4 net_sales:f4 vat_amount:f4 total_amount:f4"
 )
 
 

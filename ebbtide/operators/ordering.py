@@ -13,9 +13,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ebbtide.session import ensure_checkpoint_dir
+
 BUCKETS = 64
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Write a reused frame once to the shared checkpoint folder, so its
+    inputs are not computed again for every use."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def cut_points(df: DataFrame, col: str, buckets: int = BUCKETS) -> list[float]:
     """At most `buckets - 1` values that split the column about evenly.
 
@@ -27,14 +36,15 @@ def cut_points(df: DataFrame, col: str, buckets: int = BUCKETS) -> list[float]:
     return sorted(set(row["cuts"] or []))
 
 
-def range_bucket(value: Column, cuts: Sequence[float]) -> Column:
-    """Index of the range holding the value: a balanced decision over the cuts."""
+def range_bucket(value: Column, cuts: Sequence[float], strict: bool = False) -> Column:
+    """How many cuts are <= value (< value when strict), as a balanced decision."""
 
     def pick(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(value < cuts[mid], pick(lo, mid)).otherwise(pick(mid + 1, hi))
+        left = value <= cuts[mid] if strict else value < cuts[mid]
+        return F.when(left, pick(lo, mid)).otherwise(pick(mid + 1, hi))
 
     return pick(0, len(cuts))
 
@@ -50,7 +60,7 @@ def running_totals(
     """One row per (by, value) with its measures, `cum_*` up to and including
     it in value order, and `total_*` of the group."""
     by = list(by)
-    reduced = df.groupBy(*by, value).agg(*[F.sum(m).alias(n) for n, m in measures.items()])
+    reduced = settle(df.groupBy(*by, value).agg(*[F.sum(m).alias(n) for n, m in measures.items()]))
     cuts = cut_points(df, value, buckets)
     reduced = reduced.withColumn("_range", range_bucket(F.col(value), cuts))
     order = F.col(value).desc() if descending else F.col(value).asc()
@@ -105,6 +115,32 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence
     return out.select(*by, "n", *cols)
 
 
+def quantile_grid(df: DataFrame, value: str, qs: Sequence[float]) -> list[float]:
+    """Many exact quantiles of one column, returned as a short list.
+
+    Each distinct value emits only the grid positions that fall on it.
+    """
+    ranked = running_totals(df.where(F.col(value).isNotNull()), value, {"n": F.lit(1)})
+    grid = F.array(*[F.lit(float(q)) for q in qs])
+    first, last = F.col("cum_n") - F.col("n"), F.col("cum_n")
+
+    def hits(index) -> Column:
+        return F.filter(grid, lambda q: (index(q * (F.col("total_n") - 1)) >= first) & (index(q * (F.col("total_n") - 1)) < last))
+
+    x = F.col(value).cast("double")
+    lo = ranked.select(F.explode(hits(F.floor)).alias("q"), x.alias("lo"), F.lit(None).cast("double").alias("hi"), "total_n")
+    hi = ranked.select(F.explode(hits(F.ceil)).alias("q"), F.lit(None).cast("double").alias("lo"), x.alias("hi"), "total_n")
+    pos = F.col("q") * (F.col("n") - 1)
+    rows = (
+        lo.unionByName(hi)
+        .groupBy("q")
+        .agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.max("total_n").alias("n"))
+        .select("q", (F.col("lo") + (F.col("hi") - F.col("lo")) * (pos - F.floor(pos))).alias("v"))
+        .collect()
+    )
+    return sorted({r["v"] for r in rows})
+
+
 def melt(df: DataFrame, keys: Sequence[str], columns: Sequence[str], name: str = "feature", value: str = "value") -> DataFrame:
     """Wide to long."""
     return df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ebbtide.functions.calendar import week_start_sunday
 from ebbtide.functions.scalars import clip
 from ebbtide.operators import panels
+from ebbtide.operators.ordering import settle
 from ebbtide.operators.windows import Series, below
 from ebbtide.sources.tables import Tables
 
@@ -159,3 +160,8 @@ def scores_sql(entity: str = "category") -> str:
 
 def with_week(df: DataFrame, day: str = "date") -> DataFrame:
     return df.withColumn("week_start", week_start_sunday(F.col(day)))
+
+
+def settled_scores(t: Tables, entity: str = "category") -> DataFrame:
+    """Scores written once, for queries that read them several times."""
+    return settle(scores(t, entity))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbtide.functions.scalars import pct_points, severity
+from ebbtide.operators.ordering import settle
 from ebbtide.operators.panels import double, observed_customer, transaction_level
 
 MIN_SIGNAL_PCT = 2.0
@@ -98,6 +99,8 @@ def _signal(totals: DataFrame, by: Sequence[str], code: str, measure: str, guard
 def decline_signals(tagged: DataFrame, by: Sequence[str] = (), channel: str = "channel", product: str = "product_name") -> DataFrame:
     """One row per signal with its two window values."""
     by = list(by)
+    # two short windows of rows, read by six signals
+    tagged = settle(tagged)
     totals = period_totals(tagged, by)
     rows = _signal(totals, by, "quantity_decline", "quantity", None)
     rows = rows.unionByName(_signal(totals, by, "active_customer_decline", "customers", "previous"))

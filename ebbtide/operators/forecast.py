@@ -533,10 +533,13 @@ def horizon_change(path: DataFrame, keys: Sequence[str]) -> DataFrame:
 def quality_summary(metrics: DataFrame) -> DataFrame:
     """WAPE as percent and as a 0-100 quality figure; total error first."""
     main = F.coalesce("total_wape", "wape")
-    pct = lambda c: F.greatest(F.lit(0.0), c * 100.0)
+
+    def pct(c: Column) -> Column:
+        return F.when(c.isNotNull(), F.greatest(F.lit(0.0), c * 100.0))
+
     return metrics.withColumns(
         {
-            "accuracy_proxy_pct": F.greatest(F.lit(0.0), F.least(F.lit(100.0), (1.0 - main) * 100.0)),
+            "accuracy_proxy_pct": F.when(main.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), (1.0 - main) * 100.0))),
             "error_wape_pct": pct(main),
             "daily_wape_pct": pct(F.col("wape")),
             "horizon_total_wape_pct": pct(F.col("total_wape")),

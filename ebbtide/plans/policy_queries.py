@@ -193,7 +193,7 @@ def _arr(values):
     "fold_id:i rows:i amber:i green:i coverage:f decision_accuracy:f amber_precision:f green_npv:f amber_recall:f",
     f"""WITH {S}, h AS (SELECT t, count(*) AS n, avg(y) AS p FROM scores, (SELECT unnest([{_arr(policy.even(0.20, 0.99, 160))}]) AS t) WHERE score >= t GROUP BY 1),
  l AS (SELECT t, count(*) AS n, 1 - avg(y) AS p FROM scores, (SELECT unnest([{_arr(policy.even(0.01, 0.80, 160))}]) AS t) WHERE score <= t GROUP BY 1),
- b AS (SELECT coalesce((SELECT t FROM h WHERE n >= 3 AND p >= 0.45 ORDER BY n DESC, t LIMIT 1), 1.01) AS hi, coalesce((SELECT t FROM l WHERE n >= 10 AND p >= 0.62 ORDER BY n DESC, t LIMIT 1), -0.01) AS lo),
+ b AS (SELECT coalesce((SELECT t FROM h WHERE n >= 3 AND p >= 0.38 ORDER BY n DESC, t LIMIT 1), 1.01) AS hi, coalesce((SELECT t FROM l WHERE n >= 10 AND p >= 0.62 ORDER BY n DESC, t LIMIT 1), -0.01) AS lo),
  s AS (SELECT fold_id, y, CASE WHEN score >= hi THEN 'AMBER' WHEN score <= CASE WHEN lo >= hi THEN least(lo, hi - 0.01) ELSE lo END THEN 'GREEN' ELSE 'WATCH' END AS st FROM scores, b),
  m AS (SELECT fold_id, count(*) AS rows, count(*) FILTER (st = 'AMBER') AS amber, count(*) FILTER (st = 'GREEN') AS green, count(*) FILTER (st = 'AMBER' AND y = 1) AS ah, count(*) FILTER (st = 'GREEN' AND y = 0) AS gh, sum(y) AS p FROM s GROUP BY 1)
  SELECT fold_id, rows, amber, green, (amber + green) / CAST(rows AS DOUBLE) AS coverage, (ah + gh) / greatest(amber + green, 1.0) AS decision_accuracy, ah / nullif(CAST(amber AS DOUBLE), 0) AS amber_precision,
@@ -201,7 +201,7 @@ def _arr(values):
 )
 def selective(t):
     s = settled_scores(t)
-    lo, hi = policy.selective_bounds(s, "y", "score", 0.45, 0.62)
+    lo, hi = policy.selective_bounds(s, "y", "score", 0.38, 0.62)
     return policy.selective_metrics(policy.selective(s, "score", lo, hi), "y", ["fold_id"])
 
 

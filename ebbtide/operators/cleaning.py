@@ -8,26 +8,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ebbtide.operators.ordering import running_totals
+from ebbtide.operators.ordering import settle
 
 MONEY = "decimal(18,4)"
 
-# Accepted date texts, tried in this order.
-ISO_FORMATS = ("yyyy-M-d", "yyyy-M-d H:m:s")
-DAY_FIRST = ("d/M/yyyy H:m", "d/M/yyyy")
-MONTH_FIRST = ("M/d/yyyy H:m", "M/d/yyyy")
+# The accepted date texts. A clock time has 1-2 digit parts after
+# a plain date and two-digit parts in ISO-8601, where an offset may follow.
+CLOCK = r"([01]?\d|2[0-3]):[0-5]?\d"
+ISO_CLOCK = r"([01]\d|2[0-3])(:[0-5]\d(:[0-5]\d([.,]\d+)?)?)?(Z|[+-]\d{2}(:?\d{2})?)?"
+DASHED = rf"^\d{{4}}-(\d{{1,2}}-\d{{1,2}}( {CLOCK}:[0-5]?\d)?|\d{{2}}-\d{{2}}[T ]{ISO_CLOCK})$"
+SLASHED = rf"^\d{{1,2}}/\d{{1,2}}/\d{{4}}( {CLOCK})?$"
+COMPACT = r"^\d{8}$"
 
 
 def parse_date(text: Column, month_first: bool = False) -> Column:
-    """The date, or NULL when no accepted format fits."""
+    """The date, or NULL when no accepted format fits.
+
+    ISO forms come first. Slashed dates are read day first, or month first
+    when asked, and the other way round when that is no date. A pattern finds
+    the form and the parts are put in ISO order for a cast, so no parser
+    fails by exception and the expression stays small enough to be compiled.
+    """
     c = F.trim(text)
-    slash = MONTH_FIRST + DAY_FIRST if month_first else DAY_FIRST + MONTH_FIRST
-    tries = [F.try_to_timestamp(c, F.lit(f)).cast("date") for f in (*ISO_FORMATS, *slash)]
-    iso = F.when(
-        c.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?$"),
-        F.try_to_timestamp(F.substring(c, 1, 10), F.lit("yyyy-MM-dd")).cast("date"),
+
+    def reordered(pattern: str, order: str) -> Column:
+        return F.regexp_replace(c, pattern, order).try_cast("date")
+
+    slashed, compact = r"^(\d{1,2})/(\d{1,2})/(\d{4}).*$", r"^(\d{4})(\d{2})(\d{2})$"
+    first, second = ("$3-$1-$2", "$3-$2-$1") if month_first else ("$3-$2-$1", "$3-$1-$2")
+    return (
+        F.when(c.rlike(DASHED), c.try_cast("date"))
+        .when(c.rlike(SLASHED), F.coalesce(reordered(slashed, first), reordered(slashed, second)))
+        .when(c.rlike(COMPACT), reordered(compact, "$1-$2-$3"))
     )
-    return F.coalesce(*tries, iso)
 
 
 def parse_decimal(text: Column, default: Column | str = "0") -> Column:
@@ -235,7 +248,7 @@ def money_mismatch(df: DataFrame, subtotal: str, vat: str, total: str, rate: str
 
 
 def gross_return_split(df: DataFrame, net: str) -> DataFrame:
-    zero = F.lit(0).cast("decimal(20,4)")
+    zero = F.lit(0).cast(MONEY)
     return df.withColumns({"gross": F.greatest(F.col(net), zero), "returns": F.greatest(-F.col(net), zero)})
 
 
@@ -365,21 +378,31 @@ def weighted_bucket(key: Column, weights: Mapping[str, float]) -> Column:
     return F.lit(names[-1]) if out is None else out.otherwise(names[-1])
 
 
-def quota_assign(keys: DataFrame, key: str, group: str, share: Column, salt: str) -> DataFrame:
+def quota_assign(keys: DataFrame, key: str, group: str, share: Column, salt: str, ranges: int = 1024) -> DataFrame:
     """Exactly round(share * n) keys of each group get `in_quota`, in hash
     order.
 
-    Positions come from running totals over hash ranges, so a group of any
-    size is never ordered in one task. `share` may depend on the group.
+    The hash range is cut evenly, keys are numbered inside each cut and
+    shifted by the sizes of the cuts before it, so a group of any size is
+    ordered by many tasks. `share` may depend on the group.
     """
     k = keys.select(group, key).distinct().withColumn(
         "_h", stable_int(F.concat(F.lit(f"{salt}:"), F.col(group), F.lit(":"), F.col(key)), 10**15)
     )
-    counts = running_totals(k, "_h", {"n": F.lit(1)}, [group])
-    tie = Window.partitionBy(group, "_h").orderBy(key)
-    placed = k.withColumn("_tie", F.row_number().over(tie)).join(counts, [group, "_h"])
-    position = F.col("cum_n") - F.col("n") + F.col("_tie")
-    return placed.withColumn("in_quota", position <= F.bround(share * F.col("total_n"))).select(group, key, "in_quota")
+    k = settle(k.withColumn("_cut", F.floor(F.col("_h") / F.lit(10.0**15 / ranges)).cast("int")))
+    before = Window.partitionBy(group).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = k.groupBy(group, "_cut").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.select(
+        group,
+        "_cut",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
+        F.sum("_n").over(Window.partitionBy(group)).alias("_all"),
+    )
+    inside = Window.partitionBy(group, "_cut").orderBy("_h", key)
+    placed = k.withColumn("_row", F.row_number().over(inside)).join(sizes, [group, "_cut"])
+    return placed.select(
+        group, key, (F.col("_start") + F.col("_row") <= F.bround(share * F.col("_all"))).alias("in_quota")
+    )
 
 
 def select_indicator(df: DataFrame, words: Sequence[str], city_total: bool | None = None, sector_total: bool | None = None) -> DataFrame:

@@ -13,26 +13,36 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ebbtide.session import ensure_checkpoint_dir
+from ebbtide.session import work_folder
 
 BUCKETS = 64
+MOST_BUCKETS = 256
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write a reused frame once to the shared checkpoint folder, so its
-    inputs are not computed again for every use."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write a reused frame once as a table in the shared checkpoint folder.
+
+    Its inputs are not computed again for every use, later stages survive the
+    loss of executors, and the optimizer learns the table's size.
+    """
+    path = work_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucket_count(df: DataFrame) -> int:
+    """As many ranges as the session shuffles into, within fixed limits."""
+    return min(MOST_BUCKETS, max(BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def cut_points(df: DataFrame, col: str, buckets: int = BUCKETS) -> list[float]:
+def cut_points(df: DataFrame, col: str, buckets: int) -> list[float]:
     """At most `buckets - 1` values that split the column about evenly.
 
     Only this short list reaches the driver; as literals the cuts stay the
     same when a task is retried.
     """
     probs = [i / buckets for i in range(1, buckets)]
-    row = df.agg(F.percentile_approx(F.col(col).cast("double"), probs, 10000).alias("cuts")).first()
+    row = df.agg(F.percentile_approx(F.col(col).cast("double"), probs, 1000).alias("cuts")).first()
     return sorted(set(row["cuts"] or []))
 
 
@@ -55,13 +65,14 @@ def running_totals(
     measures: dict[str, Column],
     by: Sequence[str] = (),
     descending: bool = False,
-    buckets: int = BUCKETS,
+    cuts: Sequence[float] | None = None,
 ) -> DataFrame:
     """One row per (by, value) with its measures, `cum_*` up to and including
-    it in value order, and `total_*` of the group."""
+    it in value order, and `total_*` of the group. `cuts` may be given when
+    the distribution is known."""
     by = list(by)
     reduced = settle(df.groupBy(*by, value).agg(*[F.sum(m).alias(n) for n, m in measures.items()]))
-    cuts = cut_points(df, value, buckets)
+    cuts = cut_points(reduced, value, bucket_count(df)) if cuts is None else cuts
     reduced = reduced.withColumn("_range", range_bucket(F.col(value), cuts))
     order = F.col(value).desc() if descending else F.col(value).asc()
     inside = Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -55,8 +55,8 @@ def transaction_level(sales: DataFrame) -> DataFrame:
 
 def observed_customer(col: str = "customer_key") -> Column:
     """The key when present and not blank."""
-    c = F.col(col).cast("string")
-    return F.when(F.trim(c) != "", c)
+    c = F.col(col)
+    return F.when(F.trim(c.cast("string")) != "", c)
 
 
 def rich_measures() -> list[Column]:
@@ -152,8 +152,8 @@ def group_panel(tx: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     grouped = tx.groupBy(*keys).agg(
         F.sum("net_sales").alias("sales"),
-        F.sum(F.greatest(F.col("net_sales"), F.lit(0).cast("decimal(20,4)"))).alias("gross"),
-        F.sum(F.greatest(-F.col("net_sales"), F.lit(0).cast("decimal(20,4)"))).alias("returns"),
+        F.sum(F.greatest(F.col("net_sales"), F.lit(0).cast("decimal(18,4)"))).alias("gross"),
+        F.sum(F.greatest(-F.col("net_sales"), F.lit(0).cast("decimal(18,4)"))).alias("returns"),
         F.sum(F.abs("quantity")).alias("units"),
         F.count(F.lit(1)).alias("lines"),
         F.countDistinct("transaction_number").alias("invoices"),

@@ -24,7 +24,10 @@ class Series:
     def __init__(self, keys: Sequence[str] | str, time: str):
         self.keys = [keys] if isinstance(keys, str) else list(keys)
         self.time = time
-        self.order = Window.partitionBy(*self.keys).orderBy(time)
+
+    @property
+    def order(self):
+        return Window.partitionBy(*self.keys).orderBy(self.time)
 
     def frame(self, start: int, end: int):
         return self.order.rowsBetween(start, end)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ebbtide.operators import cleaning
+from ebbtide.operators.ordering import settle
 from ebbtide.plans import base
 from ebbtide.plans.base import COMPANY, SALES, panel_sql
 from ebbtide.plans.registry import query
@@ -27,7 +28,8 @@ def uci_rows(t):
     )
     is_r = F.col("l_returnflag") == "R"
     qty = F.col("l_quantity").cast("decimal(10,0)")
-    return li.select(
+    # written once, as an upload would lie in storage
+    return settle(li.select(
         F.concat(F.when(is_r & (n < 4), F.lit("C")).otherwise(""), F.when(F.col("l_suppkey") == 5, "").otherwise(F.col("l_orderkey").cast("string"))).alias("InvoiceNo"),
         F.concat(F.lit(" "), F.col("l_partkey").cast("string")).alias("StockCode"),
         F.when(n == 1, "").otherwise(F.concat(F.lit("Item "), F.col("l_partkey"))).alias("Description"),
@@ -37,7 +39,7 @@ def uci_rows(t):
         F.when(n == 2, "").otherwise(F.col("l_suppkey").cast("string")).alias("CustomerID"),
         F.when(n == 3, "").otherwise("Saudi Arabia").alias("Country"),
         (F.col("l_orderkey") * 10 + n).alias("row_no"),
-    )
+    ))
 
 
 UCI = """uci AS (SELECT

@@ -46,7 +46,9 @@ def _spark_value(name: str, kind: str):
         return c.cast("bigint")
     if kind[0] == "f":
         scale = 10.0 ** _digits(kind)
-        return F.floor(c.cast("double") * scale + 0.5) / F.lit(scale)
+        x = c.cast("double") * scale
+        # beyond 9e15 a double has no fraction left to round
+        return F.when(F.abs(x) < 9e15, F.floor(x + 0.5) / F.lit(scale)).otherwise(c.cast("double"))
     if kind == "b":
         return c.cast("boolean")
     if kind == "a":
@@ -59,7 +61,8 @@ def _sql_value(name: str, kind: str) -> str:
         return f"CAST({name} AS BIGINT)"
     if kind[0] == "f":
         scale = f"{10.0 ** _digits(kind):.1f}"
-        return f"floor(CAST({name} AS DOUBLE) * CAST({scale} AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST({scale} AS DOUBLE)"
+        x = f"CAST({name} AS DOUBLE) * CAST({scale} AS DOUBLE)"
+        return f"CASE WHEN abs({x}) < 9e15 THEN floor({x} + CAST(0.5 AS DOUBLE)) / CAST({scale} AS DOUBLE) ELSE CAST({name} AS DOUBLE) END"
     if kind == "b":
         return f"CAST({name} AS BOOLEAN)"
     if kind == "a":

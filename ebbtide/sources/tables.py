@@ -20,8 +20,8 @@ FACT = {
     "discount_amount": lambda: F.col("l_extendedprice").cast("decimal(14,2)")
     * F.col("l_discount").cast("decimal(4,2)"),
     "net_sales": lambda: _net(),
-    "gross_sales": lambda: F.greatest(_net(), F.lit(0).cast("decimal(20,4)")),
-    "return_value": lambda: F.greatest(-_net(), F.lit(0).cast("decimal(20,4)")),
+    "gross_sales": lambda: F.greatest(_net(), F.lit(0).cast("decimal(18,4)")),
+    "return_value": lambda: F.greatest(-_net(), F.lit(0).cast("decimal(18,4)")),
     "vat_amount": lambda: _net() * F.col("l_tax").cast("decimal(4,2)"),
     "line_status": lambda: F.col("l_linestatus"),
     "line_number": lambda: F.col("l_linenumber"),
@@ -38,7 +38,7 @@ def _net():
         F.lit(1).cast("decimal(1,0)") - F.col("l_discount").cast("decimal(4,2)")
     )
     signed = F.when(F.col("l_returnflag") == "R", -amount).otherwise(amount)
-    return signed.cast("decimal(20,4)")
+    return signed.cast("decimal(18,4)")
 
 
 class Tables:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,7 +12,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ebbtide.functions.scalars import safe_ratio
 from ebbtide.operators.policy import confusion, rates
-from ebbtide.session import ensure_checkpoint_dir
+from ebbtide.session import work_folder
+
+__all__ = ["work_folder"]
 
 EVENTS = T.StructType(
     [
@@ -35,12 +36,6 @@ def read_folder(spark: SparkSession, folder: str, schema: T.StructType, pattern:
     return reader.parquet(folder)
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
 def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Process everything available into a Parquet table and read it.
 

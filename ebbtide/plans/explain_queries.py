@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ebbtide.operators import explain
-from ebbtide.plans import base
 from ebbtide.plans.base import SALES
 from ebbtide.plans.join_queries import run_table
-from ebbtide.plans.policy_queries import regimes, REG
+from ebbtide.plans.policy_queries import REG, regimes
 from ebbtide.plans.registry import query
 from ebbtide.sources import sinks
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ebbtide.operators import analysis, forecast, policy
 from ebbtide.operators.ordering import settle
 from ebbtide.plans import base
-from ebbtide.plans.base import COMPANY, panel_sql
+from ebbtide.plans.base import panel_sql
 from ebbtide.plans.registry import query
 from ebbtide.plans.window_queries import frame, lag
 

@@ -9,7 +9,7 @@ from ebbtide.operators import evidence, mix
 from ebbtide.operators.panels import double
 from ebbtide.operators.windows import Series
 from ebbtide.plans import base
-from ebbtide.plans.base import SALES, panel_sql, scores_sql
+from ebbtide.plans.base import SALES, panel_sql
 from ebbtide.plans.calendar_queries import _SIGNALS, count_sql, weekly_signals
 from ebbtide.plans.join_queries import OVERLAP, SUNDAY
 from ebbtide.plans.registry import query

@@ -9,7 +9,7 @@ from ebbtide.operators.ordering import settle
 from ebbtide.operators.windows import Series, below
 from ebbtide.plans import base
 from ebbtide.plans.base import scores_sql, settled_scores, week_panel_sql
-from ebbtide.plans.policy_queries import FOLD_WINDOWS, TYPES, WSCORES, weekly_scores
+from ebbtide.plans.policy_queries import FOLD_WINDOWS, TYPES
 from ebbtide.plans.quality_queries import FEATURES, _MELT
 from ebbtide.plans.registry import query
 from ebbtide.plans.window_queries import lag, roll

@@ -8,6 +8,7 @@ from ebbtide.plans import base
 from ebbtide.plans.base import scores_sql
 from ebbtide.plans.policy_queries import RATES, conf
 from ebbtide.plans.registry import query
+from ebbtide.session import work_folder
 from ebbtide.streaming import streams
 
 
@@ -22,7 +23,7 @@ def events(t):
 )
 def ingest_stream(t):
     twice = events(t).unionByName(events(t))
-    return streams.run_to_table(streams.ingest_stream(twice), streams.work_folder(t.spark, "ingest"))
+    return streams.run_to_table(streams.ingest_stream(twice), work_folder(t.spark, "ingest"))
 
 
 @query(
@@ -32,7 +33,7 @@ def ingest_stream(t):
  SELECT CAST(ts AS DATE) AS day, sum(CAST(value AS DECIMAL(18,4))) AS total, count(*) AS n FROM events, b GROUP BY 1, wm HAVING CAST(ts AS DATE) + 1 <= wm""",
 )
 def daily_stream(t):
-    return streams.run_to_table(streams.daily_stream(events(t)), streams.work_folder(t.spark, "daily"))
+    return streams.run_to_table(streams.daily_stream(events(t)), work_folder(t.spark, "daily"))
 
 
 @query(
@@ -43,12 +44,12 @@ def daily_stream(t):
  SELECT w.start, w.total, w.n, p.total AS previous, CAST(w.total - p.total AS DOUBLE) / abs(CAST(p.total AS DOUBLE)) AS change FROM w LEFT JOIN w p ON p.start = w.start - 7""",
 )
 def sliding_change_stream(t):
-    return streams.sliding_change_stream(events(t), streams.work_folder(t.spark, "sliding"))
+    return streams.sliding_change_stream(events(t), work_folder(t.spark, "sliding"))
 
 
 def score_files(t):
     """Scores as a folder a stream can read."""
-    folder = streams.work_folder(t.spark, "scores")
+    folder = work_folder(t.spark, "scores")
     base.scores(t).select("entity", "date", "score", "y").write.parquet(folder)
     return folder
 
@@ -70,7 +71,7 @@ def percentile_stream(t):
     from pyspark.sql import types as T
 
     source = streams.read_folder(t.spark, score_files(t), T.StructType.fromDDL(_SCORES))
-    return streams.run_to_table(streams.percentile_stream(source, 0.55), streams.work_folder(t.spark, "percentile"))
+    return streams.run_to_table(streams.percentile_stream(source, 0.55), work_folder(t.spark, "percentile"))
 
 
 @query(
@@ -90,7 +91,7 @@ def matched(t):
     right = streams.read_folder(t.spark, folder, schema).select(
         "entity", F.date_add("date", 7).cast("timestamp").alias("known_at"), "y"
     )
-    return streams.run_to_table(streams.delayed_label_stream(left, right), streams.work_folder(t.spark, "labels"))
+    return streams.run_to_table(streams.delayed_label_stream(left, right), work_folder(t.spark, "labels"))
 
 
 @query(

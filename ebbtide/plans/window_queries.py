@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from ebbtide.functions.scalars import safe_ratio
 from ebbtide.operators import history, windows
-from ebbtide.operators.panels import double
 from ebbtide.operators.windows import Series, below
 from ebbtide.plans import base
-from ebbtide.plans.base import COMPANY, SALES, panel_sql, scores_sql, week_panel_sql
+from ebbtide.plans.base import COMPANY, panel_sql, scores_sql, week_panel_sql
 from ebbtide.plans.registry import query
 
 DAY = Series("entity", "date")

@@ -12,9 +12,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ebbtide.functions.scalars import safe_ratio
 from ebbtide.operators.policy import confusion, rates
-from ebbtide.session import work_folder
-
-__all__ = ["work_folder"]
 
 EVENTS = T.StructType(
     [

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.functions.calendar import week_start_sunday
 from ebbtide.functions.scalars import safe_ratio
+from ebbtide.operators.ordering import settle
 from ebbtide.operators.windows import Series
 
 
@@ -230,32 +231,29 @@ def set_overlap(
     """Items kept, new and dropped per group and period against the union of
     the `back` periods before.
 
-    Each membership is copied forward to the periods it serves as history for
-    (a fixed factor), then one grouping by item decides; no group is joined
-    with itself. Periods present in the data get a row each.
+    Each membership is copied to its own period and, as history, to the ones
+    after it - a fixed factor in one scan - and one grouping by item decides;
+    no group is joined with itself. Periods present in the data get a row each.
     """
-    base = members.select(*group, period, item).distinct()
-    forward = base.select(
-        *group,
-        F.explode(
-            F.transform(F.sequence(F.lit(1), F.lit(back)), lambda i: F.date_add(F.col(period), i * step_days))
-        ).alias(period),
-        item,
+    copies = F.transform(
+        F.sequence(F.lit(0), F.lit(back)),
+        lambda i: F.struct(F.date_add(F.col(period), i * step_days).alias("at"), (i == 0).cast("int").alias("now")),
     )
-    marked = base.withColumns({"_now": F.lit(1), "_before": F.lit(0)}).unionByName(
-        forward.withColumns({"_now": F.lit(0), "_before": F.lit(1)})
+    spread = members.select(*group, item, F.explode(copies).alias("_c"))
+    per_item = spread.groupBy(*group, F.col("_c.at").alias(period), item).agg(
+        F.max("_c.now").alias("_now"), F.max(1 - F.col("_c.now")).alias("_before")
     )
-    per_item = marked.groupBy(*group, period, item).agg(
-        F.max("_now").alias("_now"), F.max("_before").alias("_before")
-    )
-    counts = per_item.groupBy(*group, period).agg(
-        F.sum("_now").alias("current_items"),
-        F.sum("_before").alias("previous_items"),
-        F.sum(F.col("_now") * F.col("_before")).alias("kept"),
-        F.sum(F.col("_now") * (1 - F.col("_before"))).alias("new"),
-        F.sum((1 - F.col("_now")) * F.col("_before")).alias("dropped"),
+    counts = settle(
+        per_item.groupBy(*group, period).agg(
+            F.sum("_now").alias("current_items"),
+            F.sum("_before").alias("previous_items"),
+            F.sum(F.col("_now") * F.col("_before")).alias("kept"),
+            F.sum(F.col("_now") * (1 - F.col("_before"))).alias("new"),
+            F.sum((1 - F.col("_now")) * F.col("_before")).alias("dropped"),
+        )
     )
-    return counts.join(base.select(period).distinct(), period, "left_semi")
+    present = counts.where("current_items > 0").select(period).distinct()
+    return counts.join(present, period, "left_semi")
 
 
 def reconcile(parts: DataFrame, total: DataFrame, period: str, value: str, tolerance: float = 1e-4) -> DataFrame:

@@ -298,12 +298,15 @@ def calibration_audit(lines: DataFrame, line_id: Sequence[str], payments: DataFr
     return missing.join(F.broadcast(repeated)).join(F.broadcast(mixed))
 
 
-def residual_entity(parts: DataFrame, total: DataFrame, period: str, entity: str, value: str, name: str = "OTHER") -> DataFrame:
-    """Add the entity that makes the named ones sum to the published total."""
+def residual_entity(parts: DataFrame, total: DataFrame, period: str, entity: str, value: str, name: str = "OTHER", strict: bool = True) -> DataFrame:
+    """Add the entity that makes the named ones sum to the published total.
+
+    A strict call refuses periods in which nothing positive is left.
+    """
     named = parts.groupBy(period).agg(F.sum(value).alias("_named"))
     rest = total.select(period, F.col(value).alias("_total")).join(named, period).select(
         period, F.lit(name).alias(entity), (F.col("_total") - F.col("_named")).alias(value)
     )
-    if rest.where(F.col(value) <= 0).limit(1).count():
+    if strict and rest.where(F.col(value) <= 0).limit(1).count():
         raise ValueError("a residual is not positive")
     return parts.select(period, entity, value).unionByName(rest)

@@ -446,9 +446,10 @@ TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
     "source_gate",
     "status:s state:s reason:s",
     f"""WITH {week_panel_sql()}, l AS (SELECT *, max(week_start) OVER () AS latest FROM wpanel)
- SELECT CASE WHEN ok THEN 'OK' ELSE 'NO_DECISION' END AS status, CASE WHEN NOT ok THEN 'AMBER' END AS state, CASE WHEN NOT ok THEN 'UNEXPECTED' END AS reason FROM (
-   SELECT (SELECT count(DISTINCT entity) FROM l WHERE week_start = latest) = 6 AND (SELECT min(n) FROM (SELECT count(*) AS n FROM l GROUP BY entity)) >= 104
-     AND (SELECT min(gross) FROM l WHERE week_start = latest) > 0 AND (SELECT min(lines) FROM l WHERE week_start = latest) > 0 AS ok)""",
+ SELECT CASE WHEN reason IS NULL THEN 'OK' ELSE 'NO_DECISION' END AS status, CASE WHEN reason IS NOT NULL THEN 'AMBER' END AS state, reason FROM (
+   SELECT CASE WHEN (SELECT count(DISTINCT entity) FROM l WHERE week_start = latest) <> 6 THEN 'ENTITY_CONTRACT_MISMATCH'
+     WHEN (SELECT min(n) FROM (SELECT count(*) AS n FROM l GROUP BY entity)) < 104 THEN 'INSUFFICIENT_HISTORY_LT_104_WEEKS'
+     WHEN (SELECT least(min(gross), min(lines)) FROM l WHERE week_start = latest) <= 0 THEN 'NONPOSITIVE_LATEST_SOURCE' END AS reason)""",
 )
 def source_gate(t):
     return policy.source_gate(base.week_panel(t), "entity", "week_start", ["gross", "lines"], TYPES)

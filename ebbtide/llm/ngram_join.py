@@ -28,6 +28,8 @@ from ebbtide.operators.ordering import settle
 SKETCH_BITS = 22
 SKETCH_PARTS = 64
 FRAGMENTS = 4
+#: Up to this many wanted rows (32 bytes each) are broadcast to the texts; more are joined by shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def _cell(hashes: np.ndarray) -> np.ndarray:
@@ -141,8 +143,8 @@ def _prefixes(docs: DataFrame, text: str, order, size: int, percent: int) -> Dat
     )
 
 
-def _segments(docs: DataFrame, text: str, nodes: DataFrame, order, size: int) -> DataFrame:
-    """(node, fragment, grams): the nodes' sets cut along the global order."""
+def _segments(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, order, size: int, repeats: bool) -> DataFrame:
+    """(node, fragment, grams): the sets of the nodes in `pairs` cut along the global order."""
 
     def rows(batches):
         for batch in batches:
@@ -168,10 +170,13 @@ def _segments(docs: DataFrame, text: str, nodes: DataFrame, order, size: int) ->
                         ["node", "fragment", "grams"],
                     )
 
-    wanted = nodes.select(F.col("first_doc").alias("wanted"), "node", "k1", "k2")
-    texts = docs.select("doc", text).join(wanted, F.col("doc").eqNullSafe(F.col("wanted")))
-    cut = texts.select(text, "node", "k1", "k2").mapInArrow(rows, "node bigint, fragment int, grams array<bigint>")
-    return cut.dropDuplicates(["node", "fragment"])
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = settle(nodes.join(ends, "node").select(F.col("first_doc").alias("wanted"), "node", "k1", "k2"))
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    texts = docs.join(wanted, F.col("doc").eqNullSafe(F.col("wanted")))
+    cut = texts.select("body", "node", "k1", "k2").mapInArrow(rows, "node bigint, fragment int, grams array<bigint>")
+    return settle(cut.dropDuplicates(["node", "fragment"]) if repeats else cut)
 
 
 def _links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
@@ -254,25 +259,28 @@ def similarity_components(
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("body"))
     order = spark.sparkContext.broadcast(GramOrder(gram_counts(docs, "body", size)))
     rows = settle(_prefixes(docs, "body", order, size, percent))
+    repeats = bool(rows.groupBy("doc").count().where("count > 1").limit(1).count())
 
     classes = rows.groupBy("k1", "k2", "n").agg(
         F.min("doc").alias("first_doc"), F.first("typical").alias("typical"), F.first("prefix").alias("prefix")
     )
     nodes = settle(classes.withColumn("node", F.monotonically_increasing_id()))
-    early = nodes.select("node", "n", "typical", F.posexplode("prefix").alias("pos", "gram"))
+    early = nodes.select("node", F.posexplode("prefix").alias("pos", "gram"))
     several = early.groupBy("gram").agg(F.count("*").alias("docs")).where("docs > 1").select("gram")
     here = Window.partitionBy("node").orderBy("pos")
-    shared = settle(early.join(several, "gram").withColumn("before", F.row_number().over(here) - 1))
-
-    wanted = nodes.join(shared.select("node").distinct(), "node", "left_semi")
-    segments = settle(_segments(docs, "body", wanted, order, size))
+    met_early = early.join(several, "gram").withColumn("before", F.row_number().over(here) - 1)
+    shared = settle(met_early.join(nodes.select("node", "n", "typical"), "node"))
 
     # each node against the most typical node that it shares an early n-gram with
-    hubs = shared.groupBy("gram").agg(F.max(F.struct("typical", -F.col("node"), "n")).alias("hub"))
-    reach = shared.join(hubs, "gram").where(F.col("hub.col2") != -F.col("node"))
-    first = reach.groupBy("node", "n").agg(F.max("hub").alias("hub"))
-    star = first.select((-F.col("hub.col2")).alias("a"), F.col("node").alias("b"), F.col("hub.n").alias("n_a"), F.col("n").alias("n_b"))
-    near = settle(_links(star, segments, percent))
+    hubs = shared.groupBy("gram").agg(F.max(F.struct("typical", "node", "n", "pos", "before")).alias("hub"))
+    o, j = shared.alias("o"), hubs.select("gram", "hub.*").alias("j")
+    to_hub = (F.col("o.gram") == F.col("j.gram")) & (F.col("o.node") != F.col("j.node")) & _bounds(percent)
+    reach = o.join(j, to_hub).select(
+        F.col("o.node").alias("b"), F.col("o.n").alias("n_b"), F.struct("j.typical", "j.node", "j.n").alias("hub")
+    )
+    first = reach.groupBy("b", "n_b").agg(F.max("hub").alias("hub"))
+    star = settle(first.select(F.col("hub.node").alias("a"), "b", F.col("hub.n").alias("n_a"), "n_b"))
+    near = settle(_links(star, _segments(docs, nodes, star, order, size, repeats), percent))
 
     # then what is left between blocks; the largest block of an n-gram is not paired with itself
     blocked = settle(
@@ -292,7 +300,8 @@ def similarity_components(
     rest = o.join(j, met).select(
         F.col("o.node").alias("a"), F.col("j.node").alias("b"), F.col("o.n").alias("n_a"), F.col("j.n").alias("n_b")
     )
-    links = near.union(_links(rest.distinct(), segments, percent))
+    rest = settle(rest.distinct())
+    links = near.union(_links(rest, _segments(docs, nodes, rest, order, size, repeats), percent))
 
     member = components(settle(links))
     named = nodes.select("node", "k1", "k2", "n", "first_doc").join(member, "node", "left")

@@ -6,19 +6,87 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ebbtide.llm import ngram_join
+from ebbtide.llm import chat, exact_dedup, mixing, ngram_join, token_file
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame(
+        [(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id bigint, turn bigint, role string, text string"
+    )
+    return chat.digests(chat.format_conversations(rows.unionByName(extra)))
+
+
+_CONTROL = r"(\\*(?:### |</turn>))"
+CHAT_SQL = rf"""WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+   UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+ sized AS (SELECT *, length(regexp_replace(text, '{_CONTROL}', '\\\1', 'g')) + length(role) + 5 + 1 + 8
+   + CASE WHEN role IN ('system', 'user', 'assistant') THEN 0 ELSE 2 END AS chars FROM turns),
+ whole AS (SELECT conv_id, count(*) AS n_turns,
+   string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS lines,
+   coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+   sum(chars) AS chars FROM sized GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(lines) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
+ CAST(chars AS BIGINT) AS formatted_chars FROM whole"""
+
+
 def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.similarity_components(table(spark, folder, "documents"), size=4, percent=85)
 
 
+NGRAM_SQL = rf"""WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+   '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+ grams AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ')
+   ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] END AS g
+   FROM words, LATERAL (SELECT unnest(generate_series(1, greatest(len(w) - 3, least(len(w), 1)))) AS i)),
+ sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+ common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+ links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+ reach AS (SELECT DISTINCT a, a AS b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce((SELECT min(b) FROM reach WHERE a = d.doc_id), d.doc_id) AS component_id
+FROM documents d LEFT JOIN sizes ON sizes.doc_id = d.doc_id"""
+
+
+def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, folder, "documents"))
+
+
+DEDUP_SQL = f"""WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS x FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(x) AS text_sha256
+FROM t WINDOW g AS (PARTITION BY x)"""
+
+
+def op7_token_file(spark: SparkSession, folder: str) -> DataFrame:
+    return token_file.token_files(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixed_sizes(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": op1_chat_format,
     "op2_ngram_join": op2_ngram_join,
+    "op6_exact_dedup": op6_exact_dedup,
+    "op7_token_file": op7_token_file,
+    "op10_source_mix": op10_source_mix,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_chat_format": CHAT_SQL,
+    "op2_ngram_join": NGRAM_SQL,
+    "op6_exact_dedup": DEDUP_SQL,
+}

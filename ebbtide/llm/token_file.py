@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,37 +32,76 @@ MAX_BITS = 20
 BLOCK_IDS = 1 << 17
 STEP = 64
 END_ID = 0
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_500_000
 
 _loaded: dict[str, tuple] = {}
 
 
 class PieceCache(dict):
-    """Ids of pieces of text that start at a space before a word, as bytes.
+    """Ids of pieces of text that start at a space, as bytes.
 
-    The tokenizer's pattern always breaks before such a space, so pieces can be
-    encoded on their own; most pieces of a corpus are repeats.
+    The tokenizer's pattern breaks before a space that stands after or before
+    something else than white space, so pieces can be encoded on their own;
+    most pieces of a corpus are repeats. Of a new piece made of letters and
+    marks each part is one pre-token, which goes straight to the tokenizer's
+    model; other pieces go through the whole tokenizer.
     """
 
     def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
-        self.type = np.uint16 if tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.kind = "H" if tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.parts: dict[str, bytes] = {}
+        # the printable stand-ins of the byte alphabet
+        shown = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or 174 <= c]
+        hidden = [c for c in range(256) if c not in shown]
+        self.stand_in = {**{c: c for c in shown}, **{c: 256 + i for i, c in enumerate(hidden)}}
+
+    def _part(self, part: str) -> bytes:
+        """Ids of one pre-token."""
+        ids = self.parts.get(part)
+        if ids is None:
+            text = part.encode().decode("latin-1").translate(self.stand_in)
+            ids = array(self.kind, [t.id for t in self.model.tokenize(text)]).tobytes()
+            if len(part) < 4:
+                self.parts[part] = ids
+        return ids
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array(self.kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        hard = []
+        for piece in pieces:
+            core = piece.rstrip(_MARKS)
+            if core.isalpha():
+                ids = self.get(core) or self._part(" " + core)
+                self[piece] = ids + self._part(piece[len(core) :]) if len(core) < len(piece) else ids
+            else:
+                hard.append(piece)
+        self.update(zip(hard, self._whole([" " + p for p in hard]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [_SPACE.split(t) for t in texts]
-        new = [w for w in {w for pieces in cut for w in pieces[1:]} if w not in self]
-        if len(self) + len(new) > CACHE_PIECES:
+        if len(self) > CACHE_PIECES:
             self.clear()
-            new = list({w for pieces in cut for w in pieces[1:]})
-        heads = [pieces[0] for pieces in cut]
-        ids = self.tokenizer.encode_batch_fast([" " + w for w in new] + heads, add_special_tokens=False)
-        packed = [np.array(e.ids, self.type).tobytes() for e in ids]
-        self.update(zip(new, packed[: len(new)], strict=True))
-        get = self.__getitem__
-        return [b"".join([head, *map(get, pieces[1:])]) for head, pieces in zip(packed[len(new) :], cut, strict=True)]
+        cut = [_SPACE.split(t) if _BLANKS.search(t) else t.split(" ") for t in texts]
+        heads = self._whole([pieces[0] for pieces in cut])
+        get, out, late, new = self.get, [], [], set()
+        for i, pieces in enumerate(cut):
+            ids = list(map(get, pieces))
+            ids[0] = heads[i]
+            if None in ids:
+                new.update([p for p, x in zip(pieces, ids, strict=True) if x is None])
+                late.append(i)
+            out.append(ids)
+        self._learn(list(new))
+        for i in late:
+            out[i] = [self[p] if x is None else x for p, x in zip(cut[i], out[i], strict=True)]
+        return [b"".join(ids) for ids in out]
 
 
 _SPACE = re.compile(r" (?=\S)")
+_BLANKS = re.compile(r" \s")
+_MARKS = ".,;:!?|"
 
 
 def piece_cache(path: str) -> PieceCache:
@@ -88,7 +128,7 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
 
     def rows(batches):
         cache = piece_cache(path)
-        end = np.array([END_ID], cache.type).tobytes()
+        end = array(cache.kind, [END_ID]).tobytes()
         seq = before = 0
         for batch in batches:
             for at in range(0, len(batch), 256):

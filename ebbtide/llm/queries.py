@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ebbtide.llm import chat, exact_dedup, mixing, ngram_join, token_file
+from ebbtide.llm import chat, decontamination, exact_dedup, mixing, ngram_join, quality, token_file, unigram, url_filter
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -33,7 +33,7 @@ def op1_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 _CONTROL = r"(\\*(?:### |</turn>))"
 CHAT_SQL = rf"""WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
    UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
- sized AS (SELECT *, length(regexp_replace(text, '{_CONTROL}', '\\\1', 'g')) + length(role) + 5 + 1 + 8
+ sized AS (SELECT *, length(regexp_replace(text, '{_CONTROL}', '\\\1', 'g')) + length(role) + 15
    + CASE WHEN role IN ('system', 'user', 'assistant') THEN 0 ELSE 2 END AS chars FROM turns),
  whole AS (SELECT conv_id, count(*) AS n_turns,
    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS lines,
@@ -60,6 +60,14 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce((SELECT min(b) FROM reac
 FROM documents d LEFT JOIN sizes ON sizes.doc_id = d.doc_id"""
 
 
+def op4_token_count(spark: SparkSession, folder: str) -> DataFrame:
+    return unigram.token_counts(table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, folder, "documents"))
 
@@ -73,6 +81,24 @@ def op7_token_file(spark: SparkSession, folder: str) -> DataFrame:
     return token_file.token_files(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+#: verdict, host and path of the rules that come before the model.
+URL_RULES = (
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+)
+
+
+def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, folder, "pages"), URL_RULES)
+
+
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, folder, "documents"))
 
@@ -80,8 +106,12 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_ngram_join": op2_ngram_join,
+    "op4_token_count": op4_token_count,
+    "op5_decontamination": op5_decontamination,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_file": op7_token_file,
+    "op8_url_filter": op8_url_filter,
+    "op9_quality": op9_quality,
     "op10_source_mix": op10_source_mix,
 }
 

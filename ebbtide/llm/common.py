@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,16 @@ def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def fresh(name: str, columns: Sequence[str]) -> str:
+    """A column name that `columns` does not have, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def without(docs: DataFrame, gone: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """Rows of `docs` whose id is not in `gone` (one column); rows without an id stay."""
-    gone = if_small(gone.toDF("_gone").where("_gone is not null").distinct())
-    return docs.join(gone, F.col(doc_id).cast("bigint") == F.col("_gone"), "left_anti")
+    name = fresh("_gone", docs.columns)
+    gone = if_small(gone.toDF(name).where(F.col(name).isNotNull()).distinct())
+    return docs.join(gone, F.col(doc_id).cast("bigint") == F.col(name), "left_anti")

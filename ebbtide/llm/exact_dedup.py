@@ -14,9 +14,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ebbtide.llm.common import if_small
 from ebbtide.operators.ordering import settle
 
 PRIME = (1 << 31) - 1
@@ -122,8 +123,8 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     groups = rows.groupBy(*key).agg(F.max(F.struct("doc", "row")).alias("top"), F.count("*").alias("size"))
     several = groups.where("size > 1").select(*key, F.col("top.row").alias("leader"))
 
-    suspects = settle(rows.select("doc", "row", *key).join(several, key))
-    ids = suspects.select(F.col("doc").alias("wanted"), "row", "leader", *key)
+    suspects = rows.select("doc", "row", *key).join(several, key)
+    ids = if_small(suspects.select(F.col("doc").alias("wanted"), "row", "leader", *key))
     texts = docs.join(ids, F.col("doc").eqNullSafe(F.col("wanted"))).select("body", "row", "leader", *key)
     pieces = settle(_cut(texts))
     lead = pieces.where("row = leader").select("leader", "chunk_no", F.col("chunk").alias("lead_chunk")).dropDuplicates(["leader", "chunk_no"])
@@ -161,8 +162,6 @@ def fingerprint_pieces(pieces: DataFrame, doc_id: str, piece_no: str, text: str)
                 ["doc", "piece", "h0", "h1", "h2", "bytes"],
             )
 
-    from pyspark.sql import Window
-
     hashed = pieces.select(F.col(doc_id).cast("bigint"), F.col(piece_no).cast("bigint"), text).mapInArrow(
         rows, "doc bigint, piece bigint, h0 bigint, h1 bigint, h2 bigint, bytes bigint"
     )

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ebbtide.llm.common import if_small, without
 from ebbtide.llm.shingles import mix, shingle_hashes, text_slices, word_hashes
 from ebbtide.operators.ordering import settle
 
@@ -28,8 +29,6 @@ from ebbtide.operators.ordering import settle
 SKETCH_BITS = 22
 SKETCH_PARTS = 64
 FRAGMENTS = 4
-#: Up to this many wanted rows (32 bytes each) are broadcast to the texts; more are joined by shuffle.
-BROADCAST_ROWS = 500_000
 
 
 def _cell(hashes: np.ndarray) -> np.ndarray:
@@ -129,17 +128,17 @@ def _prefixes(docs: DataFrame, text: str, order, size: int, percent: int) -> Dat
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, len(sets)),
-                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([len(s) for s in sets], pa.int32()),
                         pa.array([k[0] for k in keys], pa.int64()),
                         pa.array([k[1] for k in keys], pa.int64()),
-                        pa.array(typical, pa.float64()),
+                        pa.array(typical, pa.float32()),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values)),
                     ],
                     ["doc", "n", "k1", "k2", "typical", "prefix"],
                 )
 
     return docs.select(F.col("doc"), F.col(text)).mapInArrow(
-        rows, "doc bigint, n bigint, k1 bigint, k2 bigint, typical double, prefix array<bigint>"
+        rows, "doc bigint, n int, k1 bigint, k2 bigint, typical float, prefix array<bigint>"
     )
 
 
@@ -171,9 +170,7 @@ def _segments(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, order, size:
                     )
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = settle(nodes.join(ends, "node").select(F.col("first_doc").alias("wanted"), "node", "k1", "k2"))
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+    wanted = if_small(nodes.join(ends, "node").select(F.col("first_doc").alias("wanted"), "node", "k1", "k2"))
     texts = docs.join(wanted, F.col("doc").eqNullSafe(F.col("wanted")))
     cut = texts.select("body", "node", "k1", "k2").mapInArrow(rows, "node bigint, fragment int, grams array<bigint>")
     return settle(cut.dropDuplicates(["node", "fragment"]) if repeats else cut)
@@ -268,39 +265,46 @@ def similarity_components(
     early = nodes.select("node", F.posexplode("prefix").alias("pos", "gram"))
     several = early.groupBy("gram").agg(F.count("*").alias("docs")).where("docs > 1").select("gram")
     here = Window.partitionBy("node").orderBy("pos")
-    met_early = early.join(several, "gram").withColumn("before", F.row_number().over(here) - 1)
-    shared = settle(met_early.join(nodes.select("node", "n", "typical"), "node"))
-
-    # each node against the most typical node that it shares an early n-gram with
-    hubs = shared.groupBy("gram").agg(F.max(F.struct("typical", "node", "n", "pos", "before")).alias("hub"))
-    o, j = shared.alias("o"), hubs.select("gram", "hub.*").alias("j")
-    to_hub = (F.col("o.gram") == F.col("j.gram")) & (F.col("o.node") != F.col("j.node")) & _bounds(percent)
-    reach = o.join(j, to_hub).select(
-        F.col("o.node").alias("b"), F.col("o.n").alias("n_b"), F.struct("j.typical", "j.node", "j.n").alias("hub")
-    )
+    counted = early.join(several, "gram").join(nodes.select("node", "n", "typical"), "node")
+    shared = settle(counted.withColumn("before", F.row_number().over(here) - 1))
+
+    # each n-gram's most typical node; two documents that share one early n-gram
+    # by chance mostly fail the bounds at once and are not seen again
+    hubs = shared.groupBy("gram").agg(F.max(F.struct("typical", "node", "n", "pos", "before")).alias("hub"), F.count("*").alias("docs"))
+    o, j = shared.alias("o"), hubs.select("gram", "docs", "hub.*").alias("j")
+    can = (F.col("o.node") != F.col("j.node")) & _bounds(percent)
+    hub = F.struct("j.typical", "j.node", "j.n").alias("hub")
+    met = settle(o.join(j, F.col("o.gram") == F.col("j.gram")).where(can | (F.col("docs") > 2)).select("o.*", "docs", hub, can.alias("can")))
+
+    # each node against the most typical node among its candidates
+    reach = met.where("can").select(F.col("node").alias("b"), F.col("n").alias("n_b"), "hub", "docs")
     first = reach.groupBy("b", "n_b").agg(F.max("hub").alias("hub"))
     star = settle(first.select(F.col("hub.node").alias("a"), "b", F.col("hub.n").alias("n_a"), "n_b"))
     near = settle(_links(star, _segments(docs, nodes, star, order, size, repeats), percent))
 
     # then what is left between blocks; the largest block of an n-gram is not paired with itself
-    blocked = settle(
-        shared.join(_blocks(near), "node", "left").withColumn("block", F.coalesce("block", "node"))
-    )
+    block = settle(_blocks(near))
+    blocked = settle(met.where("docs > 2").select("gram", "node", "n", "pos", "before").join(block, "node", "left").withColumn("block", F.coalesce("block", "node")))
     weights = blocked.groupBy("gram", "block").agg(F.count("*").alias("w"))
     largest = weights.groupBy("gram").agg(F.max(F.struct("w", "block")).alias("most"), F.count("*").alias("blocks"))
     mixed = largest.where("blocks > 1").select("gram", F.col("most.block").alias("largest"))
     sides = settle(blocked.join(mixed, "gram").withColumn("main", F.col("block") == F.col("largest")))
     o, j = sides.where("not main").alias("o"), sides.alias("j")
-    met = (
+    between = (
         (F.col("o.gram") == F.col("j.gram"))
         & (F.col("o.block") != F.col("j.block"))
         & (F.col("j.main") | (F.col("o.node") < F.col("j.node")))
         & _bounds(percent)
     )
-    rest = o.join(j, met).select(
+    rest = o.join(j, between).select(
         F.col("o.node").alias("a"), F.col("j.node").alias("b"), F.col("o.n").alias("n_a"), F.col("j.n").alias("n_b")
     )
-    rest = settle(rest.distinct())
+    lone = reach.where("docs = 2").select(F.col("hub.node").alias("a"), "b", F.col("hub.n").alias("n_a"), "n_b")
+    # one name per pair, and not those that were compared already
+    pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = rest.union(lone).select(*pair, F.when(F.col("a") < F.col("b"), F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"),
+                                   F.when(F.col("a") < F.col("b"), F.col("n_b")).otherwise(F.col("n_a")).alias("n_b")).distinct()
+    rest = settle(rest.join(star.select(*pair), ["a", "b"], "left_anti"))
     links = near.union(_links(rest, _segments(docs, nodes, rest, order, size, repeats), percent))
 
     member = components(settle(links))
@@ -321,8 +325,7 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", siz
     the one whose id is the component's. Rows without an id stay; of rows
     repeated with one id and text, one stays."""
     found = similarity_components(docs, text, doc_id, size, percent)
-    gone = found.where("doc_id is not null and doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.join(gone, F.col(doc_id).cast("bigint") == F.col("gone"), "left_anti")
+    kept = without(docs, found.where("doc_id is not null and doc_id != component_id").select("doc_id"), doc_id)
     return kept.dropDuplicates([doc_id, text]) if _repeats(found) else kept
 
 

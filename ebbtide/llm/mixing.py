@@ -22,7 +22,7 @@ BLOCK = 32
 SHARD_DOCS = 4096
 WEIGHTS = (3, 1, 2)
 WORD = r"[^\x20\x09-\x0D]+"
-#: Up to this many sources their table is broadcast, beyond it joined by shuffle.
+#: Up to this many rows of sources or shards are broadcast, more are joined by shuffle.
 BROADCAST_SOURCES = 100_000
 
 
@@ -86,51 +86,61 @@ def _quotas(shards: DataFrame) -> DataFrame:
     return shards.groupBy("source").applyInPandas(share, "source string, shard bigint, words bigint, quota bigint")
 
 
+#: Columns that `apportion` adds.
+SIZE, SOURCE_SIZE, TARGET, COPIES, SPANS, TAKEN = ("_mix_" + n for n in ("size", "source_size", "target", "copies", "spans", "taken"))
+
+
 def apportion(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: int = 7) -> DataFrame:
-    """`docs` with _size, _source_size, _target, _copies, _spans and _taken.
+    """`docs` with SIZE, SOURCE_SIZE, TARGET, COPIES, SPANS and TAKEN.
 
-    A document is taken _copies times whole, and its words in each range of
-    _spans (from, to) once more; _taken counts those words, repeats included.
+    A document is taken COPIES times whole, and its words in each range of
+    SPANS (from, to) once more; TAKEN counts those words, repeats included.
     Null text has no words; a null source is a source of its own, the last.
     Repeated rows are documents of their own, next to each other in the order.
-    With no words at all nothing is taken.
+    With no words at all nothing is taken. Other columns are kept, whatever
+    their names, save those that start with _mix_.
     """
-    key = F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text))
-    sized = docs.withColumn("size", F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("bigint"))
-    slim = settle(sized.select(F.col(source).alias("source"), "size", key.alias("key")))
+    words_of = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("bigint")
+    rows = docs.withColumns({SIZE: words_of, "_mix_key": F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)), "_mix_source": F.col(source)})
+    slim = settle(rows.select(F.col("_mix_source").alias("source"), F.col(SIZE).alias("size"), F.col("_mix_key").alias("key")))
     plan = _plan(slim, "source")
-    shard = F.pmod(F.xxhash64("key"), F.col("shards"))
-    per_shard = slim.join(plan, slim["source"].eqNullSafe(plan["source"])).select(slim["source"], shard.alias("shard"), "size", "seats")
+    shard = lambda key, shards: F.pmod(F.xxhash64(key), F.col(shards))
+    per_shard = slim.join(plan, slim["source"].eqNullSafe(plan["source"])).select(slim["source"], shard("key", "shards").alias("shard"), "size", "seats")
     quotas = settle(_quotas(per_shard.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.max("seats").alias("seats"))))
-    quotas = quotas.select(F.col("source").alias("q_source"), F.col("shard").alias("q_shard"), "words", "quota")
-
-    named = plan.select(F.col("source").alias("p_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "shards")
-    rows = sized.withColumns({"key": key, "_size": F.col("size")}).drop("size")
-    rows = rows.join(named, F.col(source).eqNullSafe(F.col("p_source"))).withColumn("shard", shard)
-    order = Window.partitionBy(F.col(source), F.col("shard")).orderBy("key", F.col(doc_id)).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("hi", F.sum("_size").over(order))
-    rows = rows.join(quotas, F.col(source).eqNullSafe(F.col("q_source")) & (F.col("shard") == F.col("q_shard")))
-
-    blocks = F.greatest(F.ceil(F.col("words") / BLOCK), F.lit(1))
-    first = F.pmod(F.xxhash64(F.lit(seed), F.col("shard"), F.col("q_source")), blocks) * BLOCK
-    rest = F.when(F.col("words") > 0, F.col("quota") % F.col("words")).otherwise(0)
-    lo, hi = F.col("hi") - F.col("_size"), F.col("hi")
-    ahead = (first, F.least(first + rest, F.col("words")))
-    around = (F.lit(0), first + rest - F.col("words"))
+    quotas = quotas.select(*[F.col(c).alias("_mix_q_" + c) for c in ("source", "shard", "words", "quota")])
+    if quotas.count() <= BROADCAST_SOURCES:
+        quotas = F.broadcast(quotas)
+
+    named = plan.select(
+        F.col("source").alias("_mix_p_source"), F.col("source_size").alias(SOURCE_SIZE), F.col("target").alias(TARGET), F.col("shards").alias("_mix_shards")
+    )
+    named = F.broadcast(named) if named.count() <= BROADCAST_SOURCES else named
+    rows = rows.join(named, F.col("_mix_source").eqNullSafe(F.col("_mix_p_source"))).withColumn("_mix_shard", shard("_mix_key", "_mix_shards"))
+    order = Window.partitionBy("_mix_source", "_mix_shard").orderBy("_mix_key", doc_id).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_mix_hi", F.sum(SIZE).over(order))
+    rows = rows.join(quotas, F.col("_mix_source").eqNullSafe(F.col("_mix_q_source")) & (F.col("_mix_shard") == F.col("_mix_q_shard")))
+
+    words, quota, hi = F.col("_mix_q_words"), F.col("_mix_q_quota"), F.col("_mix_hi")
+    blocks = F.greatest(F.ceil(words / BLOCK), F.lit(1))
+    first = F.pmod(F.xxhash64(F.lit(seed), F.col("_mix_shard"), F.col("_mix_source")), blocks) * BLOCK
+    rest = F.when(words > 0, quota % words).otherwise(0)
+    lo = hi - F.col(SIZE)
+    ahead = (first, F.least(first + rest, words))
+    around = (F.lit(0), first + rest - words)
     span = lambda r: F.struct(
         (F.greatest(lo, r[0]) - lo).cast("bigint").alias("from"), (F.least(hi, r[1]) - lo).cast("bigint").alias("to")
     )
     spans = F.filter(F.array(span(around), span(ahead)), lambda s: s["to"] > s["from"])
-    rows = rows.withColumns({"_copies": F.when(F.col("words") > 0, F.floor(F.col("quota") / F.col("words"))).otherwise(0), "_spans": spans})
-    taken = F.col("_copies") * F.col("_size") + F.aggregate("_spans", F.lit(0).cast("bigint"), lambda a, s: a + s["to"] - s["from"])
-    return rows.withColumn("_taken", taken).drop("key", "p_source", "shards", "shard", "hi", "q_source", "q_shard", "words", "quota")
+    rows = rows.withColumns({COPIES: F.when(words > 0, F.floor(quota / words)).otherwise(0).cast("bigint"), SPANS: spans})
+    taken = F.col(COPIES) * F.col(SIZE) + F.aggregate(SPANS, F.lit(0).cast("bigint"), lambda a, s: a + s["to"] - s["from"])
+    return rows.select(*docs.columns, SIZE, SOURCE_SIZE, TARGET, COPIES, SPANS, taken.alias(TAKEN))
 
 
 def mixed_sizes(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document."""
     out = apportion(docs.select("doc_id", "text", "source"))
     return out.select(
-        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken")
+        "doc_id", F.col(SIZE).alias("size"), F.col(SOURCE_SIZE).alias("source_size"), F.col(TARGET).alias("target"), F.col(TAKEN).alias("taken")
     )
 
 
@@ -138,22 +148,23 @@ def mix(docs: DataFrame) -> DataFrame:
     """The mix itself, with the columns of `docs`: one row per copy or cut; a cut
     text runs from its first to its last word. n_chars, where present, is set anew."""
     columns = docs.columns
-    chosen = apportion(docs)
-    whole = chosen.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*columns)
-    cut = chosen.withColumn("_span", F.explode("_spans"))
-    kinds = cut.select(*columns).schema
+    at = columns.index("text")
+    # a copy is the range of all words
+    all_words = F.struct(F.lit(0).cast("bigint").alias("from"), F.col(SIZE).alias("to"))
+    pieces = F.concat(F.array_repeat(all_words, F.col(COPIES).cast("int")), F.col(SPANS))
+    cut = apportion(docs).where(F.size(pieces) > 0).withColumn("_mix_piece", F.explode(pieces))
 
     def slices(batches):
-        at = columns.index("text")
         for batch in batches:
-            out = []
-            for text, a, b in zip(batch.column(at), *(batch.column(i).to_pylist() for i in (-2, -1)), strict=True):
-                out.append(_words(text.as_py() or "", a, b))
+            size, first, last = (batch.column(i).to_pylist() for i in (-3, -2, -1))
+            out = [
+                text.as_py() if b - a == n else _words(text.as_py() or "", a, b)
+                for text, n, a, b in zip(batch.column(at), size, first, last, strict=True)
+            ]
             arrays = [batch.column(i) if i != at else pa.array(out, pa.string()) for i in range(len(columns))]
             yield pa.RecordBatch.from_arrays(arrays, columns)
 
-    parts = cut.select(*columns, F.col("_span.from").alias("_from"), F.col("_span.to").alias("_to")).mapInArrow(slices, kinds)
-    out = whole.union(parts)
+    out = cut.select(*columns, SIZE, "_mix_piece.from", "_mix_piece.to").mapInArrow(slices, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
 
 

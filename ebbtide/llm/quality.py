@@ -16,6 +16,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ebbtide.llm.common import fresh
+
 #: Labelled documents per class that training reads at most, those with the lowest hash.
 SAMPLE_DOCS = 6000
 #: Pieces per class that a dictionary is built from at most, and their bytes.
@@ -123,10 +125,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
     return Model(good, bad, tuple(mean), tuple(scale), tuple(weights))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """`docs` with _score, 0 to 1, of every whole text; null counts as empty."""
+def score(docs: DataFrame, model: Model, name: str, text: str = "text") -> DataFrame:
+    """`docs` with a new column, 0 to 1, for every whole text; null counts as empty."""
     columns = docs.columns
-    kinds = docs.withColumn("_score", F.lit(0.0)).schema
+    kinds = docs.withColumn(name, F.lit(0.0)).schema
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches):
@@ -137,21 +139,30 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             x = np.array([sizer.features(b.as_py()) for b in batch.column(at)]).reshape(-1, 5)
             z = np.c_[np.ones(len(x)), (x - np.array(m.mean)) / np.array(m.scale)] @ np.array(m.weights)
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], [*columns, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], [*columns, name])
 
     return docs.mapInArrow(rows, kinds)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, accept: float = 0.7) -> DataFrame:
+ACCEPT = 0.7
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of `docs`, repeats included.
 
     Without labels of both classes the score is the share of good ones, or 0.5
     without any. Empty texts get the score that the calibration gives them.
     """
-    scored = score(docs.select("doc_id", "text"), train(docs, labels))
+    scored = score(docs.select("doc_id", "text"), train(docs, labels), "_score")
     return scored.select(
         "doc_id",
         held_out().alias("held_out"),
         F.col("_score").alias("score"),
         (F.col("_score") >= accept).cast("int").alias("predicted"),
     )
+
+
+def accepted(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:
+    """The rows of `docs`, with their columns, that score at least `accept`."""
+    name = fresh("_score", docs.columns)
+    return score(docs, train(docs, labels), name).where(F.col(name) >= accept).drop(name)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ebbtide.llm import chat, decontamination, exact_dedup, mixing, ngram_join, quality, token_file, unigram, url_filter
+from ebbtide.llm import chat, decontamination, exact_dedup, mixing, ngram_join, quality, secret_scan, token_file, unigram, url_filter
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -60,6 +60,10 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce((SELECT min(b) FROM reac
 FROM documents d LEFT JOIN sizes ON sizes.doc_id = d.doc_id"""
 
 
+def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.find_secrets(table(spark, folder, "documents")))
+
+
 def op4_token_count(spark: SparkSession, folder: str) -> DataFrame:
     return unigram.token_counts(table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -106,6 +110,7 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_ngram_join": op2_ngram_join,
+    "op3_secret_scan": op3_secret_scan,
     "op4_token_count": op4_token_count,
     "op5_decontamination": op5_decontamination,
     "op6_exact_dedup": op6_exact_dedup,

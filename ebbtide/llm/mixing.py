@@ -165,7 +165,7 @@ def mix(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, columns)
 
     out = cut.select(*columns, SIZE, "_mix_piece.from", "_mix_piece.to").mapInArrow(slices, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
+    return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
 
 
 def _words(text: str, first: int, last: int) -> str:

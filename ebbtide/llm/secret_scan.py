@@ -27,8 +27,8 @@ KINDS = (
 )
 MODEL = "model"
 CANDIDATE = r"([A-Za-z0-9+/_=-]{16,})"
-ORDINARY = r"([A-Za-z][A-Za-z_]{5,})"
-#: Texts that ordinary words are taken from, those with the lowest hash.
+ORDINARY = r"(?<![A-Za-z0-9+/_=.-])([A-Za-z][A-Za-z_]{5,})(?![A-Za-z0-9+/_=])"
+#: Distinct texts that ordinary words are taken from at most, those with the lowest hash; copies of one count as one.
 SAMPLE_DOCS = 2000
 #: Share of the sample's ordinary words that may pass the limit, and the least limit, in nats per transition.
 PASS, LEAST = 0.0005, 0.35
@@ -139,20 +139,22 @@ def find_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     hinted = F.lit(False)
     for _, pattern, _, _ in KINDS:
         hinted = hinted | F.regexp_like("body", F.lit(pattern))
-    random = settle(rows.where(hinted).select(F.explode(base_spans(F.col("body"))["value"]).alias("string")))
-    lowest = rows.where("body != ''").orderBy(F.xxhash64("body")).limit(SAMPLE_DOCS)
-    ordinary = settle(
-        lowest.select(F.explode(F.regexp_extract_all("body", F.lit(ORDINARY), F.lit(1))).alias("string"))
-    )
-    free = F.filter(
-        "candidates", lambda c: ~F.exists("base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
+    random = settle(rows.where(hinted).select(F.explode(base_spans(F.col("body"))["value"]).alias("string")).distinct())
+    # only the hash up to which texts are sampled reaches the driver
+    lot = rows.where("body != ''").select(F.xxhash64("body").alias("lot")).distinct()
+    upto = lot.orderBy("lot").limit(SAMPLE_DOCS).agg(F.max("lot")).first()[0]
+    lowest = rows.where((F.col("body") != "") & (F.xxhash64("body") <= F.lit(upto).cast("bigint"))).select("body").distinct()
+    apart = lambda spans: F.filter(
+        spans, lambda c: ~F.exists("base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
     )
+    words = lowest.select(base_spans(F.col("body")).alias("base"), matches(F.col("body"), ORDINARY, 2).alias("words"))
+    ordinary = settle(words.select(F.explode(apart("words")["value"]).alias("string")))
     added = F.array().cast("array<struct<start:int,place:int,stop:int,kind:string,value:string>>")
     if random.limit(1).count():
         table = ratio_table(random, ordinary)
         limit = ordinary.agg(F.percentile_approx(mean_ratio(F.col("string"), table), 1 - PASS, 10_000)).first()[0]
         limit = max(LEAST, limit if limit is not None else LEAST)
-        picked = F.filter(free, lambda c: mean_ratio(c["value"], table) > limit)
+        picked = F.filter(apart("candidates"), lambda c: mean_ratio(c["value"], table) > limit)
         added = F.transform(picked, lambda c: _span(c, len(KINDS), MODEL))
     read = rows.select("doc_id", base_spans(F.col("body")).alias("base"), matches(F.col("body"), CANDIDATE, 2).alias("candidates"))
     return read.select("doc_id", "base", F.sort_array(F.concat("base", added)).alias("spans"))

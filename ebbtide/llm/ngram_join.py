@@ -178,9 +178,11 @@ def _segments(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, order, size:
 
 def _links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b, n_a, n_b) those that are similar: one count per fragment, summed."""
-    left = segments.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("grams_b"))
-    right = segments.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("grams_a"))
-    both = pairs.join(left, "b").join(right, ["a", "fragment"])
+    pairs = if_small(pairs)
+    sides = [
+        segments.join(pairs, F.col("node") == F.col(end)).select(*pairs.columns, "fragment", F.col("grams").alias(f"grams_{end}")) for end in ("a", "b")
+    ]
+    both = sides[0].join(sides[1].drop("n_a", "n_b"), ["a", "b", "fragment"])
     partial = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("common"))
     total = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("common").alias("common"))
     return total.where(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")

@@ -48,7 +48,7 @@ def alert_severity(alert: Column, risk: Column) -> Column:
 
 
 def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
-    """Two-sided Wilson score interval; NULL for n = 0."""
+    """Two-sided Wilson score interval; (0, 1) for n = 0."""
     size = F.nullif(n.cast("double"), F.lit(0.0))
     p = k.cast("double") / size
     denom = 1.0 + z * z / size
@@ -80,9 +80,9 @@ def one_hot(df: DataFrame, col: str, values: Sequence[str], prefix: str) -> Data
 
 
 def odds_shift(p: Column, prior_from: Column, prior_to: Column) -> Column:
-    """Move a probability from one base rate to another."""
+    """Move a probability from one base rate to another; NULL stays NULL."""
     eps = 1e-6
-    q = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), p.cast("double")))
+    q = clip(p.cast("double"), eps, 1 - eps)
     odds = (
         q / (1.0 - q)
         * (prior_to / (1.0 - prior_to))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ebbtide.functions.scalars import clip
 from ebbtide.operators.ordering import settle
 
 MONEY = "decimal(18,4)"
@@ -58,6 +59,12 @@ def _text(name: str) -> Column:
 
 
 # Per layout the date, the numbers and the identifiers to check.
+#: Numbers that a layout may have; where the column is present, a text that is no number rejects the row.
+OPTIONAL_NUMBERS = {
+    "uci": (),
+    "redsea": ("TOTAL AMOUNT", "Vat Amount", "Discount Amount", "Discount Amount(%)"),
+    "daily": ("gross_sales", "quantity"),
+}
 CHECKS = {
     "uci": ("InvoiceDate", ("Quantity", "UnitPrice"), ("InvoiceNo", "StockCode"), "missing invoice or stock code"),
     "redsea": (
@@ -80,6 +87,10 @@ def split_valid(df: DataFrame, layout: str) -> DataFrame:
             parse_decimal(F.col(f"`{n}`")).isNull(),
             F.concat(F.lit("invalid numeric value: "), F.col(f"`{n}`")),
         )
+    for n in OPTIONAL_NUMBERS[layout]:
+        if n in df.columns:
+            broken = ~_blank(n) & parse_decimal(F.col(f"`{n}`")).isNull()
+            reason = reason.when(broken, F.concat(F.lit("invalid numeric value: "), F.col(f"`{n}`")))
     for i in ids:
         reason = reason.when(_blank(i), F.lit(missing))
     return df.withColumn("reject_reason", reason)
@@ -165,7 +176,7 @@ def to_sales(df: DataFrame, layout: str) -> DataFrame:
             "quantity": _whole(parse_decimal(F.col("QUANTITY"))),
             "unit_price": parse_decimal(F.col("`Unit Price`")),
             "discount_amount": parse_decimal(optional(df, "Discount Amount")),
-            "discount_percent": F.greatest(F.lit(0.0), F.least(F.lit(100.0), pct)),
+            "discount_percent": clip(pct, 0.0, 100.0),
             "gross_sales": F.greatest(net, zero),
             "net_sales": net,
             "vat_amount": parse_decimal(optional(df, "Vat Amount"), vat_missing) if "Vat Amount" not in df.columns

@@ -166,10 +166,10 @@ def local_prior(
     """Base rate expected now: the market's recent rate and the entity's own
     rate shrunk toward it, combined by the geometric mean.
 
-    Labels of earlier weeks only. The market side is one row per week.
+    Known labels of earlier weeks only. The market side is one row per week.
     """
     stepped = df.groupBy(entity, week).agg(
-        F.sum(F.col(label).cast("double")).alias("_pos"), F.count(F.lit(1)).alias("_n")
+        F.sum(F.col(label).cast("double")).alias("_pos"), F.count(label).alias("_n")
     ).withColumn("_t", F.datediff(week, F.lit("1970-01-01").cast("date")))
     market = stepped.groupBy(week, "_t").agg(F.sum("_pos").alias("_pos"), F.sum("_n").alias("_n"))
     by_time = Window.partitionBy().orderBy("_t")

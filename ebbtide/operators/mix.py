@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ebbtide.functions.scalars import ratio_to_risk, safe_ratio
+from ebbtide.functions.scalars import clip, ratio_to_risk, safe_ratio
 from ebbtide.operators.joins import set_overlap
 from ebbtide.operators.ordering import exact_quantiles, melt
 from ebbtide.operators.panels import double, observed_customer
@@ -199,11 +199,12 @@ def weekly_risk_summary(scores: DataFrame, week: str, risk: str, precursors: str
 
 
 def sector_to_merchant_ratio(pred: DataFrame, day: str, sector: str, ratio: str, baseline: str) -> DataFrame:
-    """Sector forecasts weighted by their baselines to one merchant ratio and risk."""
-    clipped = F.greatest(F.lit(0.15), F.least(F.lit(3.0), F.col(ratio)))
+    """Sector forecasts weighted by their baselines to one merchant ratio and
+    risk. A sector without a forecast has no weight."""
+    clipped = clip(F.col(ratio).cast("double"), 0.15, 3.0)
     out = pred.groupBy(day).agg(
         F.sum(clipped * F.col(baseline)).alias("_future"),
-        F.sum(baseline).alias("_base"),
+        F.sum(F.when(F.col(ratio).isNotNull(), F.col(baseline))).alias("_base"),
         F.countDistinct(sector).alias("sectors_scored"),
     )
     out = out.withColumn("predicted_total_ratio", safe_ratio(F.col("_future"), F.col("_base")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,16 +12,18 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ebbtide.functions.scalars import ratio_to_risk
+from ebbtide.functions.scalars import clip, ratio_to_risk
 from ebbtide.operators import policy
 from ebbtide.operators.ordering import exact_quantiles, melt, settle
 from ebbtide.operators.windows import Series
 
 SEED = 42
+#: Inverse penalty of the stacked model; Spark averages the loss, so the penalty falls with the rows.
+STACK_C = 0.10
 MAX_TREE_NODES = 5_000_000
 
 
@@ -99,9 +102,9 @@ def classify(model: PipelineModel, df: DataFrame, out: str) -> DataFrame:
 
 def fit_regressor(train: DataFrame, features: Sequence[str], target: str, kind: str, log_target: bool = False,
                   low: float = 0.15, high: float = 3.0, **params) -> PipelineModel:
-    """Future ratio, clipped and optionally in logs."""
-    t = F.greatest(F.lit(low), F.least(F.lit(high), F.col(target).cast("double")))
-    d = train.withColumn("_target", F.ln(t) if log_target else t)
+    """Future ratio, clipped and optionally in logs; rows without one do not train."""
+    t = clip(F.col(target).cast("double"), low, high)
+    d = train.where(F.col(target).isNotNull()).withColumn("_target", F.ln(t) if log_target else t)
     common = {"featuresCol": "_features", "labelCol": "_target"}
     estimator = {
         "ridge": lambda: LinearRegression(**common, **{"regParam": 0.05, "elasticNetParam": 0.0, **params}),
@@ -166,7 +169,7 @@ def prequential_stack(oof: DataFrame, fold: str, label: str, features: Sequence[
                 "stack_score", 0.78 * F.col(merchant) + 0.14 * F.col(market) + 0.08 * F.col(market_max)
             ).withColumn("stack_mode", F.lit("fixed_cold_start"))
         else:
-            model = fit_classifier(oof.where(F.col(fold) < s[fold]), features, label, "logistic", regParam=0.1)
+            model = fit_classifier(oof.where(F.col(fold) < s[fold]), features, label, "logistic", regParam=1 / (STACK_C * rows))
             scored = classify(model, current, "stack_score").withColumn("stack_mode", F.lit("prequential_logistic"))
         out = scored if out is None else out.unionByName(scored)
         rows, positives = rows + s["n"], positives + s["p"]
@@ -174,18 +177,22 @@ def prequential_stack(oof: DataFrame, fold: str, label: str, features: Sequence[
 
 
 def monthly_snapshot_scores(
-    df: DataFrame, day: str, label: str, features: Sequence[str], kind: str = "logistic", min_rows: int = 500, lag_days: int = 14
+    df: DataFrame, day: str, label: str, features: Sequence[str], kind: str = "logistic", min_rows: int = 500, lag_days: int = 14,
+    by: Sequence[str] = ("entity",),
 ) -> DataFrame:
     """One frozen model per calendar month, trained on labels at least
-    `lag_days` old; its scores are exposed one week later."""
+    `lag_days` old; its scores are exposed one week later. Rows of a month
+    without enough labels take their entity's last score; rows before the
+    first model have none, and without any model this raises."""
     d = settle(df.withColumn("_month", F.trunc(day, "month")))
     months = [r["_month"] for r in d.select("_month").distinct().orderBy("_month").collect()]
-    out = None
+    out, skipped = None, []
     for m in months:
         cutoff = F.date_sub(F.lit(m), lag_days)
         known = d.where((F.col(day) <= cutoff) & F.col(label).isNotNull())
         size = known.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(label).alias("k")).first()
         if size["n"] < min_rows or size["k"] < 2:
+            skipped.append(m)
             continue
         model = fit_classifier(known, features, label, kind)
         scored = classify(model, d.where(F.col("_month") == F.lit(m)), "snapshot_risk").withColumns(
@@ -193,9 +200,12 @@ def monthly_snapshot_scores(
         )
         out = scored if out is None else out.unionByName(scored)
     if out is None:
-        out = d.limit(0).withColumns(
-            {"snapshot_risk": F.lit(None).cast("double"), "train_rows": F.lit(0), "label_cutoff": F.col(day)}
-        )
+        raise ValueError("no month has enough known labels")
+    if skipped:
+        empty = {"snapshot_risk": F.lit(None).cast("double"), "train_rows": F.lit(None).cast("int"), "label_cutoff": F.lit(None).cast("date")}
+        out = out.unionByName(d.where(F.col("_month").isin(*skipped)).withColumns(empty))
+        past = Window.partitionBy(*by).orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
+        out = out.withColumns({c: F.last(c, ignorenulls=True).over(past) for c in empty})
     return out.drop("_month").withColumn("exposed_from", F.date_add(day, 7))
 
 
@@ -287,15 +297,17 @@ def training_set_sizes(features: DataFrame, week: str, anchors: DataFrame) -> Da
 # --- scoring ------------------------------------------------------------------------
 
 
-def forest_score(df: DataFrame, trees: DataFrame, features: Sequence[str], out: str = "score") -> DataFrame:
+def forest_score(
+    df: DataFrame, trees: DataFrame, features: Sequence[str], out: str = "score", max_nodes: int = MAX_TREE_NODES
+) -> DataFrame:
     """Mean leaf probability over a stored ensemble.
 
     `trees`: arrays feature, threshold, left, right, p1 per tree; feature < 0
-    marks a leaf. The ensemble is a model artifact; its size is checked before
-    it is shipped to the tasks, which descend all rows of a batch together.
+    marks a leaf. The ensemble is a model artifact; it may have `max_nodes`
+    nodes, as it is shipped to the tasks, which descend all rows of a batch together.
     """
     nodes = trees.agg(F.sum(F.size("feature"))).first()[0] or 0
-    if nodes == 0 or nodes > MAX_TREE_NODES:
+    if nodes == 0 or nodes > max_nodes:
         raise ValueError(f"ensemble with {nodes} nodes")
     packed = [
         tuple(np.asarray(r[c]) for c in ("feature", "threshold", "left", "right", "p1"))
@@ -325,27 +337,35 @@ def forest_score(df: DataFrame, trees: DataFrame, features: Sequence[str], out:
 def score_latest(
     panel: DataFrame, entity: str, week: str, values: Sequence[str], expected: Sequence[str], featurize: Callable[[DataFrame], DataFrame],
     model: PipelineModel, features: Sequence[str], label: str, reference: float, watch: float, red: float,
+    min_labels: int = 500, min_positives: int = 20,
 ) -> DataFrame:
     """Gate, features, model, prior shift and state for the newest week. When
-    the gate is closed the rows carry NO_DECISION and no score."""
+    the gate is closed, a feature of an entity is missing or too few labels
+    are known, its rows carry NO_DECISION and no score."""
     gate = policy.source_gate(panel, entity, week, values, expected)
     feats = featurize(panel)
-    complete = feats.na.drop(subset=list(features))
+    whole = reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in features])
+    complete = feats.where(whole)
+    known = feats.agg(F.count(label).alias("_labels"), F.sum(F.col(label).cast("long")).alias("_positives"))
     newest = panel.agg(F.max(week).alias("_latest"))
     scored = classify(model, complete, "base_probability")
     shifted = policy.prior_shift_state(
         scored.select(entity, week, "base_probability", label), entity, week, label, "base_probability", reference, watch, red
     )
-    latest = shifted.join(F.broadcast(newest)).where(F.col(week) == F.col("_latest")).drop("_latest")
-    open_gate = F.col("status") == "OK"
-    return latest.withColumnRenamed("state", "_state").join(F.broadcast(gate)).select(
+    latest = feats.join(F.broadcast(newest)).where(F.col(week) == F.col("_latest")).select(entity, week)
+    latest = latest.join(shifted.withColumnRenamed("state", "_state").select(entity, week, "base_probability", "adjusted", "_state"), [entity, week], "left")
+    enough = (F.col("_labels") >= min_labels) & (F.col("_positives") >= min_positives)
+    scored_row = F.col("base_probability").isNotNull()
+    passed = F.col("status") == "OK"
+    open_gate = passed & enough & scored_row
+    return latest.join(F.broadcast(gate)).join(F.broadcast(known)).select(
         entity,
         week,
-        "status",
+        F.when(passed & ~(enough & scored_row), "NO_DECISION").otherwise(F.col("status")).alias("status"),
         F.when(open_gate, F.col("base_probability")).alias("base_probability"),
         F.when(open_gate, F.col("adjusted")).alias("adjusted_probability"),
-        F.when(open_gate, F.col("_state")).otherwise(F.col("state")).alias("state"),
-        "reason",
+        F.when(open_gate, F.col("_state")).when(passed, "AMBER").otherwise(F.col("state")).alias("state"),
+        F.when(passed & ~enough, "too few known labels").when(passed & ~scored_row, "missing features").otherwise(F.col("reason")).alias("reason"),
     )
 
 

@@ -414,7 +414,9 @@ def prior_shift_state(
         "adjusted", odds_shift(F.col(probability), F.lit(reference), F.col("effective_prior"))
     )
     a = F.col("adjusted")
-    return d.withColumn("state", F.when(a >= red, "RED").when(a >= watch, "AMBER").otherwise("GREEN"))
+    # an unknown probability is watched
+    state = F.when(a.isNull(), "AMBER").when(a >= red, "RED").when(a >= watch, "AMBER").otherwise("GREEN")
+    return d.withColumn("state", state)
 
 
 def percentile_policy(
@@ -610,7 +612,7 @@ def frontier(df: DataFrame, label: str, score: str) -> DataFrame:
 POISSON_ONE = (0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518, 0.99991675885)
 
 
-def bootstrap_ci(df: DataFrame, label: str, alert: Column, key: Sequence[str], replicates: int = 200, seed: int = 20240817) -> DataFrame:
+def bootstrap_ci(df: DataFrame, label: str, alert: Column, key: Sequence[str], replicates: int = 2000, seed: int = 20240817) -> DataFrame:
     """95% intervals of the rates from resampled rows.
 
     Each row draws its weight per replicate from a hash of its key, so the

@@ -110,10 +110,15 @@ def naive_path(t):
     return last.select("entity", F.posexplode(path).alias("i", "predicted")).withColumn("step", F.col("i") + 1)
 
 
-@query("baseline_forecast", "entity:s step:i predicted:f1")
+@query("baseline_forecast", "model:s entity:s step:i predicted:f1")
 def baseline_forecast(t):
-    arrays = forecast.history_arrays(base.day_panel(t), KEY, "date", "gross", 30)
-    return arrays.select("entity", F.posexplode(forecast.baseline_path("median_7", 30)).alias("i", "predicted")).withColumn("step", F.col("i") + 1)
+    arrays = settle(forecast.history_arrays(base.day_panel(t), KEY, "date", "gross", 30))
+    out = None
+    for model in ("seasonal_naive_7", "moving_average_7", "moving_average_14", "median_7"):
+        path = arrays.select("entity", F.posexplode(forecast.baseline_path(model, 30)).alias("i", "predicted"))
+        one = path.select(F.lit(model).alias("model"), "entity", (F.col("i") + 1).alias("step"), "predicted")
+        out = one if out is None else out.union(one)
+    return out
 
 
 RIDGE = forecast.Ridge(
@@ -153,8 +158,7 @@ def calibrate_to_local(t):
 
 @query("walk_forward", "origins:i daily_wape:f naive_daily_wape:f total_wape:f naive_total_wape:f interval_coverage:f wins:i losses:i")
 def walk_forward(t):
-    days = base.company_day(t).withColumn("entity", F.lit("all"))
-    return forecast.walk_forward(days, KEY, "date", "sales", 7, step=28)[1]
+    return forecast.walk_forward(base.day_panel(t), KEY, "date", "gross", 7)[1]
 
 
 @query(

@@ -112,7 +112,7 @@ def week_window_join(t):
 @query(
     "carry_forward_join",
     "entity:s date:d value:f4",
-    f"""WITH {panel_sql()}, w AS (SELECT entity, date - CAST(dayofweek(date) AS INTEGER) AS ws, sum(gross) AS value FROM panel GROUP BY 1, 2 HAVING sum(gross) > 900000),
+    f"""WITH {panel_sql()}, w AS (SELECT entity, date - CAST(dayofweek(date) AS INTEGER) AS ws, sum(gross) AS value FROM panel GROUP BY 1, 2 HAVING (CAST(datediff('day', DATE '1990-01-01', ws) AS BIGINT) // 7 * 31 + length(entity)) % 9 < 6),
  j AS (SELECT p.entity, p.date, w.value FROM panel p LEFT JOIN w ON p.entity = w.entity AND w.ws = p.date - CAST(dayofweek(p.date) AS INTEGER))
  SELECT entity, date, coalesce(last_value(value IGNORE NULLS) OVER (PARTITION BY entity ORDER BY date ROWS UNBOUNDED PRECEDING),
    first_value(value IGNORE NULLS) OVER (PARTITION BY entity ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS value FROM j""",
@@ -120,7 +120,10 @@ def week_window_join(t):
 def carry_forward_join(t):
     days = base.day_panel(t).select("entity", "date", "gross")
     weekly = (
-        base.with_week(days).groupBy("entity", "week_start").agg(F.sum("gross").alias("value")).where("value > 900000")
+        base.with_week(days)
+        .groupBy("entity", "week_start")
+        .agg(F.sum("gross").alias("value"))
+        .where("(datediff(week_start, date'1990-01-01') div 7 * 31 + length(entity)) % 9 < 6")
     )
     return joins.carry_forward_join(days, weekly, "date", ["value"], ["entity"])
 

@@ -93,7 +93,7 @@ def weekly_inputs(t):
 @query("monthly_snapshot_scores", "entity:s week_start:d exposed_from:d train_rows:i snapshot_risk:f4")
 def monthly_snapshot_scores(t):
     return ml.monthly_snapshot_scores(
-        weekly_inputs(t), "week_start", "y", ["ratio4", "change1", "count_change2"], min_rows=1700
+        weekly_inputs(t), "week_start", "y", ["ratio4", "change1", "count_change2"]
     )
 
 

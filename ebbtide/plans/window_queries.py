@@ -408,14 +408,14 @@ def trend_index_warmup(t):
 @query(
     "compress_calendar",
     "entity:s date:d training_date:d gap_days:i sales:f4",
-    f"""WITH {panel_sql()}, src AS (SELECT entity, date, sales FROM panel WHERE gross > 800000 OR entity = 'PROMO' AND gross > 300000),
+    f"""WITH {panel_sql()}, src AS (SELECT entity, date, sales FROM panel WHERE (CAST(datediff('day', DATE '1990-01-01', date) AS BIGINT) * 7919) % 11 < 7),
  dd AS (SELECT DISTINCT date FROM src),
  m AS (SELECT date, DATE '2023-01-01' + CAST(row_number() OVER (ORDER BY date) - 1 AS INTEGER) AS training_date,
    coalesce(date - lag(date) OVER (ORDER BY date) - 1, 0) AS gap_days FROM dd)
  SELECT entity, date, training_date, gap_days, sales FROM src JOIN m USING (date)""",
 )
 def compress_calendar(t):
-    src = day_panel(t).where("gross > 800000 or (entity = 'PROMO' and gross > 300000)")
+    src = day_panel(t).where("(datediff(date, date'1990-01-01') * bigint(7919)) % 11 < 7")  # gaps at any size of the data
     return windows.compress_calendar(src, "date", "2023-01-01")
 
 
@@ -551,9 +551,9 @@ def label_conventions(t):
 @query(
     "consecutive_only",
     "entity:s week_start:d",
-    f"""WITH {week_panel_sql()}, s AS (SELECT entity, week_start FROM wpanel WHERE gross > 700000),
+    f"""WITH {week_panel_sql()}, s AS (SELECT entity, week_start FROM wpanel WHERE (CAST(datediff('day', DATE '1990-01-01', week_start) AS BIGINT) // 7 * 31 + length(entity)) % 9 < 7),
  g AS (SELECT *, week_start - lag(week_start) OVER w AS back, lead(week_start) OVER w - week_start AS ahead FROM s
    WINDOW w AS (PARTITION BY entity ORDER BY week_start)) SELECT entity, week_start FROM g WHERE back = 7 AND ahead = 7""",
 )
 def consecutive_only(t):
-    return windows.consecutive_only(week_panel(t).where("gross > 700000"), WEEK)
+    return windows.consecutive_only(week_panel(t).where("(datediff(week_start, date'1990-01-01') div 7 * 31 + length(entity)) % 9 < 7"), WEEK)

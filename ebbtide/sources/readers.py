@@ -29,7 +29,8 @@ def detect_layout(columns: Sequence[str]) -> str:
 def load_transactions(spark: SparkSession, path: str, layout: str | None = None) -> tuple[DataFrame, str]:
     """A header CSV as text columns plus its layout.
 
-    `row_no` follows the file order; it orders rejection messages.
+    `row_no` is the row's line in a file of one-line records, the header being
+    line 1. It orders rejection messages.
     """
     df = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
     if df.columns and df.columns[0].startswith("﻿"):
@@ -37,7 +38,26 @@ def load_transactions(spark: SparkSession, path: str, layout: str | None = None)
     found = layout or detect_layout(df.columns)
     if found == "invalid":
         raise ValueError("required transaction or date/net_sales columns are missing")
-    return df.withColumn("row_no", F.monotonically_increasing_id()), found
+    return numbered(df), found
+
+
+def numbered(df: DataFrame, first: int = 2) -> DataFrame:
+    """`row_no` in file order from `first` on. Rows are counted per partition;
+    only those counts, one per input split, reach the driver."""
+    marked = df.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+    sizes = {r["_part"]: r["n"] for r in marked.groupBy("_part").agg(F.count("*").alias("n")).collect()}
+    starts, before = {}, first
+    for part in sorted(sizes):
+        starts[part] = before
+        before += sizes[part]
+    pairs = [(p, s) for p, s in starts.items()]
+    table = df.sparkSession.createDataFrame(pairs, "_part int, _start bigint")
+    # the low 33 bits count the rows of a partition
+    return (
+        marked.join(F.broadcast(table), "_part")
+        .withColumn("row_no", F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+        .drop("_part", "_at", "_start")
+    )
 
 
 def read_delimited(spark: SparkSession, path: str, minimum: int = 5) -> DataFrame:

@@ -1,8 +1,7 @@
-"""Forecasting against known values and a plain restatement of the rules."""
+"""Forecasting against known values and series worked by hand."""
 
 import math
 from datetime import date, timedelta
-from statistics import median
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,77 +14,54 @@ def series(spark, named, start=date(2024, 1, 1)):
     return spark.createDataFrame(rows, "entity string, day date, v double")
 
 
-# a direct restatement used only to check the Spark expressions
-def expected_next(history, model):
-    seven_ago = history[-7]
-    same = [history[-k] for k in range(7, 57, 7) if k <= len(history)]
-    if model == "weekly_trend_7":
-        now, before = sum(history[-7:]), sum(history[-14:-7])
-        factor = 1.0 if before <= 0 else 1 + 0.55 * (min(max(now / before, 0.65), 1.35) - 1)
-        raw = seven_ago * min(max(factor, 0.8), 1.2)
-    else:
-        raw = {
-            "seasonal_naive_7": lambda: seven_ago,
-            "moving_average_7": lambda: sum(history[-7:]) / 7,
-            "moving_average_14": lambda: sum(history[-14:]) / 14,
-            "median_7": lambda: median(history[-7:]),
-            "median_14": lambda: median(history[-14:]),
-            "weekday_mean_8w": lambda: sum(same) / len(same),
-            "weekday_median_8w": lambda: median(same),
-            "seasonal_level_blend": lambda: 0.6 * seven_ago + 0.4 * median(history[-14:]),
-        }[model]()
-    limit = max(3 * max(history), 8 * sum(history) / len(history), 1.0)
-    return min(max(raw, 0.0), limit)
-
-
-def expected_path(history, model, h):
-    grown = list(history)
-    for _ in range(h):
-        grown.append(expected_next(grown, model))
-    return grown[len(history):]
+WEEK = [70.0, 80.0, 90.0, 100.0, 110.0, 120.0, 130.0]
+# worked by hand: the next value after four equal weeks, and after three and a doubled one
+NEXT_FLAT = {
+    "seasonal_naive_7": 70, "moving_average_7": 100, "moving_average_14": 100, "median_7": 100, "median_14": 100,
+    "weekday_mean_8w": 70, "weekday_median_8w": 70, "weekly_trend_7": 70, "seasonal_level_blend": 82,
+}
+NEXT_DOUBLED = {
+    "seasonal_naive_7": 140, "moving_average_7": 200, "moving_average_14": 150, "median_7": 200, "median_14": 135,
+    "weekday_mean_8w": 87.5, "weekday_median_8w": 70, "weekly_trend_7": 166.95, "seasonal_level_blend": 138,
+}
 
 
 def wave(n, seed):
     return [abs(100 + 40 * math.sin(i * 2 * math.pi / 7 + seed) + ((i * 37 + seed * 11) % 29) - 10) for i in range(n)]
 
 
-def test_paths_match_the_rules(spark):
-    named = {"a": wave(60, 1), "b": wave(31, 2), "c": [0.0] * 40 + [5.0]}
-    df = series(spark, named)
-    states = fc.recent_states(fc.running_state(df, ["entity"], "day", "v"), ["entity"], 7)
-    last = states.where("n = length")
-    for model in fc.CANDIDATES:
-        path = fc.simulate(F.col("values"), F.col("top"), F.col("total"), F.col("n"), model, 7)
-        got = {r["entity"]: r["p"] for r in last.select("entity", path.alias("p")).collect()}
-        for name, values in named.items():
-            assert got[name] == pytest.approx(expected_path(values, model, 7)), (model, name)
-
-
-def test_horizon_backtest_matches_the_rules(spark):
-    values = wave(80, 3)
-    states = fc.recent_states(fc.running_state(series(spark, {"a": values}), ["entity"], "day", "v"), ["entity"], 7)
-    got = {r["model"]: r for r in fc.horizon_backtest(states, ["entity"], 7).collect()}
-    latest = len(values) - 7
-    origins = range(max(28, latest - 56), latest + 1, 7)
-    for model in fc.CANDIDATES:
-        actual = [sum(values[o:o + 7]) for o in origins]
-        predicted = [sum(expected_path(values[:o], model, 7)) for o in origins]
-        wape = sum(abs(a - p) for a, p in zip(actual, predicted)) / sum(actual)
-        assert got[model]["total_wape"] == pytest.approx(wape)
-        assert got[model]["folds"] == len(origins)
-
-
-def test_one_step_backtest_matches_the_rules(spark):
-    values = wave(50, 4)
-    states = fc.recent_states(fc.running_state(series(spark, {"a": values}), ["entity"], "day", "v"), ["entity"], 7)
-    got = {r["model"]: r for r in fc.one_step_backtest(states, ["entity"]).collect()}
-    start = max(14, len(values) - 42)
+def states_of(spark, named):
+    return fc.recent_states(fc.running_state(series(spark, named), ["entity"], "day", "v"), ["entity"], 7)
+
+
+def test_next_values(spark):
+    last = states_of(spark, {"flat": WEEK * 4, "doubled": WEEK * 3 + [2 * v for v in WEEK]}).where("n = length")
+    assert set(fc.CANDIDATES) == set(NEXT_FLAT)
     for model in fc.CANDIDATES:
-        gaps = [abs(values[o] - expected_next(values[:o], model)) for o in range(start, len(values))]
-        assert got[model]["points"] == len(gaps)
-        assert got[model]["mae"] == pytest.approx(sum(gaps) / len(gaps))
-        rank = sorted(gaps)[round((len(gaps) - 1) * 0.9)]
-        assert got[model]["interval_error"] == pytest.approx(max(rank, 1.0))
+        path = fc.simulate(F.col("values"), F.col("top"), F.col("total"), F.col("n"), model, 1)
+        got = {r["entity"]: r["p"][0] for r in last.select("entity", path.alias("p")).collect()}
+        assert got == pytest.approx({"flat": NEXT_FLAT[model], "doubled": NEXT_DOUBLED[model]}), model
+
+
+def test_a_naive_path_repeats_the_week(spark):
+    path = fc.simulate(F.col("values"), F.col("top"), F.col("total"), F.col("n"), "seasonal_naive_7", 7)
+    row = states_of(spark, {"a": WEEK * 4}).where("n = length").select(path.alias("p")).first()
+    assert row["p"] == pytest.approx(WEEK)
+
+
+def test_horizon_backtest_of_equal_weeks(spark):
+    got = {r["model"]: r for r in fc.horizon_backtest(states_of(spark, {"a": (WEEK * 12)[:80]}), ["entity"], 7).collect()}
+    # origins 28, 35, ..., 70
+    for model in ("seasonal_naive_7", "weekday_mean_8w", "weekly_trend_7"):
+        assert got[model]["folds"] == 7 and got[model]["total_wape"] == pytest.approx(0), model
+
+
+def test_one_step_backtest_of_equal_weeks(spark):
+    got = {r["model"]: r for r in fc.one_step_backtest(states_of(spark, {"a": WEEK * 10}), ["entity"]).collect()}
+    assert got["seasonal_naive_7"]["mae"] == pytest.approx(0) and got["seasonal_naive_7"]["interval_error"] == pytest.approx(1)
+    # distances from the mean 100: 30, 20, 10, 0, 10, 20, 30
+    mean = got["moving_average_7"]
+    assert mean["points"] == 42 and mean["mae"] == pytest.approx(120 / 7) and mean["interval_error"] == pytest.approx(30)
 
 
 def test_known_series(spark):

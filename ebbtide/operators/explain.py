@@ -33,13 +33,17 @@ ACTIONS = {
 NO_SIGNAL_ACTION = "Continue monitoring and review products, customers and channels if the downward trend persists."
 
 
-def with_period(sales: DataFrame, window: int = 7, by: Sequence[str] = ()) -> DataFrame:
+def with_period(sales: DataFrame, window: int = 7, by: Sequence[str] = (), dates: DataFrame | None = None) -> DataFrame:
     """Rows of the newest window and the one before it, tagged `current` or
-    `previous`; per entity with `by`."""
+    `previous`; per entity with `by`. Overall, the newest date is read first;
+    `dates` (sale_date, transaction_type) may stand for `sales` there."""
     rows = transaction_level(sales)
     by = list(by)
-    last = rows.groupBy(*by).agg(F.max("sale_date").alias("_last"))
-    joined = rows.join(last, by) if by else rows.join(F.broadcast(last))
+    if by:
+        joined = rows.join(rows.groupBy(*by).agg(F.max("sale_date").alias("_last")), by)
+    else:
+        newest = (rows if dates is None else transaction_level(dates)).agg(F.max("sale_date")).first()[0]
+        joined = rows.withColumn("_last", F.lit(newest).cast("date"))
     d, end = F.col("sale_date"), F.col("_last")
     period = F.when(d > F.date_sub(end, window), "current").when(d > F.date_sub(end, 2 * window), "previous")
     return joined.withColumn("period", period).where("period is not null").drop("_last")

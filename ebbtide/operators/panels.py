@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.functions.calendar import week_start_sunday
 from ebbtide.functions.scalars import safe_ratio
+from ebbtide.operators.ordering import settle
 
 DAILY_ONLY_TYPES = ("DAILY_AGGREGATE", "DAILY_IMPORT")
 
@@ -30,8 +31,10 @@ def complete_grid(
     """Entities x calendar with measures zero-filled and `structural_zero` set
     on the cells that had no row.
 
+    The panel is written once, as entities, calendar and cells all read it.
     Filter the entities (`keep_keys`) before this step, never after it.
     """
+    panel = settle(panel)
     keys = [entity] if isinstance(entity, str) else list(entity)
     entities = panel.select(*keys).distinct()
     # the calendar is a one-row span exploded after the join: no row product
@@ -78,7 +81,7 @@ RICH = ("sales", "gross", "invoices", "customers", "products", "units", "transac
 def daily_rich(sales: DataFrame, day: str = "sale_date", by: Sequence[str] = ()) -> DataFrame:
     """Ten daily measures of transaction-level sales on a gap-free calendar."""
     grouped = transaction_level(sales).groupBy(*by, day).agg(*rich_measures())
-    grouped = grouped.select(*by, day, *[double(m).alias(m) for m in RICH])
+    grouped = settle(grouped.select(*by, day, *[double(m).alias(m) for m in RICH]))
     dates = calendar(grouped, day, by)
     daily = dates.join(grouped, [*by, day], "left").na.fill(0.0, list(RICH))
     return daily.withColumns(
@@ -91,7 +94,7 @@ def daily_rich(sales: DataFrame, day: str = "sale_date", by: Sequence[str] = ())
 
 def daily_series(sales: DataFrame, day: str = "sale_date", value: str = "net_sales", by: Sequence[str] = ()) -> DataFrame:
     """Net sales per day; a day without rows is a zero-sales day."""
-    grouped = sales.groupBy(*by, day).agg(F.sum(value).alias(value))
+    grouped = settle(sales.groupBy(*by, day).agg(F.sum(value).alias(value)))
     dates = calendar(grouped, day, by)
     return dates.join(grouped, [*by, day], "left").withColumn(
         value, F.coalesce(double(value), F.lit(0.0))
@@ -269,15 +272,18 @@ def sales_explorer(
     )
 
 
-def with_last_day(sales: DataFrame, day: str = "sale_date") -> DataFrame:
-    """Attach the newest date as `last_day` (a one-row broadcast)."""
-    return sales.join(F.broadcast(sales.agg(F.max(day).alias("last_day"))))
+def with_last_day(sales: DataFrame, day: str = "sale_date", dates: DataFrame | None = None) -> DataFrame:
+    """Attach the newest date as `last_day`. It is read first, as one value, so
+    that filters on it reach the scan. `dates` has the same dates as `sales`
+    and is cheaper to read, such as the lines without their dimensions."""
+    newest = (sales if dates is None else dates).agg(F.max(day)).first()[0]
+    return sales.withColumn("last_day", F.lit(newest).cast("date"))
 
 
-def dashboard_kpis(sales: DataFrame) -> DataFrame:
+def dashboard_kpis(sales: DataFrame, dates: DataFrame | None = None) -> DataFrame:
     """The last 30 days against the 30 before, in one pass over 60 days."""
     d, last = F.col("sale_date"), F.col("last_day")
-    scoped = with_last_day(sales).where(d > F.date_sub(last, 60)).withColumn(
+    scoped = with_last_day(sales, dates=dates).where(d > F.date_sub(last, 60)).withColumn(
         "_cur", d >= F.date_sub(last, 29)
     )
     cur = F.col("_cur")

@@ -15,7 +15,7 @@ COLS = ("sale_date", "transaction_number", "transaction_type", "customer_key", "
 
 
 def tagged(t, by=()):
-    return explain.with_period(t.sales(*COLS, *by), 7, by)
+    return explain.with_period(t.sales(*COLS, *by), 7, by, t.sales("sale_date", "transaction_type"))
 
 
 TAGGED = f"""{SALES}, tg AS (SELECT *, CASE WHEN sale_date > l - 7 THEN 'current' WHEN sale_date > l - 14 THEN 'previous' END AS period

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.functions.scalars import clip
 from ebbtide.operators import evidence, mix
+from ebbtide.operators.ordering import settle
 from ebbtide.operators.panels import double
 from ebbtide.operators.windows import Series
 from ebbtide.plans import base
@@ -174,6 +175,8 @@ def sector_to_merchant_ratio(t):
 def calibration_frames(t):
     """Base cells, a market series (supplier-side list amounts) and its shares."""
     tx = weekly_tx(t, "category", "net_sales", "gross_sales", "list_amount")
+    # one row per category and day, written once: everything below is small
+    tx = settle(tx.groupBy("week_start", "category", "sale_date").agg(*[F.sum(c).alias(c) for c in ("net_sales", "gross_sales", "list_amount")]))
     days = tx.groupBy("week_start").agg(F.countDistinct("sale_date").alias("days"))
     cells = tx.groupBy("week_start", "category").agg(
         double(F.sum("net_sales")).alias("net"), double(F.sum("gross_sales")).alias("gross"), double(F.sum("list_amount")).alias("m")
@@ -203,7 +206,7 @@ def market_calibration(t):
 
 
 def calibrated_lines(t):
-    factors = mix.market_calibration(*calibration_frames(t)).where("category <> 'PROMO'")
+    factors = settle(mix.market_calibration(*calibration_frames(t)).where("category <> 'PROMO'"))
     tx = weekly_tx(t, "category", "transaction_number", "line_number", "priority", "order_status", "net_sales")
     return mix.apply_calibration(tx.withColumn("eligible", F.col("order_status") != "P"), factors)
 

@@ -186,7 +186,8 @@ def dashboard_kpis(t):
         t.sales(
             "sale_date", "transaction_number", "product_id", "customer_key", "channel", "net_sales", "gross_sales",
             "discount_amount",
-        )
+        ),
+        t.sales("sale_date"),
     )
 
 

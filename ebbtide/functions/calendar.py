@@ -139,6 +139,39 @@ def event_windows(
     )
 
 
+def anchor_spans(df: DataFrame, day: str, anchors: Sequence[str], spans: Mapping[str, tuple[int, int]]) -> DataFrame:
+    """A 0/1 flag per span: the day stands lo to hi days after an anchor, both
+    included; negative numbers lie before it."""
+    dates = F.array(*[F.lit(a).cast("date") for a in sorted(anchors)])
+
+    def inside(lo: int, hi: int) -> Column:
+        return F.exists(dates, lambda a: F.datediff(F.col(day), a).between(lo, hi)).cast("int")
+
+    return df.withColumns({name: inside(lo, hi) for name, (lo, hi) in spans.items()})
+
+
+def window_phase(df: DataFrame, day: str, windows: Windows, prefix: str, length: int = 30) -> DataFrame:
+    """Whether a window runs, the day's share of `length`, its place on that
+    circle (0, 0 outside) and which run of ten days it falls in."""
+    d, number = F.col(day), F.lit(0)
+    for start, end in windows:
+        first = F.lit(start).cast("date")
+        number = F.when(d.between(first, F.lit(end).cast("date")), F.datediff(d, first) + 1).otherwise(number)
+    running = number > 0
+    angle = 2 * F.pi() * number / float(length)
+    return df.withColumns(
+        {
+            f"{prefix}_runs": running.cast("int"),
+            f"{prefix}_share": number / float(length),
+            f"{prefix}_first10": number.between(1, 10).cast("int"),
+            f"{prefix}_middle10": number.between(11, 20).cast("int"),
+            f"{prefix}_last10": number.between(21, 30).cast("int"),
+            f"{prefix}_sin": F.when(running, F.sin(angle)).otherwise(0.0),
+            f"{prefix}_cos": F.when(running, F.cos(angle)).otherwise(0.0),
+        }
+    )
+
+
 def window_progress(df: DataFrame, day: str, windows: Windows, prefix: str) -> DataFrame:
     """Day number inside the running window and which third of it."""
     d = F.col(day)

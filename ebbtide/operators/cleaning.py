@@ -123,6 +123,7 @@ def to_sales(df: DataFrame, layout: str) -> DataFrame:
             "customer_key": F.lit(None).cast("string"),
             "channel": F.lit("Aggregate"),
             "family": F.lit("Daily aggregate"),
+            "subclass": F.lit("Daily aggregate"),
             "franchise": F.lit("Imported CSV"),
             "quantity": _whole(parse_decimal(optional(df, "quantity"))),
             "unit_price": F.lit(1).cast(MONEY),
@@ -147,6 +148,7 @@ def to_sales(df: DataFrame, layout: str) -> DataFrame:
             "customer_key": F.nullif(_text("CustomerID"), F.lit("")),
             "channel": F.lit("Online"),
             "family": F.lit("Retail"),
+            "subclass": F.lit(None).cast("string"),
             "franchise": _cut(F.coalesce(F.nullif(F.col("Country"), F.lit("")), F.lit("UCI")), 120),
             "quantity": qty,
             "unit_price": price,
@@ -172,6 +174,7 @@ def to_sales(df: DataFrame, layout: str) -> DataFrame:
             "customer_key": F.nullif(_text("CUSTOMER NUMBER"), F.lit("")),
             "channel": _cut(F.coalesce(F.nullif(F.col("`SALES CHANNEL`"), F.lit("")), F.lit("Store")), 30),
             "family": _cut(optional(df, "FAMILY"), 80),
+            "subclass": _cut(optional(df, "SUBCLASS"), 120),
             "franchise": _cut(optional(df, "FRANCHISE"), 120),
             "quantity": _whole(parse_decimal(F.col("QUANTITY"))),
             "unit_price": parse_decimal(F.col("`Unit Price`")),

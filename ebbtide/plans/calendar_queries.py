@@ -82,6 +82,24 @@ def event_windows(t):
     return calendar.window_progress(d, "date", FASTS["fast"], "fast")
 
 
+SPANS = {"before7": (-7, -1), "day0_3": (0, 3), "after7": (4, 10)}
+
+
+@query(
+    "season_features",
+    "date:d fast_runs:i fast_share:f fast_first10:i fast_middle10:i fast_last10:i fast_sin:f fast_cos:f before7:i day0_3:i after7:i special:i",
+    f"""WITH {COMPANY}, e AS (SELECT unnest([{_EV}]) AS e),
+ x AS (SELECT date, {', '.join(f"max(CAST(date - e BETWEEN {lo} AND {hi} AS INTEGER)) AS {n}" for n, (lo, hi) in SPANS.items())} FROM company, e GROUP BY 1),
+ f(s, t) AS (VALUES {', '.join(f"(DATE '{s}', DATE '{t}')" for s, t in FASTS['fast'])}), n AS (SELECT x.*, coalesce(date - f.s + 1, 0) AS n FROM x LEFT JOIN f ON date BETWEEN f.s AND f.t)
+ SELECT date, CAST(n > 0 AS INTEGER) AS fast_runs, n / 30.0 AS fast_share, CAST(n BETWEEN 1 AND 10 AS INTEGER) AS fast_first10, CAST(n BETWEEN 11 AND 20 AS INTEGER) AS fast_middle10,
+   CAST(n BETWEEN 21 AND 30 AS INTEGER) AS fast_last10, CASE WHEN n > 0 THEN sin(2 * pi() * n / 30.0) ELSE 0 END AS fast_sin, CASE WHEN n > 0 THEN cos(2 * pi() * n / 30.0) ELSE 0 END AS fast_cos,
+   before7, day0_3, after7, greatest(CAST(n > 0 AS INTEGER), before7, day0_3, after7) AS special FROM n""",
+)
+def season_features(t):
+    d = calendar.window_phase(calendar.anchor_spans(days(t), "date", EVENTS, SPANS), "date", FASTS["fast"], "fast")
+    return d.withColumn("special", F.greatest("fast_runs", *SPANS))
+
+
 @query(
     "next7_counts",
     "date:d fast_next7:i feast_next7:i weekend_next7:i",

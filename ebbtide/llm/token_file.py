@@ -32,7 +32,7 @@ MAX_BITS = 20
 BLOCK_IDS = 1 << 17
 STEP = 64
 END_ID = 0
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 1_000_000
 
 _loaded: dict[str, tuple] = {}
 
@@ -160,13 +160,11 @@ def id_counts(tokens: DataFrame, type_: type) -> dict[int, int]:
     def rows(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                c = np.bincount(np.frombuffer(ids.as_py(), type_))
-                if len(c) > len(total):
-                    c[: len(total)] += total
-                    total = c
-                else:
-                    total[: len(c)] += c
+            c = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), type_))
+            if len(c) < len(total):
+                c, total = total, c
+            c[: len(total)] += total
+            total = c
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "c"])
 

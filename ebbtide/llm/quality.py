@@ -23,6 +23,8 @@ SAMPLE_DOCS = 6000
 #: Pieces per class that a dictionary is built from at most, and their bytes.
 PIECES, PIECE_BYTES = 20_000, 512
 DICTIONARY_BYTES = 512 << 10
+#: Bytes of the stretches that a dictionary is put together from.
+SEGMENT = 1024
 LEVEL = 3
 
 
@@ -64,36 +66,50 @@ class Sizer:
 def dictionary(pieces: list[bytes]) -> bytes:
     """A trained dictionary, or the pieces themselves where they are too few to train on."""
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, pieces).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, pieces, k=SEGMENT, d=8).as_bytes()
     except zstandard.ZstdError:
         return b"".join(pieces)[-DICTIONARY_BYTES:]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-3) -> np.ndarray:
-    """Weights of a ridge-penalised logistic regression by Newton steps; x has a column of ones."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, steps: int = 100, ridge: float = 1e-3) -> np.ndarray:
+    """Weights of a ridge-penalised logistic regression by Newton steps that are
+    halved until the loss falls; x has a column of ones."""
+    weight = np.ones(len(y)) if weight is None else weight
+    sign = 2 * y - 1
+
+    def loss(w: np.ndarray) -> float:
+        return float((weight * np.logaddexp(0, -sign * (x @ w))).sum() + ridge / 2 * (w @ w))
+
     w = np.zeros(x.shape[1])
+    now = loss(w)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
-        w += step
-        if np.abs(step).max() < 1e-9:
+        slope = x.T @ (weight * (y - p)) - ridge * w
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), slope)
+        size = 1.0
+        while size > 1e-6 and loss(w + size * step) > now:
+            size /= 2
+        if size <= 1e-6 or now - loss(w + size * step) < 1e-9 * (1 + now):
             break
+        w = w + size * step
+        now = loss(w)
     return w
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
     """Model from a bounded sample of the labelled rows outside the held-out fold.
 
-    Rows of one id with contradicting or null labels are left out. Two thirds of
-    the sample build the dictionaries, one third calibrates.
+    Rows of one id with contradicting or null labels are left out. One half of
+    the sample builds the dictionaries, the other calibrates.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out()).groupBy("doc_id")
     known = known.agg(F.min("quality").alias("quality"), F.max("quality").alias("top")).where("quality = top")
     lot = F.xxhash64(F.lit("sample"), "doc_id")
+    totals = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     picked = [known.where(F.col("quality") == q).orderBy(lot, "doc_id").limit(SAMPLE_DOCS) for q in (0, 1)]
     sample = picked[0].union(picked[1]).select(F.col("doc_id").alias("id"), "quality")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col(text).alias("body")).join(F.broadcast(sample), "id")
-    calibrates = F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(3)) == 0
+    calibrates = F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(2)) == 0
 
     def cut(batches):
         for batch in batches:
@@ -121,7 +137,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
         return Model(good, bad, (0.0,) * 5, (1.0,) * 5, (0.0,) * 6)
     x, y = np.array([r["x"] for r in fit]), np.array([r["quality"] for r in fit], float)
     mean, scale = x.mean(0), x.std(0) + 1e-9
-    weights = logistic(np.c_[np.ones(len(x)), (x - mean) / scale], y)
+    # the sample holds the classes more evenly than the labels do
+    share = np.array([totals[int(q)] / (y == q).sum() for q in y])
+    weights = logistic(np.c_[np.ones(len(x)), (x - mean) / scale], y, share * len(y) / share.sum())
     return Model(good, bad, tuple(mean), tuple(scale), tuple(weights))
 
 

@@ -48,7 +48,7 @@ def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 NGRAM_SQL = rf"""WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
-   '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+   '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
  grams AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ')
    ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] END AS g
    FROM words, LATERAL (SELECT unnest(generate_series(1, greatest(len(w) - 3, least(len(w), 1)))) AS i)),

@@ -1,10 +1,10 @@
 r"""Secrets in texts: fixed patterns first, then strings that look random.
 
 Two first-order Markov models over characters, one of random strings and one of
-ordinary identifiers, are counted from labelled samples: the values that the
-patterns find in all texts, and plain words of a bounded sample of texts. A
-candidate is added where the log-likelihood ratio per character transition is
-above a limit that ordinary words of the sample almost never reach.
+ordinary identifiers, are counted over all texts: from the values that the
+patterns find, and from plain words, each as often as it stands. A candidate is
+added where the log-likelihood ratio per character transition is above a limit
+that ordinary words almost never reach.
 
 DataFrame functions only.
 """
@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.operators.ordering import settle
+from ebbtide.operators.ordering import running_totals, settle
 
 # Kind, pattern, group that holds the value, least length of the value.
 KINDS = (
@@ -28,9 +28,7 @@ KINDS = (
 MODEL = "model"
 CANDIDATE = r"([A-Za-z0-9+/_=-]{16,})"
 ORDINARY = r"(?<![A-Za-z0-9+/_=.-])([A-Za-z][A-Za-z_]{5,})(?![A-Za-z0-9+/_=])"
-#: Distinct texts that ordinary words are taken from at most, those with the lowest hash; copies of one count as one.
-SAMPLE_DOCS = 2000
-#: Share of the sample's ordinary words that may pass the limit, and the least limit, in nats per transition.
+#: Share of all ordinary words that may pass the limit, and the least limit, in nats per transition.
 PASS, LEAST = 0.0005, 0.35
 SMOOTHING = 0.5
 RUN = 256
@@ -86,16 +84,16 @@ def base_spans(text: Column) -> Column:
 
 
 def _transitions(strings: DataFrame, weight: str) -> DataFrame:
-    """(pair, weight): how often one character code follows another in `string`."""
+    """(pair, weight): how often one character code follows another in (string, n), a string counting n times."""
     codes = F.transform(F.split("string", ""), F.ascii)
-    seen = strings.select(codes.alias("codes")).where("size(codes) > 1")
+    seen = strings.select(codes.alias("codes"), "n").where("size(codes) > 1")
     pairs = F.arrays_zip(F.slice("codes", 1, F.size("codes") - 1).alias("a"), F.slice("codes", 2, F.size("codes") - 1).alias("b"))
     return (
-        seen.select(F.explode(pairs).alias("p"))
-        .select((F.col("p.a") * CODES + F.col("p.b")).alias("pair"))
+        seen.select(F.explode(pairs).alias("p"), "n")
+        .select((F.col("p.a") * CODES + F.col("p.b")).alias("pair"), "n")
         .where(F.col("pair").between(0, CODES * CODES - 1))
         .groupBy("pair")
-        .agg(F.count("*").alias(weight))
+        .agg(F.sum("n").alias(weight))
     )
 
 
@@ -126,6 +124,13 @@ def mean_ratio(string: Column, table: list[float]) -> Column:
     return total / F.greatest(F.length(string) - 1, F.lit(1))
 
 
+def ratio_limit(ordinary: DataFrame, table: list[float]) -> float:
+    """The ratio that all but PASS of the words of (string, n) stay within, LEAST at least; exact, with one row per distinct ratio."""
+    ranked = running_totals(ordinary.select(mean_ratio(F.col("string"), table).alias("ratio"), "n"), "ratio", {"n": F.col("n")})
+    limit = ranked.where(F.col("cum_n") >= (1 - PASS) * F.col("total_n")).agg(F.min("ratio")).first()[0]
+    return max(LEAST, limit if limit is not None else LEAST)
+
+
 def find_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, base and spans (array<struct<start, place, stop, kind, value>>) for every row.
 
@@ -136,24 +141,23 @@ def find_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), body.alias("body"))
-    hinted = F.lit(False)
-    for _, pattern, _, _ in KINDS:
-        hinted = hinted | F.regexp_like("body", F.lit(pattern))
-    random = settle(rows.where(hinted).select(F.explode(base_spans(F.col("body"))["value"]).alias("string")).distinct())
-    # only the hash up to which texts are sampled reaches the driver
-    lot = rows.where("body != ''").select(F.xxhash64("body").alias("lot")).distinct()
-    upto = lot.orderBy("lot").limit(SAMPLE_DOCS).agg(F.max("lot")).first()[0]
-    lowest = rows.where((F.col("body") != "") & (F.xxhash64("body") <= F.lit(upto).cast("bigint"))).select("body").distinct()
     apart = lambda spans: F.filter(
         spans, lambda c: ~F.exists("base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
     )
-    words = lowest.select(base_spans(F.col("body")).alias("base"), matches(F.col("body"), ORDINARY, 2).alias("words"))
-    ordinary = settle(words.select(F.explode(apart("words")["value"]).alias("string")))
+    # one row per distinct string of either kind with its count
+    found = rows.where("body != ''").select(base_spans(F.col("body")).alias("base"), "body")
+    side = lambda values, plain: F.transform(values, lambda v: F.struct(F.lit(plain).alias("plain"), v.alias("string")))
+    # places of words matter only where there are base spans
+    words = F.when(F.size("base") == 0, F.regexp_extract_all("body", F.lit(ORDINARY), F.lit(1))).otherwise(
+        apart(matches(F.col("body"), ORDINARY, 2))["value"]
+    )
+    strings = settle(found.select(F.explode(F.concat(side(F.col("base")["value"], False), side(words, True))).alias("s")).groupBy("s.plain", "s.string").agg(F.count("*").alias("n")))
+    random = strings.where("not plain").select("string", F.lit(1).cast("bigint").alias("n"))
+    ordinary = strings.where("plain").select("string", "n")
     added = F.array().cast("array<struct<start:int,place:int,stop:int,kind:string,value:string>>")
     if random.limit(1).count():
         table = ratio_table(random, ordinary)
-        limit = ordinary.agg(F.percentile_approx(mean_ratio(F.col("string"), table), 1 - PASS, 10_000)).first()[0]
-        limit = max(LEAST, limit if limit is not None else LEAST)
+        limit = ratio_limit(ordinary, table)
         picked = F.filter(apart("candidates"), lambda c: mean_ratio(c["value"], table) > limit)
         added = F.transform(picked, lambda c: _span(c, len(KINDS), MODEL))
     read = rows.select("doc_id", base_spans(F.col("body")).alias("base"), matches(F.col("body"), CANDIDATE, 2).alias("candidates"))

@@ -288,6 +288,29 @@ def test_secret_model_adds_random_strings(spark):
     assert spans[100] == "model:4:28" and spans[101] == "" and all(spans[i].startswith("assign:") and "model" not in spans[i] for i in range(80))
 
 
+def test_secret_model_reads_the_words_of_all_texts(spark):
+    r = random.Random(11)
+    syllables = lambda n: "".join(r.choice("qxzjvk") + r.choice("aeiou") for _ in range(n))
+    plain = [" ".join(syllables(4) for _ in range(5)) for _ in range(4600)]
+    other = [" ".join("".join(r.choices("qxzjvk", k=18)) for _ in range(8)) for _ in range(600)]
+    keys = [f"token={''.join(r.choices('ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789', k=40))}" for _ in range(60)]
+    df = spark.createDataFrame([*enumerate(plain), *((10_000 + i, t) for i, t in enumerate(other)), *((20_000 + i, t) for i, t in enumerate(keys))], "doc_id bigint, text string")
+    # more than 2,000 texts with low hashes hold none of the other words
+    df = df.where("doc_id >= 20000 or (doc_id < 10000) = (xxhash64(text) < 0)").cache()
+    assert df.where("doc_id < 10000").count() > 2000
+    spans = {x["doc_id"]: x["spans"] for x in secret_scan.digests(secret_scan.find_secrets(df)).collect()}
+    others = [s for i, s in spans.items() if 10_000 <= i < 20_000]
+    assert len(others) > 200 and not any("model" in s for s in others)
+
+
+def test_secret_limit_counts_every_word(spark):
+    table = [0.0] * secret_scan.CODES**2
+    table[ord("a") * secret_scan.CODES + ord("b")], table[ord("a") * secret_scan.CODES + ord("c")] = 1.0, 2.0
+    rows = lambda n: spark.createDataFrame([("ab", 10_000), ("ac", n), ("ad", 5)], "string string, n bigint")
+    assert secret_scan.ratio_limit(rows(4), table) == 1.0 and secret_scan.ratio_limit(rows(6), table) == 2.0
+    assert secret_scan.ratio_limit(rows(4).limit(0), table) == secret_scan.LEAST
+
+
 # unigram counts
 
 

@@ -364,6 +364,32 @@ def test_leaks(spark, docs, no_docs):
     assert decontamination.leaks(rows, bench.limit(0)).count() == 0
 
 
+def test_leaks_in_dense_stretches_and_parts(spark):
+    dense = "John Smith and Mary Jones met Peter Brown in New York on 5 May 2020"
+    sums = "Compute 12 + 30 * 45 - 7 + 18 / 3"
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(59)]
+    words[10] = words[25] = words[45] = words[55] = "Arlo"
+    recurring = "so " + " ".join(words)
+    altered = "so " + " ".join([*words[:45], "Berta", *words[46:]])
+    opening = "Dora walks along the river every single morning"
+    bench = spark.createDataFrame([(1, dense), (2, sums), (3, recurring), (4, opening)], "item_id bigint, text string")
+    texts = [(1, f"it says that {dense}, then"), (2, f"please {sums} now"), (3, f"x y {altered} z"), (4, "they say Dora walks along the river every single morning"),
+             (5, "they say Elsa walks along the river every single morning"), (6, "Elsa walks along the river every single morning"), (7, dense.replace("Jones", "Johnson")),
+             (8, sums.replace("45", "46")), (9, "so " + " ".join(words).replace("Arlo", "Berta"))]
+    got = {(x["doc_id"], x["item_id"]): (x["words"], x["verbatim"]) for x in decontamination.leaks(spark.createDataFrame(texts, "doc_id bigint, text string"), bench).collect()}
+    assert got[1, 1] == (15, True) and got[2, 2] == (7, True) and got[3, 3] == (46, True)
+    assert (4, 4) in got and got[5, 4] == (8, False) and got[6, 4] == (8, False) and got[9, 3] == (60, False)
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (6, 4), (9, 3)}
+
+
+def test_longest_steady_part():
+    x, y, z = (1, 1), (1, 2), (3, 2)
+    part = decontamination.longest_part
+    assert part([x, None, None, y, None]) == (4, False) == part([None, y, None, None, x])
+    assert part([None, x, None, y]) == (3, True) and part([y, None, None, z]) == (3, False)
+    assert part([None] * 5) == (5, True) and part([x, None, x, (2, 2)]) == (4, True) and part([y, (2, 1), y]) == (3, False)
+
+
 # urls
 
 

@@ -122,12 +122,13 @@ def baseline_forecast(t):
 
 
 RIDGE = forecast.Ridge(
-    features=["lag_1", "lag_7", "lag_14", "rolling_7", "rolling_28", "std_7", "weekday_sin", "weekday_cos", "month_sin", "month_cos", "trend"],
-    mean=[1e5, 1e5, 1e5, 1e5, 1e5, 5e4, 0.0, 0.0, 0.0, 0.0, 1000.0],
-    scale=[5e4, 5e4, 5e4, 2e4, 1e4, 2e4, 0.7, 0.7, 0.7, 0.7, 700.0],
-    coefficients=[2e3, 6e3, 3e3, 4e3, 6e3, -5e2, 1e3, 1e3, 5e2, 5e2, 1e2],
+    features=["lag_1", "lag_2", "lag_3", "lag_7", "lag_14", "lag_21", "lag_28", "rolling_7", "rolling_14", "rolling_28", "std_7", "std_14",
+              "weekday_sin", "weekday_cos", "month_sin", "month_cos", "trend"],
+    mean=[1e5, 1e5, 1e5, 1e5, 1e5, 1e5, 1e5, 1e5, 1e5, 1e5, 5e4, 5e4, 0.0, 0.0, 0.0, 0.0, 1000.0],
+    scale=[5e4, 5e4, 5e4, 5e4, 5e4, 5e4, 5e4, 2e4, 1.5e4, 1e4, 2e4, 2e4, 0.7, 0.7, 0.7, 0.7, 700.0],
+    coefficients=[2e3, 1e3, 1e3, 6e3, 3e3, 2e3, 2e3, 4e3, 3e3, 6e3, -5e2, -3e2, 1e3, 1e3, 5e2, 5e2, 1e2],
     intercept=1e5,
-)
+)
 
 
 @query("ridge_forecast", "entity:s step:i predicted:f1")
@@ -156,9 +157,10 @@ def calibrate_to_local(t):
     return forecast.calibrate_to_local(arrays, KEY, forecast.baseline_path("seasonal_naive_7", 30), 30)
 
 
-@query("walk_forward", "origins:i daily_wape:f naive_daily_wape:f total_wape:f naive_total_wape:f interval_coverage:f wins:i losses:i")
+@query("walk_forward", "horizon:i origins:i daily_wape:f naive_daily_wape:f total_wape:f naive_total_wape:f interval_coverage:f wins:i losses:i")
 def walk_forward(t):
-    return forecast.walk_forward(base.day_panel(t), KEY, "date", "gross", 7)[1]
+    week, month = (forecast.walk_forward(base.day_panel(t), KEY, "date", "gross", h)[1].withColumn("horizon", F.lit(h)) for h in (7, 30))
+    return week.unionByName(month)
 
 
 @query(

@@ -140,3 +140,22 @@ def test_recent_change_needs_two_windows(spark):
     got = {r["entity"]: r for r in fc.recent_change(df, ["entity"], "day", "v").collect()}
     assert got["a"]["change_pct"] == pytest.approx(-60.0)
     assert got["b"]["previous_sales"] == 0 and got["b"]["change_pct"] == 0
+
+
+def test_ridge_query_has_all_features():
+    from ebbtide.plans import forecast_queries as queries
+
+    lags, means = (1, 2, 3, 7, 14, 21, 28), (7, 14, 28)
+    names = {*(f"lag_{k}" for k in lags), *(f"rolling_{k}" for k in means), "std_7", "std_14", "weekday_sin", "weekday_cos", "month_sin", "month_cos", "trend"}
+    assert set(queries.RIDGE.features) == names and len(queries.RIDGE.features) == 17
+    assert len(queries.RIDGE.mean) == len(queries.RIDGE.scale) == len(queries.RIDGE.coefficients) == 17
+
+
+def test_walk_forward_query_has_both_horizons(spark, monkeypatch):
+    from ebbtide.plans import base, forecast_queries as queries
+
+    rows = [("a", date(2024, 1, 1) + timedelta(days=i), 100.0 + 10 * (i % 7)) for i in range(150)]
+    df = spark.createDataFrame(rows, "entity string, date date, gross double")
+    monkeypatch.setattr(base, "day_panel", lambda t: df)
+    got = {x["horizon"]: x["origins"] for x in queries.walk_forward(None).collect()}
+    assert set(got) == {7, 30} and got[7] > got[30] > 0

@@ -416,6 +416,26 @@ def test_urls(spark):
     assert url_filter.judge_urls(df.limit(0), URL_RULES).count() == 0
 
 
+def test_url_counts_are_exact_at_any_size(spark, monkeypatch):
+    r = random.Random(8)
+    urls = [f"http://{r.choice(WORDS)}.{end}/{r.randrange(10**9)}" for end in ("org", "net") for _ in range(40)]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(900, None), (901, "")], "page_id bigint, url string")
+    rules = (("allow", "org", "/"), ("block", "net", "/1"))
+
+    def judged():
+        return {x["page_id"]: (x["verdict"], round(x["gap"], 9)) for x in url_filter.judge_urls(df, rules).collect()}
+
+    whole = judged()
+    # neither few cells nor few counts on the workers change a score
+    monkeypatch.setattr(url_filter, "CELL_BITS", 6)
+    monkeypatch.setattr(url_filter, "SHIPPED", 50)
+    assert judged() == whole and len({g for _, g in whole.values()}) > 20
+
+    counted = {x["key"]: (x["n0"], x["n1"]) for x in url_filter.count(df.where("url != ''").select("url", F.endswith(F.split_part("url", F.lit("/"), F.lit(3)), F.lit("org")).cast("int").alias("label"))).collect()}
+    want = Counter((int(k), u in urls[:40]) for u in urls for k in np.concatenate(url_filter._keys(u)).view(np.int64).ravel())
+    assert counted == {k: (want[k, False], want[k, True]) for k, _ in want}
+
+
 def test_url_model_tells_classes_apart():
     good, bad = ([f"https://{w}.{end}/{i}" for i, w in enumerate(WORDS)] for end in ("org/read", "biz/win-cash"))
     counts = np.zeros((2, 1 << url_filter.CELL_BITS), np.int64)

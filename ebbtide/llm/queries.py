@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ebbtide.llm import chat, decontamination, exact_dedup, mixing, ngram_join, quality, secret_scan, token_file, unigram, url_filter
+from ebbtide.llm import (
+    chat,
+    decontamination,
+    exact_dedup,
+    mixing,
+    ngram_join,
+    quality,
+    secret_scan,
+    spelling,
+    token_file,
+    unigram,
+    url_filter,
+)
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -107,6 +119,33 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, folder, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, folder, "documents"))
+
+
+SPELLING_SQL = rf"""WITH RECURSIVE bits AS (SELECT i AS byte, CAST(i AS BIGINT) AS v, 0 AS step FROM range(256) t(i)
+   UNION ALL SELECT byte, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, step + 1 FROM bits WHERE step < 8),
+ crc AS MATERIALIZED (SELECT list(v ORDER BY byte) AS t FROM bits WHERE step = 8),
+ runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents),
+ held AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 5 GROUP BY ALL),
+ marked AS (SELECT run, n, xor(list_reduce(flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+   lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [CAST(195 AS BIGINT), CAST(unicode(c) - 64 AS BIGINT)] END)),
+   lambda a, b: xor(a // 256, t[(xor(a, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS h FROM held, crc),
+ words AS MATERIALIZED (SELECT w AS word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 97 = 0
+   THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS w FROM marked)
+   WHERE length(w) >= 5 GROUP BY w HAVING sum(n) >= 3),
+ cut AS MATERIALIZED (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM words, LATERAL (SELECT unnest(range(length(word))) AS i)),
+ pairs AS (SELECT a.word AS a, a.n AS an, b.word AS b, b.n AS bn FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+   UNION SELECT a.word, a.n, b.word, b.n FROM words a JOIN cut b ON a.word = b.rest
+   UNION SELECT b.word, b.n, a.word, a.n FROM words a JOIN cut b ON a.word = b.rest),
+ best AS (SELECT a AS word, count(*) AS n_near, arg_min(b, (-bn, encode(b))) AS form, max(bn) AS form_n FROM pairs GROUP BY a),
+ near AS MATERIALIZED (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * n THEN form END AS form,
+   CASE WHEN form_n >= 2 * n THEN form_n END AS form_n FROM words w LEFT JOIN best USING (word)),
+ walk AS (SELECT word, word AS at, form AS ahead FROM near
+   UNION ALL SELECT walk.word, walk.ahead, near.form FROM walk JOIN near ON near.word = walk.ahead)
+SELECT near.word, form, walk.at AS root, n, n_near, form_n FROM near JOIN walk ON walk.word = near.word AND walk.ahead IS NULL"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_ngram_join": op2_ngram_join,
@@ -118,10 +157,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_quality": op9_quality,
     "op10_source_mix": op10_source_mix,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {
     "op1_chat_format": CHAT_SQL,
     "op2_ngram_join": NGRAM_SQL,
     "op6_exact_dedup": DEDUP_SQL,
+    "op11_spelling_variants": SPELLING_SQL,
 }

@@ -12,6 +12,7 @@ from ebbtide.llm import (
     exact_dedup,
     mixing,
     ngram_join,
+    phrases,
     quality,
     secret_scan,
     spelling,
@@ -146,6 +147,27 @@ SPELLING_SQL = rf"""WITH RECURSIVE bits AS (SELECT i AS byte, CAST(i AS BIGINT)
 SELECT near.word, form, walk.at AS root, n, n_near, form_n FROM near JOIN walk ON walk.word = near.word AND walk.ahead IS NULL"""
 
 
+def op13_phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+PHRASES_SQL = rf"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS id,
+   unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+ words AS MATERIALIZED (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+ grams AS (SELECT lang, k AS size, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM words, LATERAL (SELECT unnest([1, 2, 3]) AS k),
+   LATERAL (SELECT unnest(generate_series(1, len(w) - k + 1)) AS i)),
+ f AS MATERIALIZED (SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 10),
+ totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+ cuts AS (SELECT lang, size, phrase, f AS a, k, string_split(phrase, ' ') AS w FROM f, LATERAL (SELECT unnest(generate_series(1, size - 1)) AS k)),
+ scored AS (SELECT c.lang, c.size, c.phrase, a, k, x.f AS l, y.f AS r, CAST((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS BIGINT) AS score FROM cuts c
+   JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[k + 1:c.size], ' ')),
+ weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ free AS (SELECT * FROM weakest s WHERE NOT EXISTS (SELECT 1 FROM cuts t WHERE s.size = 2 AND t.size = 3 AND t.lang = s.lang AND 100 * t.a >= 50 * s.a
+   AND s.phrase = CASE t.k WHEN 1 THEN array_to_string(t.w[2:3], ' ') ELSE array_to_string(t.w[1:2], ' ') END)),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM free)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_ngram_join": op2_ngram_join,
@@ -158,6 +180,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_source_mix": op10_source_mix,
     "op11_spelling_variants": op11_spelling_variants,
+    "op13_phrase_mining": op13_phrase_mining,
 }
 
 ORACLES: dict[str, str] = {
@@ -165,4 +188,5 @@ ORACLES: dict[str, str] = {
     "op2_ngram_join": NGRAM_SQL,
     "op6_exact_dedup": DEDUP_SQL,
     "op11_spelling_variants": SPELLING_SQL,
+    "op13_phrase_mining": PHRASES_SQL,
 }

@@ -10,6 +10,7 @@ from ebbtide.llm import (
     chat,
     decontamination,
     exact_dedup,
+    html_text,
     mixing,
     ngram_join,
     phrases,
@@ -147,6 +148,10 @@ SPELLING_SQL = rf"""WITH RECURSIVE bits AS (SELECT i AS byte, CAST(i AS BIGINT)
 SELECT near.word, form, walk.at AS root, n, n_near, form_n FROM near JOIN walk ON walk.word = near.word AND walk.ahead IS NULL"""
 
 
+def op12_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract_text(table(spark, folder, "pages"))
+
+
 def op13_phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.collocations(table(spark, folder, "documents"))
 
@@ -180,6 +185,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_source_mix": op10_source_mix,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_html_extraction": op12_html_extraction,
     "op13_phrase_mining": op13_phrase_mining,
 }
 

@@ -36,12 +36,15 @@ from ebbtide.session import work_folder
 THRESHOLD = 10
 KEPT_PERCENT = 50
 TOP = 2000
-SHARDS = 3
+#: With more shards longer phrases begin sooner, and running counts are merged more often.
+SHARDS = 2
 CELL_BITS = 22
 #: Bytes of text of one language that are counted together; a longer piece stays whole.
 SLICE = 16 << 20
 NEVER = 100
 BUCKETS = 64
+#: Scores are counted in bands this wide: about a thousand per language.
+BAND = 1000
 
 _BREAKS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\t", b"\n" * 10 + b" ")
 _COUNTED = "key string, cell int, till int, n bigint"
@@ -177,7 +180,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", thres
     folder = _dealt(docs, text, lang, shards)
     shape = "lang string, text string"
     ready = np.full((2, 1 << CELL_BITS), NEVER, np.int8)
-    running = spark.createDataFrame([], f"{_COUNTED}, old bigint")
+    running = spark.createDataFrame([], _COUNTED)
     kept, totals, step = [], None, 0
     while True:
         steps = np.unique(ready[0][ready[0] < NEVER]) + 1
@@ -186,11 +189,10 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", thres
             break
         shared = spark.sparkContext.broadcast(ready)
         shard = spark.read.schema(f"{shape}, shard int").parquet(folder).where(F.col("shard") == step % shards).select("lang", "text")
-        counted = shard.mapInArrow(_scan(shared, step, shards), _COUNTED).withColumn("old", F.lit(0).cast("bigint"))
-        rows = counted.unionByName(running.withColumn("old", F.col("n")))
-        merged = settle(rows.groupBy("key", "cell", "till").agg(F.sum("n").alias("n"), F.sum("old").alias("old")))
-        fresh = merged.where((F.col("cell") >= 0) & (F.col("n") >= threshold) & (F.col("old") < threshold)).select("cell").distinct()
-        cells = fresh.toArrow()["cell"].to_numpy()  # each of the fixed number of cells at most once over all steps
+        rows = shard.mapInArrow(_scan(shared, step, shards), _COUNTED).unionByName(running)
+        merged = settle(rows.groupBy("key", "cell", "till").agg(F.sum("n").alias("n")))
+        reached = merged.where((F.col("cell") >= 0) & (F.col("n") >= threshold)).select("cell").distinct()
+        cells = reached.toArrow()["cell"].to_numpy()  # at most the fixed number of cells
         flat = ready.reshape(-1)
         flat[cells] = np.minimum(flat[cells], step)
         kept.append(settle(merged.where((F.col("till") == step) & (F.col("n") >= threshold)).select("key", "n")))
@@ -243,7 +245,12 @@ def collocations(
     scored = free.unionByName(triples).withColumn("score", score)
     weakest = F.min_by(F.struct("l", "r", "score"), F.struct("score", "k")).alias("w")
     scored = scored.groupBy("lang", "phrase", "a").agg(weakest).select("lang", "phrase", "a", "w.*")
-    # the best of each bucket first, so that no language is one task
+    # only scores that can be among the best, and of these the best of each bucket: no language is one task
+    scored = settle(scored.withColumn("band", F.floor(F.col("score") / BAND)))
+    down = Window.partitionBy("lang").orderBy(F.col("band").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    bands = scored.groupBy("lang", "band").agg(F.count(F.lit(1)).alias("rows"))
+    needed = bands.withColumn("above", F.coalesce(F.sum("rows").over(down), F.lit(0))).where(F.col("above") < top)
+    scored = scored.join(needed.select("lang", "band"), ["lang", "band"]).drop("band")
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     bucket = F.pmod(F.xxhash64("phrase"), F.lit(BUCKETS))
     best = scored.withColumn("bucket", bucket).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "bucket").orderBy(*order))).where(F.col("rank") <= top)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from datetime import timedelta
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -209,69 +211,145 @@ def monthly_snapshot_scores(
     return out.drop("_month").withColumn("exposed_from", F.date_add(day, 7))
 
 
+#: Lags and rolling spans of the weekly forecaster, in weeks.
+MARKET_LAGS = (1, 2, 3, 4, 8, 13, 26, 52)
+MARKET_SPANS = (4, 8, 13, 26, 52)
+
+
 def market_features(panel: DataFrame, entity: Sequence[str], week: str, value: str, count: str) -> DataFrame:
-    """Log lags, rolling log means and calendar position for the weekly
-    forecaster, with the h1 and h2 targets and when each becomes known."""
+    """Log levels, lags, rolling means and deviations, calendar position and
+    trend for the weekly forecaster, with the h1 and h2 targets."""
     s = Series(list(entity), week)
-    out = {}
-    for name, col in (("value", value), ("count", count)):
-        x = F.log1p(F.greatest(F.col(col).cast("double"), F.lit(0.0)))
-        out[f"log_{name}"] = x
-    d = panel.withColumns(out)
+    d = panel.withColumns({f"log_{n}": F.log1p(F.greatest(F.col(c).cast("double"), F.lit(0.0))) for n, c in (("value", value), ("count", count))})
     more = {}
     for name in ("value", "count"):
         c = f"log_{name}"
-        more.update({f"{c}_lag_{k}": s.lag(c, k) for k in (1, 2, 4, 8)})
-        more.update({f"{c}_mean_{w}": s.rolling(c, w) for w in (4, 13)})
+        more.update({f"{c}_lag_{k}": s.lag(c, k) for k in MARKET_LAGS})
+        for w in MARKET_SPANS:
+            more[f"{c}_mean_{w}"], more[f"{c}_std_{w}"] = s.rolling(c, w), s.rolling(c, w, "std")
         more.update({f"{name}_h{h}": s.lead(c, h) for h in (1, 2)})
     angle = 2 * F.pi() * F.weekofyear(week) / 52.18
-    more.update({"week_sin": F.sin(angle), "week_cos": F.cos(angle)})
+    more.update({"week_sin": F.sin(angle), "week_cos": F.cos(angle), "trend": (s.row_no() - 1).cast("double")})
     return d.withColumns(more)
 
 
 MARKET_INPUTS = tuple(
-    ["log_value", "log_count"]
-    + [f"log_{n}_lag_{k}" for n in ("value", "count") for k in (1, 2, 4, 8)]
-    + [f"log_{n}_mean_{w}" for n in ("value", "count") for w in (4, 13)]
-    + ["week_sin", "week_cos"]
+    [f"log_{n}" for n in ("value", "count")]
+    + [f"log_{n}_lag_{k}" for n in ("value", "count") for k in MARKET_LAGS]
+    + [f"log_{n}_{f}_{w}" for n in ("value", "count") for w in MARKET_SPANS for f in ("mean", "std")]
+    + ["week_sin", "week_cos", "trend"]
 )
 MARKET_TARGETS = ("value_h1", "value_h2", "count_h1", "count_h2")
 
 
+def week_statistics(d: DataFrame, week: str, inputs: Sequence[str], targets: Sequence[str], shift: Sequence[float]) -> dict:
+    """{week: per target (rows, Z'Z, Z'y, y'y)} with Z = (1, inputs - shift).
+
+    Rows are summed to one set of matrices per week and task, then per week;
+    what reaches the driver is as long as the calendar. Only rows with all
+    inputs count, for each target those that have it.
+    """
+    size, moved = len(inputs) + 1, np.array(shift)
+
+    def partial(batches):
+        sums: dict = {}
+        for b in batches:
+            z = np.c_[np.ones(len(b)), np.column_stack([b[c].to_numpy(zero_copy_only=False) for c in inputs]) - moved]
+            y = np.column_stack([b[c].cast(pa.float64()).to_numpy(zero_copy_only=False) for c in targets])
+            weeks, place = np.unique(b[week].to_numpy(zero_copy_only=False), return_inverse=True)
+            for i, w in enumerate(weeks.tolist()):
+                here = place == i
+                for k in range(len(targets)):
+                    known = here & ~np.isnan(y[:, k])
+                    zk, yk = z[known], y[known, k]
+                    stats = np.concatenate([(zk.T @ zk).ravel(), zk.T @ yk, [yk @ yk]])
+                    sums[w, k] = sums.get((w, k), 0.0) + stats
+        yield from out(sums)
+
+    def out(sums):
+        if sums:
+            keys = list(sums)
+            columns = [pa.array([w for w, _ in keys], pa.date32()), pa.array([k for _, k in keys], pa.int32()), pa.array([sums[k].tobytes() for k in keys], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["week", "target", "stats"])
+
+    def total(batches):
+        sums: dict = {}
+        for b in batches:
+            for w, k, raw in zip(*(b[c].to_pylist() for c in ("week", "target", "stats")), strict=True):
+                sums[w, k] = sums.get((w, k), 0.0) + np.frombuffer(raw)
+        yield from out(sums)
+
+    shape = "week date, target int, stats binary"
+    rows = d.select(week, *inputs, *targets).na.drop(subset=list(inputs))
+    summed = rows.mapInArrow(partial, shape).repartition("week").mapInArrow(total, shape)
+    found: dict = {}
+    for r in summed.collect():
+        v = np.frombuffer(r["stats"])
+        found.setdefault(r["week"], {})[r["target"]] = (v[: size * size].reshape(size, size), v[size * size : -1], v[-1])
+    return found
+
+
+def ridge_from_statistics(zz: np.ndarray, zy: np.ndarray, alpha: float) -> np.ndarray:
+    """(intercept, coefficients) of the ridge regression on standardised inputs
+    with penalty `alpha`, from the sums alone; constant inputs get 0."""
+    n, mean = zz[0, 0], zz[0, 1:] / zz[0, 0]
+    spread = zz[1:, 1:] / n - np.outer(mean, mean)
+    scale = np.sqrt(np.clip(np.diag(spread), 0, None))
+    free = scale > 1e-9
+    cross = zy[1:] / n - mean * zy[0] / n
+    out = np.zeros(len(zy))
+    if free.any():
+        unit = scale[free]
+        a = spread[np.ix_(free, free)] / np.outer(unit, unit) + alpha / n * np.eye(int(free.sum()))
+        out[1:][free] = np.linalg.solve(a, cross[free] / unit) / unit
+    out[0] = zy[0] / n - out[1:] @ mean
+    return out
+
+
 def walk_forward_market_forecast(
-    features: DataFrame, week: str, first: str, batch_weeks: int = 4, kind: str = "ridge", min_rows: int = 50
+    features: DataFrame, week: str, alpha: float = 1.0, min_rows: int = 80, inputs: Sequence[str] = MARKET_INPUTS, targets: Sequence[str] = MARKET_TARGETS
 ) -> DataFrame:
-    """h1 and h2 forecasts of value and count, refitted every few weeks.
+    """h1 and h2 forecasts of value and count, refitted every week.
 
     A row may train a model only when its target week lies at or before the
-    anchor. The loop runs over anchors; each fit is distributed.
+    origin. Ridge regressions need sums of products only, so these are added
+    up per week in one pass and accumulated over the weeks; every origin's
+    model is solved from its prefix. Adds `train_h1`, `train_h2` and the
+    forecasts, NULL where fewer than `min_rows` rows may train.
     """
-    d = settle(features.na.drop(subset=list(MARKET_INPUTS)))
-    span = d.agg(F.max(week).alias("hi")).first()["hi"]
-    anchors = [
-        r["a"]
-        for r in d.sparkSession.range(1)
-        .select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(span), F.make_dt_interval(F.lit(7 * batch_weeks)))).alias("a"))
-        .collect()
-    ]
-    out = None
-    for a in anchors:
-        scored = d.where((F.col(week) >= F.lit(a)) & (F.col(week) < F.date_add(F.lit(a), 7 * batch_weeks)))
-        for target in MARKET_TARGETS:
-            h = int(target[-1])
-            known = d.where((F.date_add(week, 7 * h) <= F.lit(a)) & F.col(target).isNotNull())
-            n = known.count()
-            if n < min_rows:
-                scored = scored.withColumn(f"predicted_{target}", F.lit(None).cast("double"))
-                continue
-            model = fit_regressor(known, MARKET_INPUTS, target, kind, low=0.0, high=100.0)
-            cols = scored.columns
-            scored = model.transform(scored).withColumn(f"predicted_{target}", F.expm1("prediction")).select(
-                *cols, f"predicted_{target}"
-            )
-        scored = scored.withColumn("anchor", F.lit(a))
-        out = scored if out is None else out.unionByName(scored)
-    return out
+    d = settle(features.na.drop(subset=list(inputs)))
+    spark = d.sparkSession
+    means = d.agg(*[F.avg(c) for c in inputs]).first()
+    shift = [m or 0.0 for m in means]
+    weekly = week_statistics(d, week, inputs, targets, shift)
+    weeks = sorted(r[0] for r in d.select(week).distinct().collect())  # the calendar
+    size, models = len(inputs) + 1, []
+    sums = [(np.zeros((size, size)), np.zeros(size)) for _ in targets]
+    ready = sorted(((w + timedelta(days=7 * int(t[-1])), k, w) for w, found in weekly.items() for k, t in enumerate(targets) if k in found), key=lambda x: (x[0], x[1]))
+    at = 0
+    for origin in weeks:
+        while at < len(ready) and ready[at][0] <= origin:
+            _, k, w = ready[at]
+            zz, zy, _ = weekly[w][k]
+            sums[k] = (sums[k][0] + zz, sums[k][1] + zy)
+            at += 1
+        row: list = [origin]
+        for zz, zy in sums:
+            solved = ridge_from_statistics(zz, zy, alpha) if zz[0, 0] >= min_rows else None
+            row += [int(zz[0, 0]), None if solved is None else [float(x) for x in solved]]
+        models.append(tuple(row))
+    shape = ", ".join([f"{week} date", *(f"n_{t} bigint, model_{t} array<double>" for t in targets)])
+    table = F.broadcast(spark.createDataFrame(models, shape))  # a row per week of the calendar
+    x = F.array(F.lit(1.0), *[F.col(c) - F.lit(float(m)) for c, m in zip(inputs, shift, strict=True)])
+
+    def predicted(t: str) -> Column:
+        products = F.zip_with(F.col("_x"), F.col(f"model_{t}"), lambda a, b: a * b)
+        return F.expm1(F.greatest(F.aggregate(products, F.lit(0.0), lambda total, p: total + p), F.lit(0.0)))
+
+    scored = d.withColumn("_x", x).join(table, week, "left")
+    out = {f"predicted_{t}": F.when(F.col(f"model_{t}").isNotNull(), predicted(t)) for t in targets}
+    sizes = {f"train_h{h}": F.col(f"n_{next(t for t in targets if t.endswith(f'h{h}'))}") for h in (1, 2) if any(t.endswith(f"h{h}") for t in targets)}
+    return scored.withColumns({**sizes, **out}).drop("_x", *[f"{p}_{t}" for t in targets for p in ("n", "model")])
 
 
 def training_set_sizes(features: DataFrame, week: str, anchors: DataFrame) -> DataFrame:

@@ -148,52 +148,73 @@ def retail_audit(raw: DataFrame, amount: str = "net_sales") -> DataFrame:
 PANEL = ("sales", "gross", "returns", "units", "lines", "invoices", "electronic_invoices", "customers", "products")
 
 
-def group_panel(tx: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Additive measures and exact distinct counts per group.
-
-    `electronic` is a property of the invoice: an invoice counts once.
-    """
-    grouped = tx.groupBy(*keys).agg(
-        F.sum("net_sales").alias("sales"),
-        F.sum(F.greatest(F.col("net_sales"), F.lit(0).cast("decimal(18,4)"))).alias("gross"),
-        F.sum(F.greatest(-F.col("net_sales"), F.lit(0).cast("decimal(18,4)"))).alias("returns"),
-        F.sum(F.abs("quantity")).alias("units"),
-        F.count(F.lit(1)).alias("lines"),
-        F.countDistinct("transaction_number").alias("invoices"),
-        F.countDistinct(F.when(F.col("electronic"), F.col("transaction_number"))).alias("electronic_invoices"),
-        F.countDistinct(observed_customer()).alias("customers"),
-        F.countDistinct("product_id").alias("products"),
-    )
-    return grouped.select(*keys, *[double(m).alias(m) for m in PANEL])
+def panel_measures() -> dict[str, Column]:
+    """Aggregates behind the PANEL names. `electronic` is a property of the
+    invoice: an invoice counts once."""
+    zero = F.lit(0).cast("decimal(18,4)")
+    return {
+        "sales": F.sum("net_sales"),
+        "gross": F.sum(F.greatest(F.col("net_sales"), zero)),
+        "returns": F.sum(F.greatest(-F.col("net_sales"), zero)),
+        "units": F.sum(F.abs("quantity")),
+        "lines": F.count(F.lit(1)),
+        "invoices": F.countDistinct("transaction_number"),
+        "electronic_invoices": F.countDistinct(F.when(F.col("electronic"), F.col("transaction_number"))),
+        "customers": F.countDistinct(observed_customer()),
+        "products": F.countDistinct("product_id"),
+    }
+
+
+def group_panel(tx: DataFrame, keys: Sequence[str], measures: Sequence[str] = PANEL) -> DataFrame:
+    """Additive measures and exact distinct counts per group. Ask only for
+    what is read: each distinct count adds a copy of every line to the shuffle."""
+    built = panel_measures()
+    return tx.groupBy(*keys).agg(*[built[m].cast("double").alias(m) for m in measures])
+
+
+#: name -> (numerator, denominator)
+PANEL_RATIOS = {
+    "basket": ("sales", "invoices"),
+    "avg_unit_value": ("gross", "units"),
+    "return_rate": ("returns", "gross"),
+    "electronic_share": ("electronic_invoices", "invoices"),
+}
 
 
 def panel_ratios(panel: DataFrame) -> DataFrame:
-    """Ratios recomputed from the sums; safe on zero cells."""
-    one = F.lit(1.0)
+    """Ratios recomputed from the sums at hand; safe on zero cells."""
     return panel.withColumns(
         {
-            "basket": F.col("sales") / F.greatest(F.col("invoices"), one),
-            "avg_unit_value": F.col("gross") / F.greatest(F.col("units"), one),
-            "return_rate": F.col("returns") / F.greatest(F.col("gross"), one),
-            "electronic_share": F.col("electronic_invoices") / F.greatest(F.col("invoices"), one),
+            name: F.col(top) / F.greatest(F.col(bottom), F.lit(1.0))
+            for name, (top, bottom) in PANEL_RATIOS.items()
+            if {top, bottom} <= set(panel.columns)
         }
     )
 
 
-def category_day_panel(tx: DataFrame, entity: Sequence[str] = ("category",), day: str = "sale_date") -> DataFrame:
-    """One row per (entity, day) on the full grid."""
-    return panel_ratios(complete_grid(group_panel(tx, [*entity, day]), entity, day, PANEL))
+def category_day_panel(
+    tx: DataFrame, entity: Sequence[str] = ("category",), day: str = "sale_date", measures: Sequence[str] = PANEL
+) -> DataFrame:
+    """One row per (entity, day) on the full grid, with the measures asked for."""
+    return panel_ratios(complete_grid(group_panel(tx, [*entity, day], measures), entity, day, measures))
 
 
-def category_week_panel(tx: DataFrame, entity: Sequence[str] = ("category",), day: str = "sale_date") -> DataFrame:
-    """By Sunday week, only weeks the data covers to their last day."""
-    weekly = tx.withColumn("week_start", week_start_sunday(F.col(day)))
-    bounds = tx.agg(F.min(day).alias("_first"), F.max(day).alias("_last"))
-    weekly = weekly.join(F.broadcast(bounds)).where(
-        (F.date_add("week_start", 6) <= F.col("_last")) & (F.col("week_start") >= F.col("_first"))
-    )
-    grouped = group_panel(weekly, [*entity, "week_start"])
-    return panel_ratios(complete_grid(grouped, entity, "week_start", PANEL, 7))
+def category_week_panel(
+    tx: DataFrame,
+    entity: Sequence[str] = ("category",),
+    day: str = "sale_date",
+    measures: Sequence[str] = PANEL,
+    dates: DataFrame | None = None,
+) -> DataFrame:
+    """By Sunday week, only weeks the data covers to their last day. `dates`
+    has the same dates as `tx` and is cheaper to read; the two bounds are read
+    first, as values, so that the filter on them reaches the scan."""
+    first, last = (tx if dates is None else dates).agg(F.min(day), F.max(day)).first()
+    week = week_start_sunday(F.col(day))
+    whole = (F.date_add(week, 6) <= F.lit(last).cast("date")) & (week >= F.lit(first).cast("date"))
+    weekly = tx.where(whole).withColumn("week_start", week)
+    grouped = group_panel(weekly, [*entity, "week_start"], measures)
+    return panel_ratios(complete_grid(grouped, entity, "week_start", measures, 7))
 
 
 def entity_day_exact(tx: DataFrame, entity: Sequence[str], day: str = "sale_date") -> DataFrame:

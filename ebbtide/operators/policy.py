@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbtide.functions.scalars import odds_shift, safe_ratio
 from ebbtide.operators.history import local_prior
-from ebbtide.operators.ordering import exact_quantiles, quantile_grid, range_bucket, running_totals, settle
+from ebbtide.operators.ordering import cut_points, exact_quantiles, quantile_grid, range_bucket, running_totals, settle
 from ebbtide.operators.windows import Series
 
 
@@ -355,21 +357,59 @@ def selective_metrics(df: DataFrame, label: str, by: Sequence[str] = ()) -> Data
     )
 
 
-def _past_counts(df: DataFrame, week: str, score: str, by: Sequence[str], weeks: int, side: Column, above: bool, out: str) -> DataFrame:
-    """For each row: earlier rows on `side` with score >= (or <=) its own, and
-    how many there are, over the last `weeks` weeks.
+#: Children of a node in the tree of score ranks.
+FAN = 32
 
-    History is first counted per (week, score), then carried to the weeks it
-    serves - a fixed factor - and accumulated over the scores.
+
+def _past_counts(df: DataFrame, week: str, score: str, by: Sequence[str], weeks: int, sides: Mapping[str, tuple[Column, bool]]) -> DataFrame:
+    """For each (by, week, score) and side (condition, above): earlier rows of
+    the side with score >= (above) or <= the own one, and all of them, within
+    the last `weeks` weeks and ever.
+
+    Distinct scores are numbered and form a tree with FAN children a node. On
+    every level a row is counted once, under its node's parent; the counts of a
+    parent's children are accumulated over the weeks, and a score takes those
+    of the children beyond its own. So each row is counted in as many places as
+    the tree has levels, and neither rows nor scores are paired. NULL scores
+    are left out. Columns: {side}_extreme, {side}_n, both also with _ever.
     """
     by = list(by)
-    history = df.where(side).groupBy(*by, week, score).agg(F.count(F.lit(1)).alias("_h"))
-    last = df.agg(F.max(week).alias("_end"))
-    ahead = F.sequence(F.date_add(week, 7), F.least(F.date_add(week, 7 * weeks), F.greatest(F.col("_end"), F.date_add(week, 7))), F.make_dt_interval(F.lit(7)))
-    served = history.join(F.broadcast(last)).select(*by, F.explode(ahead).alias(week), score, "_h")
-    current = df.select(*by, week, score).distinct().withColumn("_h", F.lit(0).cast("long"))
-    table = running_totals(served.unionByName(current), score, {"h": F.col("_h")}, [*by, week], descending=above)
-    return table.select(*by, week, score, F.col("cum_h").alias(f"{out}_extreme"), F.col("total_h").alias(f"{out}_n"))
+    counts = {f"_{name}": F.count_if(cond) for name, (cond, _) in sides.items()}
+    cells = settle(df.where(F.col(score).isNotNull()).groupBy(*by, week, score).agg(*[c.alias(n) for n, c in counts.items()]))
+    ranks = settle(running_totals(cells.select(score).distinct(), score, {"n": F.lit(1)}).select(score, (F.col("cum_n") - 1).alias("_rank")))
+    levels, size = 1, ranks.count()
+    while FAN**levels < size:
+        levels += 1
+    cells = cells.join(ranks, score)
+    out = cells.select(*by, week, score, "_rank")
+    found: dict[str, Column] = {}
+    for level in range(levels):
+        below = FAN ** (levels - 1 - level)
+        parent, child = F.expr(f"_rank div {below * FAN}"), F.expr(f"(_rank div {below}) % {FAN}")
+        one = {f"{n}_{i}": F.sum(F.when(F.col("_child") == i, F.col(n)).otherwise(0)) for n in counts for i in range(FAN)}
+        nodes = cells.withColumns({"_parent": parent, "_child": child}).groupBy(*by, "_parent", week).agg(*[c.alias(n) for n, c in one.items()])
+        order = Window.partitionBy(*by, "_parent").orderBy(F.unix_date(week))
+        frames = {"": order.rangeBetween(-7 * weeks, -7), "_ever": order.rangeBetween(Window.unboundedPreceding, -7)}
+        sums = [
+            F.array(*[F.coalesce(F.sum(f"_{name}_{i}").over(frame), F.lit(0)) for i in range(FAN)]).alias(f"_{name}{when}{level}")
+            for name in sides
+            for when, frame in frames.items()
+        ]
+        table = nodes.select(*by, "_parent", week, *sums)
+        out = out.withColumns({"_parent": parent, f"_child{level}": child}).join(table, [*by, "_parent", week]).drop("_parent")
+        for name, (_, above) in sides.items():
+            for when in frames:
+                held, at = F.col(f"_{name}{when}{level}"), F.col(f"_child{level}")
+                own = 1 if level == levels - 1 else 0  # the score itself counts
+                beyond = F.slice(held, at + 2 - own, F.lit(FAN)) if above else F.slice(held, F.lit(1), (at + own).cast("int"))
+                found[f"{name}_extreme{when}"] = found.get(f"{name}_extreme{when}", F.lit(0)) + _array_sum(beyond)
+                if not level:
+                    found[f"{name}_n{when}"] = _array_sum(held)
+    return out.select(*by, week, score, *[c.alias(n) for n, c in found.items()])
+
+
+def _array_sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("bigint"), lambda a, x: a + x)
 
 
 def conformal_state(
@@ -380,28 +420,115 @@ def conformal_state(
     """p-values of each score against earlier negatives (all entities, and its
     own when it has enough) and earlier positives; states from their levels.
 
-    Until enough history exists the state is AMBER with NULL p-values.
+    The last `weeks` weeks calibrate (`calibration` = window); where they hold
+    too few rows of either class, all earlier weeks do (all). Until these are
+    enough the state is AMBER with NULL p-values (none), as for NULL scores;
+    `require_calibration` makes that an error.
     """
     y = F.col(label) == 1
-    neg = _past_counts(df, week, score, [], weeks, ~y, True, "neg")
-    own = _past_counts(df, week, score, [entity], weeks, ~y, True, "own")
-    pos = _past_counts(df, week, score, [], weeks, y, False, "pos")
-    d = df.join(neg, [week, score]).join(pos, [week, score]).join(own, [entity, week, score])
+    whole = _past_counts(df, week, score, [], weeks, {"neg": (~y, True), "pos": (y, False)})
+    own = _past_counts(df, week, score, [entity], weeks, {"own": (~y, True)})
+    d = df.join(whole, [week, score], "left").join(own, [entity, week, score], "left")
+
+    def enough(when: str) -> Column:
+        return (F.col(f"neg_n{when}") >= min_negatives) & (F.col(f"pos_n{when}") >= min_positives)
+
+    d = d.withColumn("calibration", F.when(enough(""), "window").when(enough("_ever"), "all").otherwise("none"))
+    recent = F.col("calibration") == "window"
 
     def p(kind: str) -> Column:
-        return (1 + F.col(f"{kind}_extreme")) / (F.col(f"{kind}_n") + 1)
+        extreme, n = (F.when(recent, F.col(f"{kind}_{x}")).otherwise(F.col(f"{kind}_{x}_ever")) for x in ("extreme", "n"))
+        return F.when(F.col("calibration") != "none", (1 + extreme) / (n + 1))
 
-    enough = (F.col("neg_n") >= min_negatives) & (F.col("pos_n") >= min_positives)
+    own_n = F.when(recent, F.col("own_n")).otherwise(F.col("own_n_ever"))
     d = d.withColumns(
+        {"p_market": p("neg"), "p_entity": F.when(own_n >= min_entity, p("own")).otherwise(p("neg")), "p_decline": p("pos")}
+    ).drop(*[f"{k}_{x}{w}" for k in ("neg", "own", "pos") for x in ("extreme", "n") for w in ("", "_ever")])
+    return d.withColumn("state", conformal_levels(red_market, red_entity, green))
+
+
+def conformal_levels(red_market: float | Column, red_entity: float | Column, green: float | Column) -> Column:
+    """RED, GREEN or AMBER from p_market, p_entity and p_decline."""
+    is_red = (F.col("p_market") <= red_market) & (F.col("p_entity") <= red_entity)
+    return F.when(is_red, "RED").when(F.col("p_decline") <= green, "GREEN").otherwise("AMBER")
+
+
+def require_calibration(states: DataFrame, week: str, first: str) -> DataFrame:
+    """`states` from `first` on; an error if any of these rows has no calibration."""
+    checked = states.where(F.col(week) >= F.lit(first).cast("date"))
+    short = checked.where("calibration = 'none'").agg(F.count(F.lit(1)).alias("n"), F.min(week).alias("w")).first()
+    if short["n"]:
+        raise ValueError(f"too little history to calibrate {short['n']} rows from {short['w']} on")
+    return checked
+
+
+# The levels that are tried.
+RED_MARKET_LEVELS = (0.005, 0.0075, 0.01, 0.015, 0.02, 0.03, 0.05)
+RED_ENTITY_LEVELS = (0.03, 0.05, 0.08, 0.10, 0.15, 0.20)
+GREEN_LEVELS = (0.005, 0.01, 0.015, 0.02, 0.025, 0.03, 0.04, 0.05, 0.08, 0.10, 0.12, 0.15, 0.20, 0.25)
+
+
+def conformal_alphas(
+    states: DataFrame,
+    label: str,
+    red_precision: float,
+    red_fpr: float,
+    alert_recall: float,
+    green_npv: float,
+    min_red: int = 3,
+    levels: tuple[Sequence[float], Sequence[float], Sequence[float]] = (RED_MARKET_LEVELS, RED_ENTITY_LEVELS, GREEN_LEVELS),
+) -> DataFrame:
+    """Every choice of the three levels with its figures, gates and `rank`.
+
+    Each p-value is first reduced to the number of levels below it, so all rows
+    become counts of a few hundred cells; the choices are sums over those. A
+    choice passes if RED is precise, rarely wrong and not rare, RED and AMBER
+    together find enough declines, and GREEN is safe. Passing ones come first,
+    by RED recall, GREEN rows, RED precision and fewer AMBER rows; of the others
+    those with more gates passed.
+    """
+    y = F.col(label) == 1
+
+    def place(p: str, steps: Sequence[float]) -> Column:
+        """Levels that lie below the p-value; NULL lies above all."""
+        return F.when(F.col(p).isNull(), F.lit(len(steps))).otherwise(sum((F.col(p) > F.lit(s)).cast("int") for s in steps))
+
+    cells = states.where(F.col(label).isNotNull()).select(
+        place("p_market", levels[0]).alias("m"), place("p_entity", levels[1]).alias("e"), place("p_decline", levels[2]).alias("g"), y.cast("int").alias("y")
+    ).groupBy("m", "e", "g", "y").agg(F.count(F.lit(1)).alias("n"))
+    i, j, k = (F.explode(F.array(*[F.struct(F.lit(at).alias("at"), F.lit(float(v)).alias("level")) for at, v in enumerate(steps)])) for steps in levels)
+    choices = cells.select("m", "e", "g", "y", "n", i.alias("i")).select("*", j.alias("j")).select("*", k.alias("k"))
+    red = (F.col("m") <= F.col("i.at")) & (F.col("e") <= F.col("j.at"))
+    green = ~red & (F.col("g") <= F.col("k.at"))
+
+    def total(c: Column, name: str) -> Column:
+        return F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias(name)
+
+    pos = F.col("y") == 1
+    per = choices.groupBy(F.col("i.level").alias("red_market"), F.col("j.level").alias("red_entity"), F.col("k.level").alias("green")).agg(
+        F.sum("n").alias("rows"), total(pos, "declines"), total(red, "red"), total(red & pos, "red_hits"), total(green, "green_rows"), total(green & pos, "green_misses")
+    )
+    none = F.lit(1)
+    per = per.withColumns(
         {
-            "p_market": F.when(enough, p("neg")),
-            "p_entity": F.when(enough, F.when(F.col("own_n") >= min_entity, p("own")).otherwise(p("neg"))),
-            "p_decline": F.when(enough, p("pos")),
+            "amber": F.col("rows") - F.col("red") - F.col("green_rows"),
+            "red_precision": F.col("red_hits") / F.greatest("red", none),
+            "red_fpr": (F.col("red") - F.col("red_hits")) / F.greatest(F.col("rows") - F.col("declines"), none),
+            "red_recall": F.col("red_hits") / F.greatest("declines", none),
+            "alert_recall": (F.col("declines") - F.col("green_misses")) / F.greatest("declines", none),
+            "green_npv": (F.col("green_rows") - F.col("green_misses")) / F.greatest("green_rows", none),
         }
     )
-    is_red = (F.col("p_market") <= red_market) & (F.col("p_entity") <= red_entity)
-    state = F.when(is_red, "RED").when(F.col("p_decline") <= green, "GREEN").otherwise("AMBER")
-    return d.withColumn("state", state).drop(*[f"{k}_{x}" for k in ("neg", "own", "pos") for x in ("extreme", "n")])
+    gates = [
+        F.col("red_precision") >= red_precision, F.col("red_fpr") <= red_fpr, F.col("alert_recall") >= alert_recall, F.col("green_npv") >= green_npv, F.col("red") >= min_red,
+    ]
+    per = per.withColumn("gates", sum(g.cast("int") for g in gates)).withColumn("passes", F.col("gates") == len(gates))
+    last = [F.col(c) for c in ("red_market", "red_entity", "green")]
+    order = Window.orderBy(
+        F.col("gates").desc(), *[F.when(F.col("passes"), F.col(c)).desc_nulls_last() for c in ("red_recall", "green_rows", "red_precision")],
+        F.when(F.col("passes"), F.col("amber")).asc_nulls_last(), *[F.col(c).desc() for c in ("red_precision", "alert_recall", "green_npv")], *last,
+    )
+    return per.withColumn("rank", F.row_number().over(order))  # a row per choice
 
 
 def prior_shift_state(
@@ -608,34 +735,59 @@ def frontier(df: DataFrame, label: str, score: str) -> DataFrame:
     return one.select(F.col("e.point").alias("point"), "e.v.precision", "e.v.recall", "e.v.f1", "e.v.threshold").where("threshold is not null")
 
 
-# Cumulative probabilities of a Poisson count with mean 1.
-POISSON_ONE = (0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518, 0.99991675885)
+BOOTSTRAP_METRICS = ("precision", "recall", "f1", "npv", "alert_rate", "roc_auc", "pr_auc")
 
 
-def bootstrap_ci(df: DataFrame, label: str, alert: Column, key: Sequence[str], replicates: int = 2000, seed: int = 20240817) -> DataFrame:
-    """95% intervals of the rates from resampled rows.
+def resampled_metrics(s: np.ndarray, p: np.ndarray, a: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """BOOTSTRAP_METRICS of weighted cells (score ascending, label, alert); NaN where undefined for the areas."""
 
-    Each row draws its weight per replicate from a hash of its key, so the
-    draw is repeatable on any partitioning. Rows are unrolled and counted in
-    the same stage; only replicate totals are exchanged.
-    """
-    y = F.col(label) == 1
-    cells = df.select(*key, y.alias("_y"), alert.alias("_a"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_b"))
-    h = F.pmod(F.xxhash64(*key, F.col("_b"), F.lit(seed)), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
-    weighted = cells.withColumn("_w", range_bucket(h, POISSON_ONE))
+    def share(top: float, bottom: float, empty: float = 0.0) -> float:
+        return float(top / bottom) if bottom else empty
 
-    def total(c: Column, name: str) -> Column:
-        return F.sum(F.when(c, F.col("_w")).otherwise(0)).alias(name)
+    tp, fp, fn, tn = (float(w[m].sum()) for m in (p & a, ~p & a, p & ~a, ~p & ~a))
+    _, place = np.unique(s, return_inverse=True)
+    pos = np.bincount(place, np.where(p, w, 0))[::-1]  # per distinct score, high ones first
+    neg = np.bincount(place, np.where(p, 0, w))[::-1]
+    hits, seen = np.cumsum(pos), np.cumsum(pos + neg)
+    above = float((neg * (hits - pos / 2)).sum())
+    ap = float((pos * hits / np.maximum(seen, 1)).sum())
+    return np.array(
+        [share(tp, tp + fp), share(tp, tp + fn), share(2 * tp, 2 * tp + fp + fn), share(tn, tn + fn), share(tp + fp, tp + fp + fn + tn),
+         share(above, pos.sum() * neg.sum(), np.nan), share(ap, pos.sum(), np.nan)]
+    )
 
-    yb, ab = F.col("_y"), F.col("_a")
-    per = weighted.groupBy("_b").agg(
-        total(yb & ab, "tp"), total(~yb & ab, "fp"), total(yb & ~ab, "fn"), total(~yb & ~ab, "tn")
-    ).withColumns(rates())
-    names = ("precision", "recall", "f1", "npv", "alert_rate")
-    # one row per replicate
-    long = per.unpivot(["_b"], list(names), "metric", "value")
+
+def bootstrap_ci(df: DataFrame, label: str, score: str, alert: Column, replicates: int = 2000, seed: int = 20240817, ranges: int = 512) -> DataFrame:
+    """95% intervals of five rates and of both areas from resampled rows.
+
+    A resampled row has a Poisson(1) weight, and equal rows are drawn together:
+    the sum of their weights is Poisson with their number. Rows are counted by
+    (score, label, alert), scores beyond `ranges` distinct ones by range (within
+    which all tie); these cells, at most 4 x `ranges`, go to the tasks that
+    share the replicates. A replicate draws one count per cell, from its own
+    number alone, so the cost does not grow with the rows and the draws repeat
+    on any partitioning. Rows without label or score are left out.
+    """
+    spark = df.sparkSession
+    known = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+    cell = F.col(score).cast("double")
+    if known.select(score).distinct().limit(ranges + 1).count() > ranges:
+        cell = range_bucket(F.col(score), cut_points(known, score, ranges)).cast("double")
+    counted = known.groupBy(cell.alias("s"), (F.col(label) == 1).alias("p"), F.coalesce(alert, F.lit(False)).alias("a")).agg(F.count(F.lit(1)).alias("n"))
+    cells = spark.sparkContext.broadcast(np.array(sorted(map(tuple, counted.collect())), float).reshape(-1, 4))
+
+    def draw(batches):
+        s, p, a, n = cells.value.T
+        for batch in batches:
+            numbers = batch["id"].tolist()
+            rows = [resampled_metrics(s, p > 0, a > 0, np.random.Generator(np.random.Philox([seed, b])).poisson(n)) for b in numbers]
+            yield pd.DataFrame(np.array(rows).reshape(-1, len(BOOTSTRAP_METRICS)), columns=list(BOOTSTRAP_METRICS))
+
+    shape = ", ".join(f"{m} double" for m in BOOTSTRAP_METRICS)
+    long = spark.range(replicates).mapInPandas(draw, shape).unpivot([], list(BOOTSTRAP_METRICS), "metric", "value")
+    long = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
     return long.groupBy("metric").agg(
-        F.percentile("value", F.lit(0.025)).alias("low"), F.percentile("value", F.lit(0.975)).alias("high"), F.count(F.lit(1)).alias("n")
+        F.percentile("value", F.lit(0.025)).alias("low"), F.percentile("value", F.lit(0.975)).alias("high"), F.count("value").alias("n")
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,21 +37,36 @@ SALES = """sales AS (
    * (1 - CAST(l_discount AS DECIMAL(4,2))) AS DECIMAL(18,4)) AS net) n
 )"""
 
-PANEL_COLUMNS = (
-    "sale_date", "transaction_number", "product_id", "customer_key", "priority", "quantity", "net_sales",
-)
+#: Columns of the lines behind each panel measure.
+PANEL_COLUMNS = {
+    "sales": ("net_sales",),
+    "gross": ("net_sales",),
+    "returns": ("net_sales",),
+    "units": ("quantity",),
+    "lines": (),
+    "invoices": ("transaction_number",),
+    "electronic_invoices": ("transaction_number", "priority"),
+    "customers": ("customer_key",),
+    "products": ("product_id",),
+}
 
 
-def panel_tx(t: Tables, *entity: str) -> DataFrame:
-    """Lines with what a panel needs, `electronic` taken from the order."""
-    return t.sales(*entity, *[c for c in PANEL_COLUMNS if c not in entity]).withColumn(
-        "electronic", F.col("priority").isin(*ELECTRONIC)
-    )
+def panel_tx(t: Tables, *entity: str, measures: Sequence[str] = panels.PANEL) -> DataFrame:
+    """Lines with what a panel needs, `electronic` taken from the order; tables
+    that no measure reads are not joined."""
+    wanted = dict.fromkeys(["sale_date", *(c for m in measures for c in PANEL_COLUMNS[m])])
+    tx = t.sales(*entity, *[c for c in wanted if c not in entity])
+    return tx.withColumn("electronic", F.col("priority").isin(*ELECTRONIC)) if "priority" in wanted else tx
+
+
+def day_panel(t: Tables, entity: str = "category", measures: Sequence[str] = panels.PANEL) -> DataFrame:
+    tx = panel_tx(t, entity, measures=measures).withColumnRenamed(entity, "entity").withColumnRenamed("sale_date", "date")
+    return panels.category_day_panel(tx, ("entity",), "date", measures)
 
 
-def day_panel(t: Tables, entity: str = "category") -> DataFrame:
-    tx = panel_tx(t, entity).withColumnRenamed(entity, "entity").withColumnRenamed("sale_date", "date")
-    return panels.category_day_panel(tx, ("entity",), "date")
+def gross_days(t: Tables) -> DataFrame:
+    """The daily panel of categories with gross sales alone."""
+    return day_panel(t, measures=("gross",))
 
 
 def _group_sql(keys: str) -> str:
@@ -89,9 +106,9 @@ def week_panel_sql(entity: str = "category") -> str:
  wpanel AS (SELECT *, {_RATIOS} FROM wfilled)"""
 
 
-def week_panel(t: Tables, entity: str = "category") -> DataFrame:
-    tx = panel_tx(t, entity).withColumnRenamed(entity, "entity")
-    return panels.category_week_panel(tx, ("entity",), "sale_date")
+def week_panel(t: Tables, entity: str = "category", measures: Sequence[str] = panels.PANEL) -> DataFrame:
+    tx = panel_tx(t, entity, measures=measures).withColumnRenamed(entity, "entity")
+    return panels.category_week_panel(tx, ("entity",), "sale_date", measures, t.sales("sale_date"))
 
 
 def company_day(t: Tables) -> DataFrame:
@@ -116,7 +133,7 @@ def scores(t: Tables, entity: str = "category") -> DataFrame:
     """
     s = Series("entity", "date")
     gross = panels.double("gross")
-    f = day_panel(t, entity).select(
+    f = day_panel(t, entity, ("gross",)).select(
         "entity",
         "date",
         s.ma_ratio(gross, 7, 28).alias("r"),

@@ -581,7 +581,7 @@ def fill_neutral(t):
     from ebbtide.operators.windows import Series
 
     s = Series("entity", "date")
-    d = base.day_panel(t).select(
+    d = base.day_panel(t, measures=("gross", "invoices", "electronic_invoices")).select(
         "entity",
         "date",
         safe_ratio(F.col("gross"), s.lag("gross", 7)).alias("r_ratio"),

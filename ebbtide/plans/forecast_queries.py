@@ -15,7 +15,7 @@ KEY = ["entity"]
 
 
 def states(t, horizon=7):
-    running = forecast.running_state(base.day_panel(t), KEY, "date", "gross")
+    running = forecast.running_state(base.gross_days(t), KEY, "date", "gross")
     return settle(forecast.recent_states(running, KEY, horizon))
 
 
@@ -90,12 +90,12 @@ _COLS = "entity:s date:d model:s predicted:f1 lower:f1 upper:f1 baseline:f1 decl
 
 @query("adaptive_forecast_7", _COLS)
 def adaptive_forecast_7(t):
-    return forecast.adaptive_forecast(base.day_panel(t), KEY, "date", "gross", 7)
+    return forecast.adaptive_forecast(base.gross_days(t), KEY, "date", "gross", 7)
 
 
 @query("adaptive_forecast_30", _COLS)
 def adaptive_forecast_30(t):
-    return forecast.adaptive_forecast(base.day_panel(t), KEY, "date", "gross", 30)
+    return forecast.adaptive_forecast(base.gross_days(t), KEY, "date", "gross", 30)
 
 
 @query(
@@ -112,7 +112,7 @@ def naive_path(t):
 
 @query("baseline_forecast", "model:s entity:s step:i predicted:f1")
 def baseline_forecast(t):
-    arrays = settle(forecast.history_arrays(base.day_panel(t), KEY, "date", "gross", 30))
+    arrays = settle(forecast.history_arrays(base.gross_days(t), KEY, "date", "gross", 30))
     out = None
     for model in ("seasonal_naive_7", "moving_average_7", "moving_average_14", "median_7"):
         path = arrays.select("entity", F.posexplode(forecast.baseline_path(model, 30)).alias("i", "predicted"))
@@ -133,7 +133,7 @@ RIDGE = forecast.Ridge(
 
 @query("ridge_forecast", "entity:s step:i predicted:f1")
 def ridge_forecast(t):
-    arrays = forecast.history_arrays(base.day_panel(t), KEY, "date", "gross", 30)
+    arrays = forecast.history_arrays(base.gross_days(t), KEY, "date", "gross", 30)
     return arrays.select("entity", F.posexplode(forecast.baseline_path(RIDGE, 30)).alias("i", "predicted")).withColumn("step", F.col("i") + 1)
 
 
@@ -153,13 +153,13 @@ _A, _B = "(array_slice(v, len - 6, len))", "(array_slice(v, len - 13, len - 7))"
  SELECT entity, date, predicted, greatest(0, predicted - 1.64 * err) AS lower, predicted + 1.64 * err AS upper, baseline, 1 / (1 + exp(-greatest(-20, least(20, (baseline - predicted) / err)))) AS decline_probability FROM q""",
 )
 def calibrate_to_local(t):
-    arrays = forecast.history_arrays(base.day_panel(t), KEY, "date", "gross", 30)
+    arrays = forecast.history_arrays(base.gross_days(t), KEY, "date", "gross", 30)
     return forecast.calibrate_to_local(arrays, KEY, forecast.baseline_path("seasonal_naive_7", 30), 30)
 
 
 @query("walk_forward", "horizon:i origins:i daily_wape:f naive_daily_wape:f total_wape:f naive_total_wape:f interval_coverage:f wins:i losses:i")
 def walk_forward(t):
-    week, month = (forecast.walk_forward(base.day_panel(t), KEY, "date", "gross", h)[1].withColumn("horizon", F.lit(h)) for h in (7, 30))
+    week, month = (forecast.walk_forward(base.gross_days(t), KEY, "date", "gross", h)[1].withColumn("horizon", F.lit(h)) for h in (7, 30))
     return week.unionByName(month)
 
 
@@ -171,7 +171,7 @@ def walk_forward(t):
  SELECT *, (current_sales - previous_sales) / abs(previous_sales) * 100 AS change_pct, greatest(0, -(current_sales - previous_sales) / abs(previous_sales) * 100) AS decline_pct FROM s""",
 )
 def recent_change(t):
-    return forecast.recent_change(base.day_panel(t), KEY, "date", "sales")
+    return forecast.recent_change(base.day_panel(t, measures=("sales",)), KEY, "date", "sales")
 
 
 @query(

@@ -60,7 +60,7 @@ def prior_week_lookup(t):
  SELECT entity, date, origin_week, (s * h1 + (7 - s) * h2) / 7 AS expected_next7, h2 / nullif(h1, 0) - 1 AS expected_change FROM d LEFT JOIN f USING (entity, origin_week)""",
 )
 def forecast_origin_join(t):
-    panel = base.day_panel(t).select("entity", "date", "gross")
+    panel = base.gross_days(t).select("entity", "date", "gross")
     weekly = base.with_week(panel).groupBy("entity", "week_start").agg(F.sum("gross").alias("g"))
     s = Series("entity", "week_start")
     forecasts = weekly.select(
@@ -86,7 +86,7 @@ def calendar_window_join(t):
     windows = t.spark.createDataFrame(WINDOWS, "name string, start string, end string").select(
         "name", F.col("start").cast("date").alias("start"), F.col("end").cast("date").alias("end")
     )
-    return joins.calendar_window_join(base.day_panel(t).select("entity", "date"), windows, "date")
+    return joins.calendar_window_join(base.gross_days(t).select("entity", "date"), windows, "date")
 
 
 @query(
@@ -103,7 +103,7 @@ def week_window_join(t):
     windows = t.spark.createDataFrame(WINDOWS, "name string, start string, end string").select(
         "name", F.col("start").cast("date").alias("start"), F.col("end").cast("date").alias("end")
     )
-    weeks = base.week_panel(t).select("week_start").distinct()
+    weeks = base.week_panel(t, measures=("gross",)).select("week_start").distinct()
     d = joins.calendar_window_join(weeks, windows, "week_start", span_days=6)
     flag = week_overlaps(F.col("week_start"), [(s, e) for _, s, e in WINDOWS]).cast("int")
     return d.select("week_start", F.col("in_window").alias("hit"), flag.alias("flag"))
@@ -118,7 +118,7 @@ def week_window_join(t):
    first_value(value IGNORE NULLS) OVER (PARTITION BY entity ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS value FROM j""",
 )
 def carry_forward_join(t):
-    days = base.day_panel(t).select("entity", "date", "gross")
+    days = base.gross_days(t).select("entity", "date", "gross")
     weekly = (
         base.with_week(days)
         .groupBy("entity", "week_start")

@@ -77,7 +77,7 @@ _CAT = f"""{panel_sql()}, c AS (SELECT entity, date, gross, gross / nullif({roll
 
 
 def category_signals(t):
-    return base.day_panel(t).select(
+    return base.gross_days(t).select(
         "entity", "date", "gross", DAY.ratio_to_mean("gross", 7).alias("ratio7"), DAY.change("gross", 7).alias("change7")
     )
 
@@ -166,7 +166,7 @@ def weekly_risk_summary(t):
  SELECT *, 1 / (1 + exp(greatest(-30, least(30, (predicted_total_ratio - 0.85) / 0.08)))) AS sector_risk FROM g""",
 )
 def sector_to_merchant_ratio(t):
-    pred = base.day_panel(t).select(
+    pred = base.gross_days(t).select(
         "entity", "date", DAY.ma_ratio("gross", 7, 28).alias("ratio"), DAY.rolling("gross", 28).alias("b")
     ).where("b is not null and ratio is not null")
     return mix.sector_to_merchant_ratio(pred, "date", "entity", "ratio", "b")

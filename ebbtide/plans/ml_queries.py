@@ -81,7 +81,7 @@ def prequential_stack(t):
 
 def weekly_inputs(t):
     s = Series("entity", "week_start")
-    return base.week_panel(t).select(
+    return base.week_panel(t, measures=("gross", "lines")).select(
         "entity", "week_start", "gross", "lines",
         F.coalesce(s.ratio_to_mean("gross", 4), F.lit(1.0)).alias("ratio4"),
         F.coalesce(s.pct_change("gross", 1), F.lit(0.0)).alias("change1"),
@@ -98,15 +98,31 @@ def monthly_snapshot_scores(t):
 
 
 def market(t):
-    return ml.market_features(base.week_panel(t), ["entity"], "week_start", "gross", "lines")
+    return ml.market_features(base.week_panel(t, measures=("gross", "lines")), ["entity"], "week_start", "gross", "lines")
 
 
-@query("walk_forward_market_forecast", "entity:s week_start:d anchor:d predicted_value_h1:f0 predicted_value_h2:f0 predicted_count_h1:f0 predicted_count_h2:f0")
+@query("walk_forward_market_forecast", "entity:s week_start:d train_h1:i train_h2:i predicted_value_h1:f0 predicted_value_h2:f0 predicted_count_h1:f0 predicted_count_h2:f0")
 def walk_forward_market_forecast(t):
-    return ml.walk_forward_market_forecast(market(t), "week_start", "2000-01-02", 13)
+    return ml.walk_forward_market_forecast(market(t), "week_start")
 
 
-_NEED = " AND ".join(f"{lag('gross', k, 'week_start')} IS NOT NULL" for k in (8,)) + f" AND {roll('avg', 'gross', 13, 'week_start')} IS NOT NULL"
+_NEED = f"{lag('gross', 52, 'week_start')} IS NOT NULL"
+
+
+@query(
+    "market_forecast_origins",
+    "entity:s week_start:d train_h1:i train_h2:i value_h1:b value_h2:b count_h1:b count_h2:b",
+    f"""WITH {week_panel_sql()}, f AS (SELECT entity, week_start, {_NEED} AS ok, lead(gross, 1) OVER w IS NOT NULL AS k1, lead(gross, 2) OVER w IS NOT NULL AS k2 FROM wpanel WINDOW w AS (PARTITION BY entity ORDER BY week_start)),
+ weeks AS (SELECT DISTINCT week_start AS origin FROM f WHERE ok),
+ n AS (SELECT origin, count(*) FILTER (ok AND k1 AND week_start + 7 <= origin) AS train_h1, count(*) FILTER (ok AND k2 AND week_start + 14 <= origin) AS train_h2 FROM weeks, f GROUP BY 1)
+ SELECT entity, week_start, train_h1, train_h2, train_h1 >= 80 AS value_h1, train_h2 >= 80 AS value_h2, train_h1 >= 80 AS count_h1, train_h2 >= 80 AS count_h2
+ FROM f JOIN n ON origin = week_start WHERE ok""",
+)
+def market_forecast_origins(t):
+    """Which origins get which forecasts, from how many known rows."""
+    d = ml.walk_forward_market_forecast(market(t), "week_start")
+    has = [F.col(f"predicted_{x}").isNotNull().alias(x) for x in ml.MARKET_TARGETS]
+    return d.select("entity", "week_start", "train_h1", "train_h2", *has)
 
 
 @query(
@@ -142,15 +158,19 @@ def forest_score(t):
     return ml.forest_score(base.scores(t), trees, INPUTS, "p")
 
 
-@query("score_latest", "entity:s week_start:d status:s state:s base_probability:f4 adjusted_probability:f4")
+@query("score_latest", "case:s entity:s week_start:d status:s state:s base_probability:f4 adjusted_probability:f4")
 def score_latest(t):
+    """The newest week, whose label nobody knows, once as it is and once for an
+    extract that one entity is missing from: no decision there."""
     d = settle(weekly_inputs(t))
     features = ["ratio4", "change1", "count_change2"]
     model = ml.fit_classifier(d.where("week_start < date'2001-06-01' and y is not null"), features, "y", "logistic")
-    return ml.score_latest(
-        d, "entity", "week_start", ["gross", "lines"], TYPES, lambda p: p.withColumn("y", F.coalesce("y", F.lit(0))), model,
-        features, "y", 0.3, 0.2, 0.5,
-    )
+
+    def scored(panel, case):
+        out = ml.score_latest(panel, "entity", "week_start", ["gross", "lines"], TYPES, lambda p: p, model, features, "y", 0.3, 0.2, 0.5)
+        return out.withColumn("case", F.lit(case))
+
+    return scored(d, "complete").unionByName(scored(d.where(F.col("entity") != F.lit(TYPES[0])), "missing entity"))
 
 
 _HC = (0.10, 0.15, 0.20, 0.25, 0.30)
@@ -168,7 +188,7 @@ _HC = (0.10, 0.15, 0.20, 0.25, 0.30)
 )
 def target_choice(t):
     s = Series("entity", "date")
-    d = base.day_panel(t).select("date", *[s.forward_ratio("gross", h).alias(f"r{h}") for h in (3, 7, 14)])
+    d = base.gross_days(t).select("date", *[s.forward_ratio("gross", h).alias(f"r{h}") for h in (3, 7, 14)])
     return ml.target_choice(d, {h: f"r{h}" for h in (3, 7, 14)}, _HC, F.year("date"))
 
 

@@ -272,4 +272,4 @@ def merchant_rollup(t):
    sum(gross) / nullif(sum(lines), 0) AS avg_ticket FROM wpanel GROUP BY 1""",
 )
 def market_rollup(t):
-    return panels.market_rollup(base.week_panel(t, "region"), "week_start", "gross", "lines")
+    return panels.market_rollup(base.week_panel(t, "region", ("gross", "lines")), "week_start", "gross", "lines")

@@ -220,21 +220,59 @@ WSCORES = f"""{week_panel_sql()}, wr AS (SELECT entity, week_start, gross / null
  ws AS (SELECT *, round(greatest(0.0, least(1.0, 1 - ratio / 2)), 3) AS score FROM wr WHERE ratio IS NOT NULL AND y IS NOT NULL)"""
 
 
+_PVALUES = f"""{WSCORES}, c AS (SELECT a.entity, a.week_start, a.y,
+   count(*) FILTER (b.y = 0 AND r) AS nn, count(*) FILTER (b.y = 0 AND r AND b.score >= a.score) AS ne,
+   count(*) FILTER (b.y = 0 AND r AND b.entity = a.entity) AS onn, count(*) FILTER (b.y = 0 AND r AND b.entity = a.entity AND b.score >= a.score) AS oe,
+   count(*) FILTER (b.y = 1 AND r) AS pn, count(*) FILTER (b.y = 1 AND r AND b.score <= a.score) AS pe,
+   count(*) FILTER (b.y = 0) AS nn2, count(*) FILTER (b.y = 0 AND b.score >= a.score) AS ne2,
+   count(*) FILTER (b.y = 0 AND b.entity = a.entity) AS onn2, count(*) FILTER (b.y = 0 AND b.entity = a.entity AND b.score >= a.score) AS oe2,
+   count(*) FILTER (b.y = 1) AS pn2, count(*) FILTER (b.y = 1 AND b.score <= a.score) AS pe2
+   FROM ws a LEFT JOIN (SELECT *, 1 AS one FROM ws) b ON b.week_start < a.week_start, LATERAL (SELECT b.week_start >= a.week_start - 728 AS r) GROUP BY 1, 2, 3),
+ k AS (SELECT *, CASE WHEN nn >= 30 AND pn >= 10 THEN 'window' WHEN nn2 >= 30 AND pn2 >= 10 THEN 'all' ELSE 'none' END AS calibration FROM c),
+ u AS (SELECT entity, week_start, y, calibration, CASE WHEN calibration = 'window' THEN nn ELSE nn2 END AS nn, CASE WHEN calibration = 'window' THEN ne ELSE ne2 END AS ne,
+   CASE WHEN calibration = 'window' THEN onn ELSE onn2 END AS onn, CASE WHEN calibration = 'window' THEN oe ELSE oe2 END AS oe,
+   CASE WHEN calibration = 'window' THEN pn ELSE pn2 END AS pn, CASE WHEN calibration = 'window' THEN pe ELSE pe2 END AS pe FROM k),
+ p AS (SELECT entity, week_start, y, calibration, CASE WHEN calibration <> 'none' THEN (1 + ne) / CAST(nn + 1 AS DOUBLE) END AS p_market,
+   CASE WHEN calibration <> 'none' THEN CASE WHEN onn >= 30 THEN (1 + oe) / CAST(onn + 1 AS DOUBLE) ELSE (1 + ne) / CAST(nn + 1 AS DOUBLE) END END AS p_entity,
+   CASE WHEN calibration <> 'none' THEN (1 + pe) / CAST(pn + 1 AS DOUBLE) END AS p_decline FROM u)"""
+
+
 @query(
     "conformal_state",
-    "entity:s week_start:d p_market:f p_entity:f p_decline:f state:s",
-    f"""WITH {WSCORES}, c AS (SELECT a.entity, a.week_start, count(*) FILTER (b.y = 0) AS nn, count(*) FILTER (b.y = 0 AND b.score >= a.score) AS ne,
-   count(*) FILTER (b.y = 0 AND b.entity = a.entity) AS onn, count(*) FILTER (b.y = 0 AND b.entity = a.entity AND b.score >= a.score) AS oe,
-   count(*) FILTER (b.y = 1) AS pn, count(*) FILTER (b.y = 1 AND b.score <= a.score) AS pe FROM ws a LEFT JOIN ws b ON b.week_start < a.week_start AND b.week_start >= a.week_start - 728 GROUP BY 1, 2),
- p AS (SELECT entity, week_start, CASE WHEN nn >= 30 AND pn >= 10 THEN (1 + ne) / CAST(nn + 1 AS DOUBLE) END AS p_market,
-   CASE WHEN nn >= 30 AND pn >= 10 THEN CASE WHEN onn >= 30 THEN (1 + oe) / CAST(onn + 1 AS DOUBLE) ELSE (1 + ne) / CAST(nn + 1 AS DOUBLE) END END AS p_entity,
-   CASE WHEN nn >= 30 AND pn >= 10 THEN (1 + pe) / CAST(pn + 1 AS DOUBLE) END AS p_decline FROM c)
+    "entity:s week_start:d p_market:f p_entity:f p_decline:f calibration:s state:s",
+    f"""WITH {_PVALUES}
  SELECT *, CASE WHEN p_market <= 0.05 AND p_entity <= 0.1 THEN 'RED' WHEN p_decline <= 0.1 THEN 'GREEN' ELSE 'AMBER' END AS state FROM p""",
 )
 def conformal_state(t):
     return policy.conformal_state(settle(weekly_scores(t)), "entity", "week_start", "y", "score")
 
 
+_LEVELS = ", ".join(
+    f"{name}({name}v) AS (VALUES {', '.join(f'({v}::DOUBLE)' for v in steps)})"
+    for name, steps in (("am", policy.RED_MARKET_LEVELS), ("ae", policy.RED_ENTITY_LEVELS), ("ag", policy.GREEN_LEVELS))
+)
+
+
+@query(
+    "conformal_alphas",
+    "red_market:f red_entity:f green:f rows:i red:i green_rows:i red_precision:f red_fpr:f alert_recall:f green_npv:f gates:i passes:b rank:i",
+    f"""WITH {_PVALUES}, {_LEVELS},
+ ch AS (SELECT amv AS red_market, aev AS red_entity, agv AS green, y, coalesce(p_market <= amv AND p_entity <= aev, false) AS r, coalesce(p_decline <= agv, false) AS g FROM p, am, ae, ag WHERE y IS NOT NULL AND week_start >= DATE '1997-01-05'),
+ cn AS (SELECT red_market, red_entity, green, count(*) AS rows, sum(y) AS declines, count(*) FILTER (r) AS red, count(*) FILTER (r AND y = 1) AS hits,
+   count(*) FILTER (g AND NOT r) AS green_rows, count(*) FILTER (g AND NOT r AND y = 1) AS misses FROM ch GROUP BY 1, 2, 3),
+ cf AS (SELECT *, rows - red - green_rows AS amber, CAST(hits AS DOUBLE) / greatest(red, 1) AS red_precision, CAST(red - hits AS DOUBLE) / greatest(rows - declines, 1) AS red_fpr,
+   CAST(hits AS DOUBLE) / greatest(declines, 1) AS red_recall, CAST(declines - misses AS DOUBLE) / greatest(declines, 1) AS alert_recall, CAST(green_rows - misses AS DOUBLE) / greatest(green_rows, 1) AS green_npv FROM cn),
+ cz AS (SELECT *, CAST(red_precision >= 0.35 AS INTEGER) + CAST(red_fpr <= 0.1 AS INTEGER) + CAST(alert_recall >= 0.9 AS INTEGER) + CAST(green_npv >= 0.85 AS INTEGER) + CAST(red >= 3 AS INTEGER) AS gates FROM cf)
+ SELECT red_market, red_entity, green, rows, red, green_rows, red_precision, red_fpr, alert_recall, green_npv, gates, gates = 5 AS passes,
+   row_number() OVER (ORDER BY gates DESC, CASE WHEN gates = 5 THEN red_recall END DESC NULLS LAST, CASE WHEN gates = 5 THEN green_rows END DESC NULLS LAST,
+   CASE WHEN gates = 5 THEN red_precision END DESC NULLS LAST, CASE WHEN gates = 5 THEN amber END NULLS LAST, red_precision DESC, alert_recall DESC, green_npv DESC, red_market, red_entity, green) AS rank FROM cz""",
+)
+def conformal_alphas(t):
+    states = policy.conformal_state(settle(weekly_scores(t)), "entity", "week_start", "y", "score")
+    evaluated = policy.require_calibration(settle(states), "week_start", "1997-01-05")
+    return policy.conformal_alphas(evaluated, "y", 0.35, 0.1, 0.9, 0.85)
+
+
 @query(
     "prior_shift_state",
     "entity:s week_start:d effective_prior:f adjusted:f state:s",
@@ -404,7 +442,7 @@ def frontier(t):
 
 @query("bootstrap_ci", "metric:s low:f high:f n:i")
 def bootstrap_ci(t):
-    return policy.bootstrap_ci(base.scores(t), "y", F.col("score") >= 0.55, ["entity", "date"])
+    return policy.bootstrap_ci(base.scores(t), "y", "score", F.col("score") >= 0.55)
 
 
 FOLD_WINDOWS = [(0, "1997-01-01", "1997-12-31"), (1, "1998-01-01", "1998-12-31"), (2, "1999-01-01", "1999-12-31"), (3, "2000-01-01", "2001-06-30")]

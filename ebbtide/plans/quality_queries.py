@@ -135,7 +135,7 @@ def entity_outcomes(t):
 @query(
     "external_gate",
     "branch:i row_count:i invalid_date_rows:i distinct_days:i transactions:i span_days:i missing_ratio:f eligible:b grade:s reasons:a warnings:a",
-    f"""WITH {SALES}, s AS (SELECT branch, CASE WHEN branch = 3 AND quantity < 3 OR branch = 4 AND quantity = 50 AND line_number = 2 THEN NULL ELSE sale_date END AS d, transaction_number AS t FROM sales WHERE branch < 12 OR transaction_number % 16 = 0),
+    f"""WITH {SALES}, s AS (SELECT branch, CASE WHEN branch = 3 AND quantity < 3 OR branch = 4 AND quantity = 50 AND line_number = 2 THEN NULL ELSE sale_date END AS d, transaction_number AS t FROM sales),
  m AS (SELECT branch, count(*) AS row_count, count(*) FILTER (d IS NULL) AS invalid_date_rows, count(DISTINCT d) AS distinct_days, count(DISTINCT t) AS transactions, max(d) - min(d) + 1 AS span_days FROM s GROUP BY 1),
  r AS (SELECT *, (span_days - distinct_days) / CAST(span_days AS DOUBLE) AS missing_ratio FROM m),
  x AS (SELECT *, list_filter([CASE WHEN span_days < 365 THEN 'insufficient_time_span' END, CASE WHEN distinct_days < 300 THEN 'insufficient_distinct_calendar_days' END,
@@ -146,9 +146,7 @@ def entity_outcomes(t):
  SELECT *, len(reasons) = 0 AS eligible, CASE WHEN len(reasons) = 0 THEN 'ELIGIBLE_FOR_BLIND_EVALUATION' ELSE 'REJECT' END AS grade FROM x""",
 )
 def external_gate(t):
-    s = t.sales("branch", "sale_date", "transaction_number", "quantity", "line_number").where(
-        "branch < 12 or transaction_number % 16 = 0"
-    )
+    s = t.sales("branch", "sale_date", "transaction_number", "quantity", "line_number")
     bad = ((F.col("branch") == 3) & (F.col("quantity") < 3)) | (
         (F.col("branch") == 4) & (F.col("quantity") == 50) & (F.col("line_number") == 2)
     )
@@ -167,7 +165,7 @@ def external_gate(t):
 )
 def panel_gate(t):
     bounds = {"entities": 6, "min_days": 600, "min_rows": 20000, "max_zero_rate": 0.05}
-    return quality.panel_gate(base.day_panel(t), "entity", "date", ["sales", "invoices"], bounds).withColumnRenamed("check", "check_name")
+    return quality.panel_gate(base.day_panel(t, measures=("sales", "invoices")), "entity", "date", ["sales", "invoices"], bounds).withColumnRenamed("check", "check_name")
 
 
 _MELT = " UNION ALL ".join(f"SELECT '{f}' AS feature, {f} AS v, date FROM scores" for f in FEATURES)

@@ -23,7 +23,7 @@ def events(t):
 )
 def ingest_stream(t):
     twice = events(t).unionByName(events(t))
-    return streams.run_to_table(streams.ingest_stream(twice), work_folder(t.spark, "ingest"))
+    return streams.ingest_to_table(twice, work_folder(t.spark, "ingest"), prefix=1)
 
 
 @query(
@@ -65,7 +65,8 @@ _SCORES = "entity string, date date, score double, y int"
    FROM n a LEFT JOIN n b ON a.entity = b.entity AND b.i BETWEEN a.i - 126 AND a.i - 1 GROUP BY 1, 2, 3),
  p AS (SELECT *, CASE WHEN n >= 20 THEN s / n END AS percentile FROM j)
  SELECT entity, date, percentile, CASE WHEN percentile IS NULL THEN 'static' ELSE 'causal_percentile' END AS policy_mode,
-   CASE WHEN percentile IS NULL THEN score >= 0.55 ELSE percentile >= 0.7 END AS alert FROM p""",
+   CASE WHEN percentile IS NULL THEN score >= 0.55 ELSE percentile >= 0.7 END AS alert FROM p
+   WHERE date < (SELECT max(date) - 7 FROM scores)""",
 )
 def percentile_stream(t):
     from pyspark.sql import types as T

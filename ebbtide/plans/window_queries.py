@@ -17,12 +17,14 @@ LAG_DAYS = (1, 2, 3, 7, 14, 21, 28, 35, 56)
 LAG_WEEKS = (1, 2, 3, 4, 8, 13, 26, 52)
 
 
-def day_panel(t):
-    return base.day_panel(t).select("entity", "date", "sales", "gross", "invoices", "customers")
+def day_panel(t, *measures):
+    measures = measures or ("gross",)
+    return base.day_panel(t, measures=measures).select("entity", "date", *measures)
 
 
-def week_panel(t):
-    return base.week_panel(t).select("entity", "week_start", "sales", "gross", "invoices", "lines")
+def week_panel(t, *measures):
+    measures = measures or ("gross",)
+    return base.week_panel(t, measures=measures).select("entity", "week_start", *measures)
 
 
 def frame(lo: int, hi: int, time: str = "date", part: str = "PARTITION BY entity ") -> str:
@@ -139,7 +141,7 @@ _SECTOR = {w: windows.sector_min_rows(w) for w in (7, 28)}
     ),
 )
 def rolling_loose(t):
-    d = windows.rolling(day_panel(t), DAY, ["gross"], list(_LOOSE), "mean", min_rows=_LOOSE)
+    d = windows.rolling(day_panel(t, "gross", "invoices"), DAY, ["gross"], list(_LOOSE), "mean", min_rows=_LOOSE)
     return windows.rolling(d, DAY, ["invoices"], list(_SECTOR), "mean", min_rows=_SECTOR)
 
 
@@ -149,7 +151,7 @@ def rolling_loose(t):
     day_sql(", ".join(f"{change('sales', k)} AS c{k}" for k in (1, 7, 28))),
 )
 def safe_change(t):
-    return day_panel(t).withColumns({f"c{k}": DAY.change("sales", k) for k in (1, 7, 28)})
+    return day_panel(t, "sales").withColumns({f"c{k}": DAY.change("sales", k) for k in (1, 7, 28)})
 
 
 @query(
@@ -158,7 +160,7 @@ def safe_change(t):
     week_sql(", ".join(f"{pct('sales', k)} AS p{k}" for k in (1, 4, 13))),
 )
 def pct_change(t):
-    return week_panel(t).withColumns({f"p{k}": WEEK.pct_change("sales", k) for k in (1, 4, 13)})
+    return week_panel(t, "sales").withColumns({f"p{k}": WEEK.pct_change("sales", k) for k in (1, 4, 13)})
 
 
 @query(
@@ -415,13 +417,13 @@ def trend_index_warmup(t):
  SELECT entity, date, training_date, gap_days, sales FROM src JOIN m USING (date)""",
 )
 def compress_calendar(t):
-    src = day_panel(t).where("(datediff(date, date'1990-01-01') * bigint(7919)) % 11 < 7")  # gaps at any size of the data
+    src = day_panel(t, "sales").where("(datediff(date, date'1990-01-01') * bigint(7919)) % 11 < 7")  # gaps at any size of the data
     return windows.compress_calendar(src, "date", "2023-01-01")
 
 
 
 def _predicted(t):
-    d = week_panel(t).withColumns(
+    d = week_panel(t, "gross", "lines").withColumns(
         {"m4": WEEK.rolling("gross", 4), "actual": WEEK.lead("gross", 1), "c4": WEEK.rolling("lines", 4)}
     )
     return d.withColumns(

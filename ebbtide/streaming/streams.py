@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -56,14 +58,47 @@ def with_hash(events: DataFrame) -> DataFrame:
 def ingest_stream(events: DataFrame, delay: str = "2 days", time: str = "ts") -> DataFrame:
     """Each row once: repeats of its hash inside the watermark are dropped.
 
-    State holds hashes only as long as the watermark allows; repeats that come
-    later are caught by the sink's own `insert_new`.
+    State holds hashes only as long as the watermark allows, and rows later
+    than that are dropped; `ingest_to_table` has no such bound.
     """
     return with_hash(events).withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).dropDuplicatesWithinWatermark(
         ["row_hash"]
     )
 
 
+def ingest_to_table(events: DataFrame, folder: str, prefix: int = 2) -> DataFrame:
+    """Ingest everything available into a table that holds each row once,
+    however late a row or its repeat comes.
+
+    Every batch writes a folder of its own number, cut by the first `prefix`
+    digits of the row hash, so a batch that runs again replaces what it wrote.
+    Its rows are held against the hashes of earlier batches; only the prefixes
+    that the batch touches, and of them only the hash column, are read.
+    """
+    spark = events.sparkSession
+    stream = with_hash(events)
+    table = f"{folder}/table"
+    shape = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType()), T.StructField("prefix", T.StringType())])
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = batch.dropDuplicates(["row_hash"]).withColumn("prefix", F.left("row_hash", F.lit(prefix))).persist()
+        try:
+            touched = [r["prefix"] for r in rows.select("prefix").distinct().collect()]  # at most 16 ** prefix
+            if number and touched:
+                known = spark.read.schema(shape).option("basePath", table).parquet(f"{table}/batch=*")
+                known = known.where(F.col("prefix").isin(touched) & (F.col("batch") < number)).select("prefix", "row_hash")
+                fresh = rows.join(known, ["prefix", "row_hash"], "left_anti").select(rows.columns)
+            else:
+                fresh = rows
+            fresh.write.mode("overwrite").partitionBy("prefix").parquet(f"{table}/batch={number}")
+        finally:
+            rows.unpersist()
+
+    started = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    started.awaitTermination()
+    return spark.read.schema(shape).option("basePath", table).parquet(f"{table}/batch=*").select(stream.columns)
+
+
 def daily_stream(events: DataFrame, delay: str = "1 day", time: str = "ts", value: str = "value") -> DataFrame:
     """Closed days with sum, count and approximate users; rows later than the
     watermark are dropped."""
@@ -113,38 +148,101 @@ def sliding_change_stream(events: DataFrame, folder: str, **kwargs) -> DataFrame
     return table.join(earlier, "start", "left").withColumn("change", change)
 
 
-STATE = "scores array<double>"
+#: Scores of the look-back in date order, rows that wait (days since 1970 and scores), last day scored.
+STATE = "past array<double>, days array<int>, waiting array<double>, last int"
 SCORED = "entity string, date date, score double, percentile double, policy_mode string, alert boolean"
+_DAY_MS = 86_400_000
+
+
+class _LookBack:
+    """The last `size` scores, in order of arrival and sorted."""
+
+    def __init__(self, past: list[float], size: int) -> None:
+        self.size, self.past, self.ordered = size, deque(past), sorted(past)
 
+    def percentile(self, score: float) -> float:
+        """Share of scores below, equal ones by half."""
+        low, high = bisect_left(self.ordered, score), bisect_right(self.ordered, score)
+        return (low + high) / 2 / len(self.ordered)
 
-def percentile_stream(scores: DataFrame, static: float, budget: float = 0.30, lookback: int = 126, warmup: int = 20) -> DataFrame:
+    def add(self, score: float) -> None:
+        if len(self.past) == self.size:
+            del self.ordered[bisect_left(self.ordered, self.past.popleft())]
+        self.past.append(score)
+        insort(self.ordered, score)
+
+
+def percentile_stream(
+    scores: DataFrame,
+    static: float,
+    budget: float = 0.30,
+    lookback: int = 126,
+    warmup: int = 20,
+    delay_days: int = 7,
+    grace_days: int = 3650,
+    idle_days: int = 730,
+) -> DataFrame:
     """Alert policy with only the last scores of each entity in state.
 
-    Scores of an entity arrive in date order; inside a batch they are sorted.
-    A batch holds a bounded number of files, so an entity's part of it is small.
+    Rows may come in any order within `delay_days`: they wait in state until
+    the newest date of the stream is that far ahead, and are then scored by
+    date. A row that comes after later ones of its entity were scored is
+    returned with the mode `late`, without percentile or alert; Spark itself
+    drops rows only `grace_days` later still. An entity without rows for
+    `idle_days` is forgotten and begins anew. Rows without a score or date are
+    left out.
     """
+    grace = grace_days * _DAY_MS
 
     def advance(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        past = list(state.get[0]) if state.exists else []
-        batch = pd.concat(list(parts), ignore_index=True).sort_values("date")
-        out = []
-        for row in batch.itertuples(index=False):
-            known = past[-lookback:]
-            pct = None
-            if len(known) >= warmup:
-                less = sum(1 for v in known if v < row.score)
-                same = sum(1 for v in known if v == row.score)
-                pct = (less + 0.5 * same) / len(known)
-            alert = bool(row.score >= static) if pct is None else bool(pct >= 1.0 - budget)
-            mode = "static" if pct is None else "causal_percentile"
-            out.append((key[0], row.date, float(row.score), pct, mode, alert))
-            past = (known + [float(row.score)])[-lookback:]
-        state.update((past,))
-        yield pd.DataFrame(out, columns=["entity", "date", "score", "percentile", "policy_mode", "alert"])
-
-    return scores.select("entity", "date", "score").groupBy("entity").applyInPandasWithState(
-        advance, SCORED, STATE, "append", GroupStateTimeout.NoTimeout
-    )
+        past, days, waiting, last = state.get if state.exists else ([], [], [], None)
+        mark = state.getCurrentWatermarkMs()
+        # the watermark lags by the grace as well; before the first one nothing is closed
+        closed = (mark + grace) / _DAY_MS if mark > 0 else float("-inf")
+        rows, out = list(zip(days, waiting, strict=True)), []
+        for part in parts:
+            for day, score in zip(part["day"].tolist(), part["score"].tolist(), strict=True):
+                if last is not None and day <= last:
+                    out.append((day, score, None, "late", None))
+                else:
+                    rows.append((day, score))
+        rows.sort(key=lambda r: r[0])
+        ready = bisect_left(rows, closed, key=lambda r: r[0])
+        known = _LookBack(list(past), lookback)
+        for day, score in rows[:ready]:
+            pct = known.percentile(score) if len(known.past) >= warmup else None
+            mode, alert = ("static", score >= static) if pct is None else ("causal_percentile", pct >= 1.0 - budget)
+            out.append((day, score, pct, mode, alert))
+            known.add(score)
+            last = day
+        rest = rows[ready:]
+        if rest or last is None or last + idle_days >= closed:
+            state.update((list(known.past), [d for d, _ in rest], [v for _, v in rest], last))
+            wake = rest[0][0] if rest else (last or 0) + idle_days
+            state.setTimeoutTimestamp(max(wake * _DAY_MS - grace + 1, mark + 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            d, v, pct, mode, alert = zip(*out, strict=True)
+            yield pd.DataFrame(
+                {
+                    "entity": key[0],
+                    "date": (pd.to_datetime(list(d), unit="D")).date,
+                    "score": v,
+                    "percentile": pd.array(pct, "Float64"),
+                    "policy_mode": mode,
+                    "alert": pd.array(alert, "boolean"),
+                }
+            )
+
+    rows = scores.select(
+        "entity",
+        F.unix_date("date").alias("day"),
+        F.col("score").cast("double").alias("score"),
+        F.col("date").cast("timestamp").alias("at"),
+    ).where("day is not null and score is not null")
+    timed = rows.withWatermark("at", f"{delay_days + grace_days} days")
+    return timed.groupBy("entity").applyInPandasWithState(advance, SCORED, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def delayed_label_stream(scores: DataFrame, outcomes: DataFrame, days: int = 7) -> DataFrame:

@@ -1,9 +1,11 @@
 """Explanation, gates, causality of features, scoring and streams."""
 
+import os
 from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ebbtide.functions.calendar import cyclic, next7_counts
 from ebbtide.operators import evidence, explain, history, ml, mix, policy, quality
@@ -149,24 +151,43 @@ def test_blend_weights():
     assert len(w) == 15 and all(sum(x) == 1 for x in w) and len(set(w)) == 15
 
 
-def test_percentile_stream_keeps_state_between_batches(spark, tmp_path):
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0), (1, 2, 0)])
+def test_percentile_stream_in_any_order_of_files(spark, tmp_path, order):
     s = panel(spark, 60).select("entity", "date", F.col("gross").alias("score"))
-    for i in range(3):
-        part = s.where(f"date >= date'2023-01-01' + {20 * i} and date < date'2023-01-01' + {20 * (i + 1)}")
-        part.coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
-    schema = s.schema
+    later = spark.createDataFrame([("zz", 1.0)], "entity string, score double").select("entity", F.lit("2024-01-01").cast("date").alias("date"), "score")
     flat = tmp_path / "flat"
     flat.mkdir()
-    for i in range(3):
-        for f in sorted((tmp_path / f"in/{i}").glob("*.parquet")):
-            (flat / f"{i}.parquet").write_bytes(f.read_bytes())
-    stream = streams.percentile_stream(streams.read_folder(spark, str(flat), schema, files=1), 150.0, lookback=30, warmup=10)
+    for place, i in enumerate([*order, 3]):
+        part = later if i == 3 else s.where(f"date >= date'2023-01-01' + {20 * i} and date < date'2023-01-01' + {20 * (i + 1)}")
+        part.coalesce(1).write.parquet(str(tmp_path / f"in/{place}"))
+        (file,) = (tmp_path / f"in/{place}").glob("*.parquet")
+        copy = flat / f"{place}.parquet"
+        copy.write_bytes(file.read_bytes())
+        os.utime(copy, (1_700_000_000 + place, 1_700_000_000 + place))
+    read = streams.read_folder(spark, str(flat), s.schema, files=1)
+    stream = streams.percentile_stream(read, 150.0, lookback=30, warmup=10, delay_days=60)
     got = streams.run_to_table(stream, str(tmp_path / "out"))
     want = policy.percentile_policy(s, "entity", "date", "score", 150.0, lookback=30, warmup=10)
     cols = ["entity", "date", "percentile", "policy_mode", "alert"]
     assert policy.future_difference(got.select(cols), want.select(cols)).count() == 0
     again = streams.run_to_table(stream, str(tmp_path / "out"))
-    assert again.count() == 180
+    assert again.count() == got.count() == 180
+
+
+def test_percentile_stream_reports_late_rows(spark, tmp_path):
+    flat = tmp_path / "flat"
+    flat.mkdir()
+    days = [["2023-03-01", "2023-03-02", "2023-03-20"], ["2023-03-19"], ["2023-02-10"], ["2023-06-01"]]
+    for i, part in enumerate(days):
+        d = spark.createDataFrame([("a", x, float(len(x) + i)) for x in part], "entity string, day string, score double")
+        d.select("entity", F.col("day").cast("date").alias("date"), "score").coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+        (file,) = (tmp_path / f"in/{i}").glob("*.parquet")
+        (flat / f"{i}.parquet").write_bytes(file.read_bytes())
+        os.utime(flat / f"{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    read = streams.read_folder(spark, str(flat), T.StructType.fromDDL("entity string, date date, score double"), files=1)
+    got = streams.run_to_table(streams.percentile_stream(read, 10.5, warmup=2), str(tmp_path / "out"))
+    modes = {str(r["date"]): r["policy_mode"] for r in got.collect()}
+    assert modes == {"2023-03-01": "static", "2023-03-02": "static", "2023-02-10": "late", "2023-03-19": "causal_percentile", "2023-03-20": "causal_percentile"}
 
 
 def test_ingest_stream_drops_repeats(spark, tmp_path):
@@ -174,3 +195,25 @@ def test_ingest_stream_drops_repeats(spark, tmp_path):
     d.unionByName(d).write.parquet(str(tmp_path / "in"))
     stream = streams.ingest_stream(streams.read_folder(spark, str(tmp_path / "in"), d.schema))
     assert streams.run_to_table(stream, str(tmp_path / "out")).count() == 2
+
+
+def test_ingest_keeps_each_row_once_beyond_the_watermark(spark, tmp_path):
+    flat = tmp_path / "flat"
+    flat.mkdir()
+    days = [["2024-01-01", "2024-01-01", "2024-01-02"], ["2024-02-01"], ["2024-03-01"], ["2024-01-01", "2024-03-01", "2023-12-31"]]
+    for i, part in enumerate(days):
+        d = spark.createDataFrame([(x, 1.0) for x in part], "day string, value double").select("value", F.col("day").cast("timestamp_ntz").alias("ts"))
+        d.coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+        (file,) = (tmp_path / f"in/{i}").glob("*.parquet")
+        (flat / f"{i}.parquet").write_bytes(file.read_bytes())
+        os.utime(flat / f"{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+
+    def ingest():
+        read = streams.read_folder(spark, str(flat), d.schema, files=1)
+        return streams.ingest_to_table(read, str(tmp_path / "out"), prefix=1)
+
+    assert ingest().count() == 5
+    # the last batch was written, but not committed: it runs again
+    for name in ("3", ".3.crc"):
+        (tmp_path / "out/checkpoint/commits" / name).rename(tmp_path / f"commit{name}")
+    assert ingest().count() == 5

@@ -94,7 +94,7 @@ def test_sweep_and_auc(df, rows):
 
 
 def test_bootstrap_is_repeatable(df):
-    a = policy.bootstrap_ci(df, "y", F.col("score") >= 0.5, ["d"], 50).orderBy("metric").collect()
-    b = policy.bootstrap_ci(df.repartition(7), "y", F.col("score") >= 0.5, ["d"], 50).orderBy("metric").collect()
+    a = policy.bootstrap_ci(df, "y", "score", F.col("score") >= 0.5, 50).orderBy("metric").collect()
+    b = policy.bootstrap_ci(df.repartition(7), "y", "score", F.col("score") >= 0.5, 50).orderBy("metric").collect()
     assert a == b
     assert all(r["low"] <= r["high"] for r in a)

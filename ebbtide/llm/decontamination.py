@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import if_small
+from ebbtide.llm.common import if_small, lean
 from ebbtide.llm.shingles import BASE, BYTE, LOWER, SPACE, mix, powers, text_slices
 from ebbtide.operators.ordering import settle
 
@@ -179,7 +179,7 @@ def _windows(rows: DataFrame, sizes=None, bitmap=None) -> DataFrame:
                         ["id", "size", "n", "pos", "hash", "form", "slots"],
                     )
 
-    return rows.mapInArrow(run, FOUND)
+    return rows.mapInArrow(lean(run), FOUND)
 
 
 def longest_part(pairs: list[tuple[int, int] | None]) -> tuple[int, bool]:
@@ -263,6 +263,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
     # runs that are too short as a whole have no part that is long enough
     whole = F.size("windows") - 1 + F.size(F.col("windows")[0]["ours"])
     runs = runs.where(whole >= F.least(F.lit(RUN), F.col("n"))).select("doc_id", "item_id", "n", "windows")
-    held = runs.mapInArrow(_parts, PARTS).where(F.col("words") >= F.least(F.lit(RUN), F.col("n")))
+    held = runs.mapInArrow(lean(_parts), PARTS).where(F.col("words") >= F.least(F.lit(RUN), F.col("n")))
     found = held.groupBy("doc_id", "item_id").agg(F.max(F.struct("words", "n", "verbatim")).alias("top"))
     return found.select("doc_id", "item_id", F.col("top.words").cast("bigint").alias("words"), F.round(F.col("top.words") / F.col("top.n"), 4).alias("share"), "top.verbatim")

@@ -36,6 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from ebbtide.llm.common import lean
+
 #: Frequent function words of seven languages.
 STOP_WORDS = frozenset(
     (
@@ -438,4 +440,4 @@ def extract_text(pages: DataFrame, html: str = "html", keep: Sequence[str] = ("p
     """The `keep` columns, `text` and `n_chars` (code points) of every page."""
     rows = pages.select(*keep, F.col(html).cast("string").alias("_page"))
     schema = StructType([*(rows.schema[c] for c in keep), StructField("text", StringType()), StructField("n_chars", LongType())])
-    return rows.mapInArrow(_extracted, schema)
+    return rows.mapInArrow(lean(_extracted), schema)

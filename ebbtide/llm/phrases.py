@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import if_small
+from ebbtide.llm.common import if_small, lean
 from ebbtide.llm.shingles import mix, word_hashes
 from ebbtide.operators.ordering import settle
 from ebbtide.session import work_folder
@@ -76,7 +76,7 @@ class _Slice:
         self.at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         piece = np.searchsorted(np.flatnonzero(text == 10), starts)
         self.follows = piece[1:] == piece[:-1]
-        joined = np.frombuffer(b" ".join(self.words.to_pylist()), np.uint8)
+        joined = np.frombuffer(b" ".join(self.words.to_numpy(zero_copy_only=False).tolist()), np.uint8)
         own = word_hashes(joined, np.array([0, len(joined)]))[0] if len(joined) else np.zeros(0, np.uint64)
         salt = np.frombuffer(hashlib.blake2b(lang.encode(), digest_size=8).digest(), np.uint64)
         self.hashes = mix(own + salt)
@@ -189,7 +189,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", thres
             break
         shared = spark.sparkContext.broadcast(ready)
         shard = spark.read.schema(f"{shape}, shard int").parquet(folder).where(F.col("shard") == step % shards).select("lang", "text")
-        rows = shard.mapInArrow(_scan(shared, step, shards), _COUNTED).unionByName(running)
+        rows = shard.mapInArrow(lean(_scan(shared, step, shards)), _COUNTED).unionByName(running)
         merged = settle(rows.groupBy("key", "cell", "till").agg(F.sum("n").alias("n")))
         reached = merged.where((F.col("cell") >= 0) & (F.col("n") >= threshold)).select("cell").distinct()
         cells = reached.toArrow()["cell"].to_numpy()  # at most the fixed number of cells

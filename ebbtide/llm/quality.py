@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import fresh
+from ebbtide.llm.common import lean
 
 #: Labelled documents per class that training reads at most, those with the lowest hash.
 SAMPLE_DOCS = 6000
@@ -118,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
                 pieces = [data[i : i + PIECE_BYTES] for i in range(0, len(data), PIECE_BYTES)]
                 yield pa.RecordBatch.from_arrays([pa.array([quality] * len(pieces), pa.int32()), pa.array(pieces, pa.binary())], ["quality", "piece"])
 
-    pieces = texts.where(~calibrates).select("body", F.col("quality").cast("int")).mapInArrow(cut, "quality int, piece binary")
+    pieces = texts.where(~calibrates).select("body", F.col("quality").cast("int")).mapInArrow(lean(cut), "quality int, piece binary")
     raw = []
     for q in (1, 0):
         rows = pieces.where(F.col("quality") == q).select("piece").orderBy(F.xxhash64("piece"), "piece").limit(PIECES).collect()
@@ -131,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
             rows = [sizer.features(b.as_py()) for b in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.list_(pa.float64()))], ["quality", "x"])
 
-    fit = texts.where(calibrates).select("body", F.col("quality").cast("int")).mapInArrow(measure, "quality int, x array<double>").collect()
+    fit = texts.where(calibrates).select("body", F.col("quality").cast("int")).mapInArrow(lean(measure), "quality int, x array<double>").collect()
     fit.sort(key=lambda r: (r["quality"], r["x"]))
     if not fit:
         return Model(good, bad, (0.0,) * 5, (1.0,) * 5, (0.0,) * 6)
@@ -143,23 +143,26 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
     return Model(good, bad, tuple(mean), tuple(scale), tuple(weights))
 
 
+def _probabilities(texts: pa.Array, model: Model, sizer: Sizer) -> np.ndarray:
+    x = np.array([sizer.features(b.as_py()) for b in texts]).reshape(-1, 5)
+    z = np.c_[np.ones(len(x)), (x - np.array(model.mean)) / np.array(model.scale)] @ np.array(model.weights)
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 def score(docs: DataFrame, model: Model, name: str, text: str = "text") -> DataFrame:
-    """`docs` with a new column, 0 to 1, for every whole text; null counts as empty."""
-    columns = docs.columns
-    kinds = docs.withColumn(name, F.lit(0.0)).schema
+    """`docs` without the text and with a new column, 0 to 1, for every whole text; null counts as empty."""
+    others = [c for c in docs.columns if c != text]
+    kinds = docs.select(*others).withColumn(name, F.lit(0.0)).schema
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches):
         m = shared.value
         sizer = Sizer(m.good, m.bad)
-        at = columns.index(text)
         for batch in batches:
-            x = np.array([sizer.features(b.as_py()) for b in batch.column(at)]).reshape(-1, 5)
-            z = np.c_[np.ones(len(x)), (x - np.array(m.mean)) / np.array(m.scale)] @ np.array(m.weights)
-            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], [*columns, name])
+            p = pa.array(_probabilities(batch[text], m, sizer), pa.float64())
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in others), p], [*others, name])
 
-    return docs.mapInArrow(rows, kinds)
+    return docs.mapInArrow(lean(rows), kinds)
 
 
 ACCEPT = 0.7
@@ -180,7 +183,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -
     )
 
 
-def accepted(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:
-    """The rows of `docs`, with their columns, that score at least `accept`."""
-    name = fresh("_score", docs.columns)
-    return score(docs, train(docs, labels), name).where(F.col(name) >= accept).drop(name)
+def accepted(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT, text: str = "text") -> DataFrame:
+    """The rows of `docs`, with their columns, that score at least `accept`;
+    others do not leave the batch they were scored in."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, text))
+
+    def rows(batches):
+        m = shared.value
+        sizer = Sizer(m.good, m.bad)
+        for batch in batches:
+            yield batch.filter(pa.array(_probabilities(batch[text], m, sizer) >= accept))
+
+    return docs.mapInArrow(lean(rows), docs.schema)

@@ -21,12 +21,13 @@ from ebbtide.llm import (
     unigram,
     url_filter,
 )
+from ebbtide.llm.common import bounded_batches
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return bounded_batches(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
 def vocabulary(name: str) -> str:

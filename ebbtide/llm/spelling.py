@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import if_small
+from ebbtide.llm.common import if_small, lean
 from ebbtide.operators.ordering import settle
 
 SHORTEST = 5
@@ -99,7 +99,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`word, n`: words of SHORTEST letters and LEAST occurrences or more."""
     rows = docs.select(F.col(doc_id).cast("string").alias("doc"), F.col(text).cast("string").alias("text"))
-    counted = rows.mapInArrow(_counted, "word string, n bigint")
+    counted = rows.mapInArrow(lean(_counted), "word string, n bigint")
     return counted.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
 
 
@@ -296,7 +296,7 @@ def _group_pairs(groups: list[tuple[tuple[int, int, int], list[tuple[str, int]]]
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by group and word; whole groups are gathered into batches."""
     names = ("key", "l", "s", "e", "word", "n")
-    rows = (row for batch in batches for row in zip(*[batch[c].to_pylist() for c in names], strict=True))
+    rows = (row for batch in batches for row in zip(*[batch[c].to_numpy(zero_copy_only=False).tolist() for c in names], strict=True))
     held, size = [], 0
     for (_, *window), members in groupby(rows, key=lambda row: row[:4]):
         words = [row[4:] for row in members]
@@ -317,7 +317,7 @@ def near_words(words: DataFrame) -> DataFrame:
     are one edit away, and the one of them that counts most (null if none)."""
     entries = _narrowed(_entries(words))
     groups = entries.repartition("key").sortWithinPartitions("key", "l", "s", "e", "word")
-    found = groups.mapInArrow(_near, _PARTIAL)
+    found = groups.mapInArrow(lean(_near), _PARTIAL)
     alone = words.select("word", "n", F.lit(0).cast("bigint").alias("n_near"), F.lit(None).cast("bigint").alias("form_n"), F.lit(None).cast("string").alias("form"))
     best = F.min(F.when(F.col("form").isNotNull(), F.struct((-F.col("form_n")).alias("minus"), F.col("form").alias("form"))))
     out = found.unionByName(alone).groupBy("word", "n").agg(F.sum("n_near").alias("n_near"), best.alias("b"))

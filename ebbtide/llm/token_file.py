@@ -22,9 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ebbtide.llm.common import kept, lean
+from ebbtide.llm.shingles import text_slices
 from ebbtide.operators.ordering import settle
 from ebbtide.session import work_folder
 
@@ -32,35 +35,46 @@ MAX_BITS = 20
 BLOCK_IDS = 1 << 17
 STEP = 64
 END_ID = 0
-CACHE_PIECES = 1_000_000
+#: Pieces that either generation of a worker's memory holds, and bytes of text that are encoded together.
+CACHE_PIECES = 500_000
+SLICE_BYTES = 4 << 20
 
-_loaded: dict[str, tuple] = {}
 
-
-class PieceCache(dict):
+class PieceCache:
     """Ids of pieces of text that start at a space, as bytes.
 
     The tokenizer's pattern breaks before a space that stands after or before
     something else than white space, so pieces can be encoded on their own;
     most pieces of a corpus are repeats. Of a new piece made of letters and
     marks each part is one pre-token, which goes straight to the tokenizer's
-    model; other pieces go through the whole tokenizer.
+    model; other pieces go through the whole tokenizer, as do whole texts that
+    hold the string of an added token.
+
+    Pieces are remembered in two generations of bounded size: a piece that was
+    not met while the younger one filled up is forgotten.
     """
 
     def __init__(self, tokenizer):
         self.tokenizer, self.model = tokenizer, tokenizer.model
         self.kind = "H" if tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         # the printable stand-ins of the byte alphabet
         shown = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or 174 <= c]
         hidden = [c for c in range(256) if c not in shown]
+        self.space = chr(256 + hidden.index(ord(" ")))
         self.stand_in = {**{c: c for c in shown}, **{c: 256 + i for i, c in enumerate(hidden)}}
 
     def _part(self, part: str) -> bytes:
         """Ids of one pre-token."""
         ids = self.parts.get(part)
         if ids is None:
-            text = part.encode().decode("latin-1").translate(self.stand_in)
+            if part.isascii() and part[1:].isalpha() and part[0] == " ":
+                text = self.space + part[1:]  # letters stand for themselves
+            else:
+                text = part.encode().decode("latin-1").translate(self.stand_in)
             ids = array(self.kind, [t.id for t in self.model.tokenize(text)]).tobytes()
             if len(part) < 4:
                 self.parts[part] = ids
@@ -69,107 +83,160 @@ class PieceCache(dict):
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array(self.kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        hard = []
-        for piece in pieces:
-            core = piece.rstrip(_MARKS)
-            if core.isalpha():
-                ids = self.get(core) or self._part(" " + core)
-                self[piece] = ids + self._part(piece[len(core) :]) if len(core) < len(piece) else ids
+    def _known(self, piece: str) -> bytes | None:
+        ids = self.young.get(piece)
+        if ids is None:
+            ids = self.old.get(piece)
+            if ids is not None:
+                self.young[piece] = ids
+        return ids
+
+    def _letters(self, piece: str) -> bytes | None:
+        """Ids of a piece of letters and marks, also of several at line ends; else None."""
+        core = piece.rstrip(_MARKS)
+        if core[core[:1] == " " :].isalpha():
+            ids = self._known(core)
+            if ids is None:
+                ids = self.young[core] = self._part(core)
+            if len(core) < len(piece):
+                ids = self.young[piece] = ids + self._part(piece[len(core) :])
+            return ids
+        lines = piece.split("\n")
+        # a line end between other characters than white space is a pre-token of its own
+        if len(lines) > 1 and lines[0] != " " and all(x and x[-1] > " " for x in lines):
+            found = [self._known(x) or self._letters(x) for x in lines]
+            if None not in found:
+                return self._part("\n").join(found)
+        return None
+
+    def pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces; those behind a space are given with it."""
+        if len(self.young) > CACHE_PIECES:
+            self.young, self.old = {}, self.young
+        get = self.young.get
+        found = [get(p) or self._known(p) or self._letters(p) for p in pieces]
+        hard = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(hard, self._whole([pieces[i] for i in hard]), strict=True):
+            found[i] = self.young[pieces[i]] = ids
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each followed by END_ID, and how many each has.
+
+        Texts are split at their spaces as Arrow columns, and every distinct
+        piece is looked up once.
+        """
+        type_ = np.dtype(np.uint16 if self.kind == "H" else np.uint32)
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = pc.match_substring_regex(texts, r" \s").to_numpy(zero_copy_only=False)
+        whole = np.zeros(len(texts), bool)
+        for token in self.added:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        # the first piece of a text has no space before it, the others share theirs
+        spaced = pc.if_else(pa.array(odd | whole), "", texts)
+        lists = pc.split_pattern(spaced, " ")
+        ends = lists.offsets.to_numpy()[1:] - lists.offsets.to_numpy()[0]
+        coded = lists.flatten().dictionary_encode()
+        code, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        heads = np.append(0, ends[:-1])
+        first, place = np.unique(code[heads], return_inverse=True)
+        table = self.pieces([" " + w for w in words]) + self.pieces([words[i] for i in first.tolist()])
+        code[heads] = len(words) + place
+        for i in np.flatnonzero(odd | whole).tolist():
+            text = texts[i].as_py()
+            if whole[i]:
+                ids = self._whole([text])[0]
             else:
-                hard.append(piece)
-        self.update(zip(hard, self._whole([" " + p for p in hard]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self) > CACHE_PIECES:
-            self.clear()
-        cut = [_SPACE.split(t) if _BLANKS.search(t) else t.split(" ") for t in texts]
-        heads = self._whole([pieces[0] for pieces in cut])
-        get, out, late, new = self.get, [], [], set()
-        for i, pieces in enumerate(cut):
-            ids = list(map(get, pieces))
-            ids[0] = heads[i]
-            if None in ids:
-                new.update([p for p, x in zip(pieces, ids, strict=True) if x is None])
-                late.append(i)
-            out.append(ids)
-        self._learn(list(new))
-        for i in late:
-            out[i] = [self[p] if x is None else x for p, x in zip(cut[i], out[i], strict=True)]
-        return [b"".join(ids) for ids in out]
+                cut = _SPACE.split(text)
+                ids = b"".join(self.pieces([cut[0], *(" " + w for w in cut[1:])]))
+            code[heads[i]] = len(table)
+            table.append(ids)
+        code = np.insert(code, ends, len(table))
+        table.append(array(self.kind, [END_ID]).tobytes())
+        flat = np.frombuffer(b"".join(table), type_)
+        size = np.array([len(t) for t in table], np.int64) // type_.itemsize
+        start = np.cumsum(size) - size
+        many = size[code]
+        before = np.cumsum(many) - many
+        ids = flat[np.repeat(start[code] - before, many) + np.arange(int(many.sum()))]
+        edges = np.append(0, ends + np.arange(1, len(ends) + 1))
+        totals = np.append(before, len(ids))[edges]
+        return ids, np.diff(totals)
 
 
 _SPACE = re.compile(r" (?=\S)")
-_BLANKS = re.compile(r" \s")
 _MARKS = ".,;:!?|"
 
 
 def piece_cache(path: str) -> PieceCache:
     """One tokenizer and cache per Python worker."""
-    if path not in _loaded:
+    loaded = kept("token_file")
+    if path not in loaded:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        _loaded[path] = PieceCache(tokenizer)
-    return _loaded[path]
+        loaded[path] = PieceCache(Tokenizer.from_file(path))
+    return loaded[path]
 
 
 def tokenize(docs: DataFrame, path: str) -> DataFrame:
     """(doc, shard, seq, before, n, ids) in ascending order of doc; rows of one id by text.
 
-    `before` counts the ids that precede the document in its shard.
+    `before` counts the ids that precede the document in its shard. Each task
+    ends with a row that has no `seq`: its counts of ids, in 64 bits.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.repartitionByRange(parts, "doc", F.xxhash64("body")).sortWithinPartitions("doc", F.xxhash64("body"))
 
     def rows(batches):
         cache = piece_cache(path)
-        end = array(cache.kind, [END_ID]).tobytes()
         seq = before = 0
+        counts = np.zeros(0, np.int64)
+        names = ["doc", "shard", "seq", "before", "n", "ids"]
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                ids = [x + end for x in cache.encode([t or "" for t in part.column(2).to_pylist()])]
-                n = np.array([len(x) // len(end) for x in ids], np.int64)
+            for at, _, offsets in text_slices(batch.column(2), SLICE_BYTES):
+                part = batch.slice(at, len(offsets) - 1)
+                ids, n = cache.encode(part.column(2))
+                more = np.bincount(ids, minlength=len(counts))
+                more[: len(counts)] += counts
+                counts = more
+                ends = np.append(0, np.cumsum(n)) * ids.itemsize
+                stored = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+                places = pa.array(np.arange(seq, seq + len(n)))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        part.column(1),
-                        pa.array(range(seq, seq + len(ids)), pa.int64()),
-                        pa.array(before + np.cumsum(n) - n),
-                        pa.array(n),
-                        pa.array(ids, pa.binary()),
-                    ],
-                    ["doc", "shard", "seq", "before", "n", "ids"],
+                    [part.column(0), part.column(1), places, pa.array(before + np.cumsum(n) - n), pa.array(n), stored.cast(pa.binary())], names
                 )
-                seq += len(ids)
+                seq += len(n)
                 before += int(n.sum())
+        if len(counts):
+            row = [None, None, None, None, None, counts.astype("<i8").tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.binary()], strict=True)], names)
 
     return ordered.select("doc", F.spark_partition_id().alias("shard"), "body").mapInArrow(
-        rows, "doc bigint, shard int, seq bigint, before bigint, n bigint, ids binary"
+        lean(rows, "token_file"), "doc bigint, shard int, seq bigint, before bigint, n bigint, ids binary"
     )
 
 
-def id_counts(tokens: DataFrame, type_: type) -> dict[int, int]:
-    """How often each id occurs in the whole corpus; as long as the vocabulary at most."""
+def id_counts(counted: DataFrame) -> dict[int, int]:
+    """How often each id occurs in the whole corpus, from the tasks' counts; as
+    long as the vocabulary at most."""
 
     def rows(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            c = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), type_))
-            if len(c) < len(total):
-                c, total = total, c
-            c[: len(total)] += total
-            total = c
+            for raw in batch.column(0):
+                c = np.frombuffer(raw.as_py(), "<i8").copy()
+                if len(c) < len(total):
+                    c, total = total, c
+                c[: len(total)] += total
+                total = c
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "c"])
 
-    counted = tokens.select("ids").mapInArrow(rows, "id bigint, c bigint").groupBy("id").agg(F.sum("c").alias("c"))
-    return {r["id"]: r["c"] for r in counted.collect()}
+    summed = counted.select("ids").mapInArrow(rows, "id bigint, c bigint").groupBy("id").agg(F.sum("c").alias("c"))
+    return {r["id"]: r["c"] for r in summed.collect()}
 
 
 def code_lengths(counts: dict[int, int], limit: int = MAX_BITS) -> dict[int, int]:
@@ -291,7 +358,7 @@ def encode_blocks(tokens: DataFrame, code, offsets, type_: type) -> DataFrame:
                         yield from flush()
         yield from flush()
 
-    return tokens.mapInArrow(rows, BLOCKS)
+    return tokens.mapInArrow(lean(rows, "token_file"), BLOCKS)
 
 
 def write_token_files(docs: DataFrame, folder: str, path: str, text: str = "text", doc_id: str = "doc_id") -> None:
@@ -307,8 +374,9 @@ def write_token_files(docs: DataFrame, folder: str, path: str, text: str = "text
     body = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("body"))
     scratch = work_folder(spark, "ids")
     tokenize(body, path).write.option("compression", "zstd").parquet(scratch)
-    tokens = spark.read.parquet(scratch)
-    lengths = code_lengths(id_counts(tokens, type_))
+    written = spark.read.parquet(scratch)
+    tokens = written.where("seq is not null")
+    lengths = code_lengths(id_counts(written.where("seq is null")))
     # one number per shard, as many as there are shuffle partitions
     sizes = {r["shard"]: r["n"] for r in tokens.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
     offsets, before = {}, 0
@@ -335,25 +403,21 @@ def read_pieces(spark, folder: str) -> DataFrame:
 
     def rows(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = code.value.decode(row["payload"], np.array(row["marks"], np.int64), sum(row["counts"]))
-                ends = np.cumsum(row["counts"])
-                parts = np.split(ids.astype("<u4"), ends[:-1])
+            for i in range(len(batch)):
+                docs, seqs, counts, whole, marks = (batch[c][i].values for c in ("docs", "seqs", "counts", "whole", "marks"))
+                sizes = counts.to_numpy()
+                ids = code.value.decode(batch["payload"][i].as_py(), marks.to_numpy(), int(sizes.sum())).astype("<u4")
+                ends = np.cumsum(sizes)
+                data = memoryview(ids).cast("B")
+                crcs = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+                starts = pa.array(batch["first_id"][i].as_py() + ends - sizes)
+                shard = pa.array([batch["shard"][i].as_py()] * len(crcs), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(row["docs"], pa.int64()),
-                        pa.array([row["shard"]] * len(parts), pa.int32()),
-                        pa.array(row["seqs"], pa.int64()),
-                        pa.array(row["first_id"] + ends - row["counts"], pa.int64()),
-                        pa.array(row["counts"], pa.int64()),
-                        pa.array(row["whole"], pa.int64()),
-                        pa.array([zlib.crc32(p.tobytes()) for p in parts], pa.int64()),
-                    ],
-                    ["doc", "shard", "seq", "start", "n", "whole", "crc"],
+                    [docs, shard, seqs, starts, counts, whole, pa.array(crcs, pa.int64())], ["doc", "shard", "seq", "start", "n", "whole", "crc"]
                 )
 
     return spark.read.schema(BLOCKS).parquet(f"{folder}/blocks").mapInArrow(
-        rows, "doc bigint, shard int, seq bigint, start bigint, n bigint, whole bigint, crc bigint"
+        lean(rows, "token_file"), "doc bigint, shard int, seq bigint, start bigint, n bigint, whole bigint, crc bigint"
     )
 
 

@@ -16,13 +16,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
-from ebbtide.llm.common import if_small
+from ebbtide.llm.common import if_small, lean
 from ebbtide.operators.ordering import settle
 
 PRIME = (1 << 31) - 1
 BASES = (911_382_323, 972_663_749, 1_357_913_579)
 CHUNK = 1 << 16
+KEY = ("f1", "f2", "bytes")
+#: A group's leader is copied once for so many rows of the group, up to a limit.
+GROUP_ROWS, MOST_COPIES = 2000, 256
 
 Print = tuple[tuple[int, ...], int]
 EMPTY: Print = ((0,) * len(BASES), 0)
@@ -66,46 +70,46 @@ def _fingerprints(docs: DataFrame) -> DataFrame:
     def rows(batches):
         for batch in batches:
             prints, digests = [], []
-            for text in batch.column(1):
+            for text in batch["body"]:
                 data = _normal(text.as_py())
                 prints.append(text_print(map(chunk_print, chunks(data))))
                 digests.append(hashlib.sha256(data).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    batch["doc"],
+                    batch["print"],
                     pa.array([p[0][0] << 31 | p[0][1] for p in prints], pa.int64()),
                     pa.array([p[0][2] for p in prints], pa.int64()),
                     pa.array([p[1] for p in prints], pa.int64()),
                     pa.array(digests, pa.string()),
                 ],
-                ["doc", "f1", "f2", "bytes", "digest"],
+                ["doc", "print", "f1", "f2", "bytes", "digest"],
             )
 
-    return docs.mapInArrow(rows, "doc bigint, f1 bigint, f2 bigint, bytes bigint, digest string")
+    return docs.mapInArrow(lean(rows), "doc bigint, print bigint, f1 bigint, f2 bigint, bytes bigint, digest string")
 
 
 def _cut(texts: DataFrame) -> DataFrame:
-    """(row, leader, chunk_no, chunk) of the texts that have their row's fingerprint."""
+    """The chunks of texts, each with the texts' other columns; texts whose
+    fingerprint is not the wanted one are other rows with the same id."""
+    others = [c for c in texts.columns if c not in ("body", *KEY)]
 
     def rows(batches):
         for batch in batches:
-            for text, row, leader, f1, f2, size in zip(batch.column(0), *(batch.column(i).to_pylist() for i in range(1, 6)), strict=True):
+            wanted = zip(*(batch[c].to_pylist() for c in KEY), strict=True)
+            for i, (text, key) in enumerate(zip(batch["body"], wanted, strict=True)):
                 data = _normal(text.as_py())
                 lanes, length = text_print(map(chunk_print, chunks(data)))
-                if (lanes[0] << 31 | lanes[1], lanes[2], length) != (f1, f2, size):
-                    continue  # another row with the same id
+                if (lanes[0] << 31 | lanes[1], lanes[2], length) != key:
+                    continue
                 parts = list(chunks(data)) or [b""]
+                same = pa.array([i] * len(parts))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([row] * len(parts), pa.int64()),
-                        pa.array([leader] * len(parts), pa.int64()),
-                        pa.array(range(len(parts)), pa.int32()),
-                        pa.array(parts, pa.binary()),
-                    ],
-                    ["row", "leader", "chunk_no", "chunk"],
+                    [*(batch[c].take(same) for c in others), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())],
+                    [*others, "chunk_no", "chunk"],
                 )
 
-    return texts.mapInArrow(rows, "row bigint, leader bigint, chunk_no int, chunk binary")
+    return texts.mapInArrow(lean(rows), StructType([*(texts.schema[c] for c in others), StructField("chunk_no", IntegerType()), StructField("chunk", BinaryType())]))
 
 
 def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -115,30 +119,48 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     empty, and empty texts equal one another. Of equal texts the row with the
     largest doc_id stays, null ids last; of rows repeated with that id one is
     marked kept. A row whose fingerprint equals its leader's by chance alone is
-    grouped by its SHA-256 instead. Other columns are ignored.
+    grouped by its SHA-256 instead. Rows without an id, or with one id, are told
+    apart by a hash of their text; where that is equal too, they are compared
+    as one. Other columns are ignored.
     """
-    docs = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("body"))
+    docs = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("body"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("print"))
     rows = settle(_fingerprints(docs).withColumn("row", F.monotonically_increasing_id()))
-    key = ["f1", "f2", "bytes"]
-    groups = rows.groupBy(*key).agg(F.max(F.struct("doc", "row")).alias("top"), F.count("*").alias("size"))
-    several = groups.where("size > 1").select(*key, F.col("top.row").alias("leader"))
-
-    suspects = rows.select("doc", "row", *key).join(several, key)
-    ids = if_small(suspects.select(F.col("doc").alias("wanted"), "row", "leader", *key))
-    texts = docs.join(ids, F.col("doc").eqNullSafe(F.col("wanted"))).select("body", "row", "leader", *key)
+    groups = rows.groupBy(*KEY).agg(F.max(F.struct("doc", "row", "print")).alias("top"), F.count("*").alias("size"))
+    # the leader of a large group is copied, so that its group is compared in several tasks
+    copies = F.least(F.lit(MOST_COPIES), F.floor(F.col("size") / GROUP_ROWS) + 1).cast("int")
+    leader = (F.col("top.doc").alias("lead_doc"), F.col("top.print").alias("lead_print"))
+    several = groups.where("size > 1").select(*KEY, *leader, copies.alias("copies"))
+
+    who, led = ["doc", "print"], ["lead_doc", "lead_print", "copies"]
+    suspects = rows.select(*who, *KEY).join(several, list(KEY))
+    ids = if_small(suspects.select(F.col("doc").alias("wanted"), F.col("print").alias("wanted_print"), *led, *KEY).distinct())
+    on = F.col("doc").eqNullSafe(F.col("wanted")) & (F.col("print") == F.col("wanted_print"))
+    texts = docs.join(ids, on).select("body", *who, *led, *KEY)
     pieces = settle(_cut(texts))
-    lead = pieces.where("row = leader").select("leader", "chunk_no", F.col("chunk").alias("lead_chunk")).dropDuplicates(["leader", "chunk_no"])
-    same = pieces.where("row != leader").join(lead, ["leader", "chunk_no"], "left")
-    differs = same.where(~F.col("chunk").eqNullSafe(F.col("lead_chunk"))).select("row").distinct()
-
-    sorted_out = settle(
-        rows.join(differs.withColumn("other", F.lit(True)), "row", "left").withColumn("variant", F.when("other", F.col("digest")))
-        if differs.limit(1).count()
-        else rows.withColumn("variant", F.lit(None).cast("string"))
+    is_leader = F.col("doc").eqNullSafe(F.col("lead_doc")) & (F.col("print") == F.col("lead_print"))
+    lead = pieces.where(is_leader).select(*led, "chunk_no", F.col("chunk").alias("lead_chunk")).dropDuplicates([*led, "chunk_no"])
+    lead = lead.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    others = pieces.where(~is_leader).withColumn("copy", F.pmod(F.xxhash64(*who), F.col("copies")).cast("int")).drop("copies")
+    a, b = others.alias("a"), lead.alias("b")
+    meets = (
+        F.col("a.lead_doc").eqNullSafe(F.col("b.lead_doc"))
+        & (F.col("a.lead_print") == F.col("b.lead_print"))
+        & (F.col("a.copy") == F.col("b.copy"))
+        & (F.col("a.chunk_no") == F.col("b.chunk_no"))
     )
-    exact = sorted_out.groupBy(*key, "variant").agg(F.max(F.struct("doc", "row")).alias("top"), F.count("*").alias("group_size"))
+    same = a.join(b, meets, "left")
+    differs = same.where(~F.col("chunk").eqNullSafe(F.col("lead_chunk"))).select(*(F.col(f"a.{c}").alias(c) for c in who)).distinct()
+
+    if differs.limit(1).count():
+        d = differs.select(F.col("doc").alias("odd"), F.col("print").alias("odd_print"))
+        variant = F.when(F.col("odd_print").isNotNull(), F.col("digest"))
+        marked = rows.join(d, F.col("doc").eqNullSafe(F.col("odd")) & (F.col("print") == F.col("odd_print")), "left").withColumn("variant", variant)
+        sorted_out = settle(marked.drop("odd", "odd_print"))
+    else:
+        sorted_out = rows.withColumn("variant", F.lit(None).cast("string"))
+    exact = sorted_out.groupBy(*KEY, "variant").agg(F.max(F.struct("doc", "row")).alias("top"), F.count("*").alias("group_size"))
     joined = sorted_out.withColumn("v", F.coalesce("variant", F.lit(""))).join(
-        exact.withColumn("v", F.coalesce("variant", F.lit(""))).drop("variant"), [*key, "v"]
+        exact.withColumn("v", F.coalesce("variant", F.lit(""))).drop("variant"), [*KEY, "v"]
     )
     return joined.select(
         F.col("doc").alias("doc_id"),

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import if_small, without
+from ebbtide.llm.common import fresh, if_small, lean
 from ebbtide.llm.shingles import mix, shingle_hashes, text_slices, word_hashes
 from ebbtide.operators.ordering import settle
 
@@ -74,7 +74,7 @@ def gram_counts(docs: DataFrame, text: str, size: int) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "cells": pa.array([total.tobytes()], pa.binary())})
 
     schema = "part int, cells binary"
-    rows = docs.select(text).mapInArrow(count, schema).repartition(SKETCH_PARTS, "part").mapInArrow(add, schema).collect()
+    rows = docs.select(text).mapInArrow(lean(count), schema).repartition(SKETCH_PARTS, "part").mapInArrow(lean(add), schema).collect()
     out = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.uint64)
     for r in rows:
         out[r["part"]] = np.frombuffer(r["cells"], np.uint64)
@@ -128,17 +128,18 @@ def _prefixes(docs: DataFrame, text: str, order, size: int, percent: int) -> Dat
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, len(sets)),
+                        batch.column(2).slice(first, len(sets)),
                         pa.array([len(s) for s in sets], pa.int32()),
                         pa.array([k[0] for k in keys], pa.int64()),
                         pa.array([k[1] for k in keys], pa.int64()),
                         pa.array(typical, pa.float32()),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values)),
                     ],
-                    ["doc", "n", "k1", "k2", "typical", "prefix"],
+                    ["doc", "print", "n", "k1", "k2", "typical", "prefix"],
                 )
 
-    return docs.select(F.col("doc"), F.col(text)).mapInArrow(
-        rows, "doc bigint, n int, k1 bigint, k2 bigint, typical float, prefix array<bigint>"
+    return docs.select("doc", text, "print").mapInArrow(
+        lean(rows), "doc bigint, print bigint, n int, k1 bigint, k2 bigint, typical float, prefix array<bigint>"
     )
 
 
@@ -170,9 +171,10 @@ def _segments(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, order, size:
                     )
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = if_small(nodes.join(ends, "node").select(F.col("first_doc").alias("wanted"), "node", "k1", "k2"))
-    texts = docs.join(wanted, F.col("doc").eqNullSafe(F.col("wanted")))
-    cut = texts.select("body", "node", "k1", "k2").mapInArrow(rows, "node bigint, fragment int, grams array<bigint>")
+    wanted = if_small(nodes.join(ends, "node").select(F.col("first.doc").alias("wanted"), F.col("first.print").alias("wanted_print"), "node", "k1", "k2"))
+    # ids may be null or repeated; id and text together are not met by other rows
+    texts = docs.join(wanted, F.col("doc").eqNullSafe(F.col("wanted")) & (F.col("print") == F.col("wanted_print")))
+    cut = texts.select("body", "node", "k1", "k2").mapInArrow(lean(rows), "node bigint, fragment int, grams array<bigint>")
     return settle(cut.dropDuplicates(["node", "fragment"]) if repeats else cut)
 
 
@@ -242,6 +244,11 @@ def _bounds(percent: int) -> Column:
     )
 
 
+def _print(text: str) -> Column:
+    """A hash of the text, to tell rows with one id (or none) apart."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def similarity_components(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -254,14 +261,25 @@ def similarity_components(
     if it holds null ids alone). Repeated rows are kept; rows with one id and
     different texts are compared on their own. Other columns are ignored.
     """
+    found = _members(docs, text, doc_id, size, percent)
+    return found.select(
+        F.col("doc").alias("doc_id"),
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("n") == 0, F.col("doc")).otherwise(F.col("first.doc")).alias("component_id"),
+    )
+
+
+def _members(docs: DataFrame, text: str, doc_id: str, size: int, percent: int) -> DataFrame:
+    """(doc, print, n, first) of every row: `first` is the row (id, print) with
+    the smallest id of its component, one with an id if there is any."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("body"))
+    docs = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("body"), _print(text).alias("print"))
     order = spark.sparkContext.broadcast(GramOrder(gram_counts(docs, "body", size)))
     rows = settle(_prefixes(docs, "body", order, size, percent))
     repeats = bool(rows.groupBy("doc").count().where("count > 1").limit(1).count())
 
     classes = rows.groupBy("k1", "k2", "n").agg(
-        F.min("doc").alias("first_doc"), F.first("typical").alias("typical"), F.first("prefix").alias("prefix")
+        F.min(F.struct(F.col("doc").isNull().alias("no_id"), "doc", "print")).alias("first"), F.first("typical").alias("typical"), F.first("prefix").alias("prefix")
     )
     nodes = settle(classes.withColumn("node", F.monotonically_increasing_id()))
     early = nodes.select("node", F.posexplode("prefix").alias("pos", "gram"))
@@ -310,27 +328,30 @@ def similarity_components(
     links = near.union(_links(rest, _segments(docs, nodes, rest, order, size, repeats), percent))
 
     member = components(settle(links))
-    named = nodes.select("node", "k1", "k2", "n", "first_doc").join(member, "node", "left")
+    named = nodes.select("node", "k1", "k2", "n", "first").join(member, "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
-    lowest = named.groupBy("component").agg(F.min("first_doc").alias("low"))
-    labels = settle(named.join(lowest, "component").select("k1", "k2", "n", "low"))
-    found = rows.select("doc", "n", "k1", "k2").join(labels, ["k1", "k2", "n"])
-    return found.select(
-        F.col("doc").alias("doc_id"),
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n") == 0, F.col("doc")).otherwise(F.col("low")).alias("component_id"),
-    )
+    lowest = named.groupBy("component").agg(F.min("first").alias("lowest"))
+    labels = settle(named.join(lowest, "component").select("k1", "k2", "n", F.col("lowest").alias("first")))
+    order.unpersist()
+    return rows.select("doc", "print", "n", "k1", "k2").join(labels, ["k1", "k2", "n"]).select("doc", "print", "n", "first")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs`, with their columns, that stand for their component:
-    the one whose id is the component's. Rows without an id stay; of rows
-    repeated with one id and text, one stays."""
-    found = similarity_components(docs, text, doc_id, size, percent)
-    kept = without(docs, found.where("doc_id is not null and doc_id != component_id").select("doc_id"), doc_id)
-    return kept.dropDuplicates([doc_id, text]) if _repeats(found) else kept
+    of the one with the smallest id. Rows are told apart by id and text, so
+    another text with the id of a row that goes stays. Rows without an id or
+    without a shingle stay; of rows repeated with one id and text, one stays."""
+    found = _members(docs, text, doc_id, size, percent)
+    other = ~F.col("doc").eqNullSafe(F.col("first.doc")) | (F.col("print") != F.col("first.print"))
+    id_name, print_name = fresh("_gone_id", docs.columns), fresh("_gone_print", docs.columns)
+    gone = found.where(F.col("doc").isNotNull() & (F.col("n") > 0) & other).select(F.col("doc").alias(id_name), F.col("print").alias(print_name))
+    gone = if_small(gone.distinct())
+    kept = docs.join(gone, (F.col(doc_id).cast("bigint") == F.col(id_name)) & (_print(text) == F.col(print_name)), "left_anti")
+    if not _repeats(found):
+        return kept
+    return kept.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id, text]).unionByName(kept.where(F.col(doc_id).isNull()))
 
 
 def _repeats(found: DataFrame) -> bool:
     """Are there rows with one id? Only a truth value reaches the driver."""
-    return bool(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count())
+    return bool(found.where("doc is not null").groupBy("doc").count().where("count > 1").limit(1).count())

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,6 +179,36 @@ def test_equal_fingerprints_of_different_texts(docs, monkeypatch):
     assert sum(want.values()) == rows.count()
 
 
+def test_rows_without_an_id_are_told_apart(spark, monkeypatch):
+    """Ten thousand rows without an id, and ids with several texts, in linear time."""
+    monkeypatch.setattr(exact_dedup, "GROUP_ROWS", 100)
+    rows = [(None, f"text number {i % 4000}") for i in range(10_000)] + [(None, "the same")] * 3000 + [(5, "The Same"), (5, "other"), (5, "OTHER"), (6, "other"), (6, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = exact_dedup.exact_groups(df)
+    want = Counter(low(t) for _, t in rows)
+    digests = {hashlib.sha256(t).hexdigest(): n for t, n in want.items()}
+    per = {r["text_sha256"]: r for r in got.groupBy("text_sha256").agg(F.min("group_size").alias("lo"), F.max("group_size").alias("hi"), F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("kept"), F.max("keep_id").alias("keep")).collect()}
+    assert {k: (r["lo"], r["hi"], r["n"], r["kept"]) for k, r in per.items()} == {k: (n, n, n, 1) for k, n in digests.items()}
+    keep = {t: per[hashlib.sha256(t.encode()).hexdigest()]["keep"] for t in ("the same", "other", "text number 1")}
+    assert keep == {"the same": 5, "other": 6, "text number 1": None}
+
+
+def test_similar_rows_without_an_id(spark):
+    base = prose(7, 60).split()
+    rows = [(None, " ".join([*base[:58], f"x{i}"])) for i in range(2)] + [(None, f"alone {i} " + prose(i, 12)) for i in range(3000)] + [(9, " ".join(base)), (4, prose(1, 40)), (4, " ".join(base[:59]))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = Counter((r["doc_id"], r["component_id"]) for r in ngram_join.similarity_components(df).collect())
+    assert got[9, 4] == 1 and got[4, 4] == 2 and got[None, 4] == 2 and sum(got.values()) == len(rows)
+
+
+def test_one_of_each_tells_rows_of_one_id_apart(spark):
+    a, b = prose(11, 80), prose(12, 80)
+    rows = [(3, a), (7, a + " tail"), (7, b), (7, b), (8, b + " end"), (None, a), (None, a), (2, ""), (1, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = Counter(map(tuple, ngram_join.one_of_each(df).collect()))
+    assert got == Counter([(3, a), (7, b), (None, a), (None, a), (2, ""), (1, None)])
+
+
 def test_fingerprints_combine(spark):
     data = prose(9, 40_000).encode()
     whole = exact_dedup.text_print(map(exact_dedup.chunk_print, exact_dedup.chunks(data)))
@@ -198,7 +229,6 @@ def test_token_files(docs, no_docs):
 
     path = vocabulary("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     got = token_file.token_files(docs, path).collect()
     rows = [(x["doc_id"], tok.encode(x["text"] or "", add_special_tokens=False).ids + [0]) for x in docs.collect()]
     assert Counter((x["doc_id"], x["n_tokens"], x["ids_crc32"]) for x in got) == Counter((d, len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for d, i in rows)
@@ -224,7 +254,18 @@ def test_pieces_are_encoded_as_in_the_whole_text():
     parts = [" ", "  ", "\n", "\t", "a", "Bc", "é", "'s", ".", ",", "1", " ", "|", "日", "\x1c", "\u0301", "\u3000", "<|endoftext|>"]
     texts = ["".join(r.choices(parts, k=r.randrange(25))) for _ in range(3000)]
     whole = cache.tokenizer.encode_batch(texts, add_special_tokens=False)
-    assert cache.encode(texts) == [np.array(e.ids, np.uint16).tobytes() for e in whole]
+    ids, sizes = cache.encode(pa.array([*texts, None]))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes))[:-1]] == [[*e.ids, 0] for e in whole] + [[0]]
+
+
+def test_pieces_outlive_a_full_memory(monkeypatch):
+    monkeypatch.setattr(token_file, "CACHE_PIECES", 5)
+    cache = token_file.PieceCache(token_file.piece_cache(vocabulary("byte_bpe_50k.json")).tokenizer)
+    for seed in range(6):
+        texts = [prose(seed, 9), "one\ntwo, three\n\nfour \n five\n", "a.\nB c\td\ne", "\n", " \nx"]
+        ids, sizes = cache.encode(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes))[:-1]] == [[*cache.tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+        assert len(cache.young) < 200
 
 
 @pytest.mark.parametrize("counts", [{}, {7: 3}, {1: 1, 2: 1}, {i: 1 << min(i, 40) for i in range(60)}, {i: i % 7 + 1 for i in range(5000)}])

@@ -548,7 +548,9 @@ def quality_summary(metrics: DataFrame) -> DataFrame:
 
 
 def decline_quality(counts: DataFrame) -> DataFrame:
-    """Correct and wrong decisions as counts and percent from tp, fp, fn, tn."""
+    """Correct and wrong decisions as counts and percent from tp, fp, fn, tn,
+    with the rates that `counts` has: precision, recall, f1, roc_auc."""
+    percent = {f"{c}_pct": F.col(c) * 100.0 for c in ("precision", "recall", "f1", "roc_auc") if c in counts.columns}
     n = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
     ok = F.col("tp") + F.col("tn")
     return counts.withColumns(
@@ -558,5 +560,6 @@ def decline_quality(counts: DataFrame) -> DataFrame:
             "sample_size": n,
             "accuracy_pct": safe_ratio(ok, n) * 100.0,
             "error_pct": safe_ratio(n - ok, n) * 100.0,
+            **percent,
         }
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbtide.functions.scalars import clip, ratio_to_risk, safe_ratio
-from ebbtide.operators.ordering import exact_quantiles, running_totals
+from ebbtide.operators.ordering import exact_quantiles, running_totals, settle
 from ebbtide.operators.windows import Series
 
 
@@ -72,25 +72,23 @@ def momentum(df: DataFrame, s: Series, col: str) -> DataFrame:
 def row_positions(df: DataFrame, value: str, day: str, entity: str, by: Sequence[str]) -> DataFrame:
     """Position (1..n) and n inside each group, ordered by value, day, entity.
 
-    Positions come from running totals over values, then over days inside one
-    value; only the entities of one day and value are sorted together.
+    Rows are cut into ranges of (group, value, day, entity), numbered inside
+    them and moved by the rows of the ranges before, so that no tie is one
+    task. Rows without a value have no position and are left out.
     """
     by = list(by)
-    ordered = df.withColumn("_day_no", F.datediff(day, F.lit("1970-01-01").cast("date")))
-    outer = running_totals(ordered, value, {"n": F.lit(1)}, by).select(
-        *by, value, (F.col("cum_n") - F.col("n")).alias("_start"), F.col("total_n").alias("group_rows")
-    )
-    inner = running_totals(ordered, "_day_no", {"n": F.lit(1)}, [*by, value]).select(
-        *by, value, "_day_no", (F.col("cum_n") - F.col("n")).alias("_tie_start")
-    )
-    last = Window.partitionBy(*by, value, "_day_no").orderBy(entity)
-    return (
-        ordered.withColumn("_tie", F.row_number().over(last))
-        .join(inner, [*by, value, "_day_no"])
-        .join(outer, [*by, value])
-        .withColumn("position", F.col("_start") + F.col("_tie_start") + F.col("_tie"))
-        .drop("_day_no", "_start", "_tie_start", "_tie")
-    )
+    order = [value, day, entity]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.where(F.col(value).isNotNull()).repartitionByRange(parts, *by, *order)
+    ranged = settle(ranged.withColumn("_part", F.spark_partition_id()))  # written, so the cut stays as it is
+    sizes = ranged.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(*by)  # a row per range
+    sizes = sizes.select(
+        *by, "_part", (F.sum("_n").over(group.orderBy("_part")) - F.col("_n")).alias("_start"), F.sum("_n").over(group).alias("group_rows")
+    )
+    inside = Window.partitionBy(*by, "_part").orderBy(*order)
+    numbered = ranged.withColumn("_row", F.row_number().over(inside)).join(sizes, [*by, "_part"])
+    return numbered.withColumn("position", F.col("_start") + F.col("_row")).drop("_part", "_start", "_row")
 
 
 def rank_in_fold(df: DataFrame, score: str, day: str, entity: str, fold: str) -> DataFrame:

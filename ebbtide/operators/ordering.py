@@ -3,7 +3,8 @@
 A plain window over all scores would sort one group in one task. Here rows
 are first reduced to one row per distinct value, then cut into value ranges;
 each range is accumulated on its own and shifted by the totals of the ranges
-before it. The cut points are a fixed, small number of values.
+before it. The cut points are a fixed, small number of values, for each large
+group its own.
 """
 
 from __future__ import annotations
@@ -46,7 +47,33 @@ def cut_points(df: DataFrame, col: str, buckets: int) -> list[float]:
     return sorted(set(row["cuts"] or []))
 
 
-def range_bucket(value: Column, cuts: Sequence[float], strict: bool = False) -> Column:
+#: A group with more distinct values than this is cut into ranges of its own.
+GROUP_VALUES = 10_000
+#: Lists of cuts are broadcast up to this number.
+MOST_LARGE_GROUPS = 10_000
+
+
+def own_ranges(reduced: DataFrame, value: str, by: Sequence[str], buckets: int) -> DataFrame:
+    """`reduced` (one row per group and value) with its `_range`, cut by each
+    large group's own quantiles; groups of up to GROUP_VALUES values are one range.
+
+    There are at most rows / GROUP_VALUES large groups, each with a short list
+    of cuts.
+    """
+    probs = [i / buckets for i in range(1, buckets)]
+    cuts = F.percentile_approx(F.col(value).cast("double"), probs, 1000).alias("_cuts")
+    large = settle(reduced.groupBy(*by).agg(F.count(value).alias("_values"), cuts).where(F.col("_values") > GROUP_VALUES))
+    n = large.count()
+    if not n:
+        return reduced.withColumn("_range", F.lit(0))
+    large = large.select(*[F.col(c).alias(f"_g_{c}") for c in by], "_cuts")
+    on = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in by]
+    joined = reduced.join(F.broadcast(large) if n <= MOST_LARGE_GROUPS else large, on, "left")
+    at = range_bucket(F.col(value), [F.col("_cuts")[i] for i in range(buckets - 1)])
+    return joined.withColumn("_range", F.when(F.col("_cuts").isNull(), 0).otherwise(at)).select(*reduced.columns, "_range")
+
+
+def range_bucket(value: Column, cuts: Sequence[float | Column], strict: bool = False) -> Column:
     """How many cuts are <= value (< value when strict), as a balanced decision."""
 
     def pick(lo: int, hi: int) -> Column:
@@ -72,8 +99,11 @@ def running_totals(
     the distribution is known."""
     by = list(by)
     reduced = settle(df.groupBy(*by, value).agg(*[F.sum(m).alias(n) for n, m in measures.items()]))
-    cuts = cut_points(reduced, value, bucket_count(df)) if cuts is None else cuts
-    reduced = reduced.withColumn("_range", range_bucket(F.col(value), cuts))
+    if by and cuts is None:
+        reduced = own_ranges(reduced, value, by, BUCKETS)
+    else:
+        cuts = cut_points(reduced, value, bucket_count(df)) if cuts is None else cuts
+        reduced = reduced.withColumn("_range", range_bucket(F.col(value), cuts))
     order = F.col(value).desc() if descending else F.col(value).asc()
     inside = Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     part = reduced.groupBy(*by, "_range").agg(*[F.sum(n).alias(f"_p_{n}") for n in measures])

@@ -98,3 +98,30 @@ def test_bootstrap_is_repeatable(df):
     b = policy.bootstrap_ci(df.repartition(7), "y", "score", F.col("score") >= 0.5, 50).orderBy("metric").collect()
     assert a == b
     assert all(r["low"] <= r["high"] for r in a)
+
+
+def test_each_large_group_has_its_own_ranges(spark, monkeypatch):
+    """Features of very different magnitude are cut as evenly as one alone."""
+    monkeypatch.setattr(ordering, "GROUP_VALUES", 200)
+    d = spark.range(600).select(F.explode(F.array(*[F.struct(F.lit(f"f{k}").alias("feature"), (F.col("id") * 10.0**k).alias("value")) for k in (-6, 0, 6)])).alias("x")).select("x.*")
+    small = spark.range(150).select(F.lit("small").alias("feature"), F.col("id").cast("double").alias("value"))
+    nameless = spark.range(300).select(F.lit(None).cast("string").alias("feature"), F.col("id").cast("double").alias("value"))
+    ranged = ordering.own_ranges(d.unionByName(small).unionByName(nameless), "value", ["feature"], 64)
+    per = {r["feature"]: (r["k"], r["most"]) for r in ranged.groupBy("feature", "_range").count().groupBy("feature").agg(F.count("*").alias("k"), F.max("count").alias("most")).collect()}
+    assert per["small"] == (1, 150)
+    assert per["f-6"] == per["f0"] == per["f6"] and per["f0"][0] == 64 and per["f0"][1] <= 20
+    assert per[None][0] > 60
+    q = {r["feature"]: (r["n"], r["q50"]) for r in ordering.exact_quantiles(d.unionByName(small), "value", [0.5], ["feature"]).collect()}
+    assert q["f0"] == (600, 299.5) and q["f6"] == (600, 299.5e6) and q["small"] == (150, 74.5)
+
+
+def test_positions_when_most_scores_tie(spark):
+    """Ties are numbered over several ranges, by day and entity."""
+    d = spark.range(2000).select(
+        F.when(F.col("id") % 10 == 0, F.col("id") / 2000).otherwise(0.5).alias("score"), F.lit("2024-01-01").cast("date").alias("day"),
+        F.format_string("e%05d", F.pmod(F.col("id") * 7919, F.lit(2000))).alias("entity"), (F.col("id") % 2).alias("fold"),
+    )
+    got = history.row_positions(d, "score", "day", "entity", ["fold"]).collect()
+    for fold in (0, 1):
+        rows = sorted((r["score"], r["entity"], r["position"], r["group_rows"]) for r in got if r["fold"] == fold)
+        assert [r[2] for r in rows] == list(range(1, 1001)) and {r[3] for r in rows} == {1000}

@@ -184,15 +184,14 @@ def to_sales_daily(t):
     return cleaning.to_sales(rows, "daily")
 
 
-@query("row_hash", "rows:i hashes:i shortest:i longest:i")
+_JSON = " || ',' || ".join(
+    f"""'"{c}":"' || {c} || '"'""" for c in sorted(["InvoiceNo", "StockCode", "Description", "Quantity", "InvoiceDate", "UnitPrice", "CustomerID", "Country"])
+)
+
+
+@query("row_hash", "row_no:i source_row_hash:s", f"WITH {UCI} SELECT row_no, sha256('uci:{{' || {_JSON} || '}}') AS source_row_hash FROM uci")
 def row_hash(t):
-    hashed = cleaning.row_hash(uci_rows(t), "uci")
-    return hashed.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.countDistinct("source_row_hash").alias("hashes"),
-        F.min(F.length("source_row_hash")).alias("shortest"),
-        F.max(F.length("source_row_hash")).alias("longest"),
-    )
+    return cleaning.row_hash(uci_rows(t), "uci")
 
 
 def _hashed(t):

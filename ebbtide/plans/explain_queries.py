@@ -77,7 +77,26 @@ def rank_drivers(t):
     return explain.rank_drivers(explain.decline_signals(tagged(t, ["region"]), ["region"]), ["region"])
 
 
-@query("driver_text", "region:s code:s driver_rank:i summary:s action:s")
+_SUMMARIES = {
+    "quantity_decline": "printf('Sold units fell from %.0f to %.0f.', previous, current)",
+    "active_customer_decline": "printf('Active customers fell from %.0f to %.0f.', previous, current)",
+    "transaction_decline": "printf('Transactions fell from %.0f to %.0f.', previous, current)",
+    "basket_decline": "printf('Average transaction value fell from %.2f to %.2f.', previous, current)",
+    "channel_decline": "cn.name || printf(' had the largest channel-value drop: %.2f → %.2f.', previous, current)",
+    "product_decline": "printf('This product had the largest value decline: %.2f → %.2f.', previous, current)",
+}
+
+
+def _by_code(texts: dict[str, str]) -> str:
+    return "CASE code " + " ".join(f"WHEN '{code}' THEN {sql}" for code, sql in texts.items()) + " END"
+
+
+@query(
+    "driver_text",
+    "region:s code:s driver_rank:i summary:s action:s",
+    f"""WITH {DRIVERS}, cn AS (SELECT region, name FROM td WHERE dim = 'channel' AND k = 1)
+ SELECT kp.region, code, driver_rank, {_by_code(_SUMMARIES)} AS summary, {_by_code({k: "'" + v + "'" for k, v in explain.ACTIONS.items()})} AS action FROM kp LEFT JOIN cn ON cn.region = kp.region""",
+)
 def driver_text(t):
     ranked = explain.rank_drivers(explain.decline_signals(tagged(t, ["region"]), ["region"]), ["region"])
     return explain.driver_text(ranked)

@@ -357,59 +357,42 @@ def selective_metrics(df: DataFrame, label: str, by: Sequence[str] = ()) -> Data
     )
 
 
-#: Children of a node in the tree of score ranks.
-FAN = 32
-
-
 def _past_counts(df: DataFrame, week: str, score: str, by: Sequence[str], weeks: int, sides: Mapping[str, tuple[Column, bool]]) -> DataFrame:
     """For each (by, week, score) and side (condition, above): earlier rows of
     the side with score >= (above) or <= the own one, and all of them, within
     the last `weeks` weeks and ever.
 
-    Distinct scores are numbered and form a tree with FAN children a node. On
-    every level a row is counted once, under its node's parent; the counts of a
-    parent's children are accumulated over the weeks, and a score takes those
-    of the children beyond its own. So each row is counted in as many places as
-    the tree has levels, and neither rows nor scores are paired. NULL scores
-    are left out. Columns: {side}_extreme, {side}_n, both also with _ever.
+    Distinct scores are numbered, and the numbers' bits form a binary tree. A
+    row is counted once per level, under its node and branch; a score takes,
+    per level, the branch beside its own where that lies beyond it, and at the
+    last level the rows of its own number. So rows are copied as often as the
+    numbers have bits, counts per node and week are accumulated over the weeks,
+    and neither rows nor scores are paired. NULL scores are left out. Columns:
+    {side}_extreme, {side}_n, both also with _ever.
     """
     by = list(by)
-    counts = {f"_{name}": F.count_if(cond) for name, (cond, _) in sides.items()}
-    cells = settle(df.where(F.col(score).isNotNull()).groupBy(*by, week, score).agg(*[c.alias(n) for n, c in counts.items()]))
+    counts = {name: F.count_if(cond).alias(f"_{name}") for name, (cond, _) in sides.items()}
+    cells = settle(df.where(F.col(score).isNotNull()).groupBy(*by, week, score).agg(*counts.values()))
     ranks = settle(running_totals(cells.select(score).distinct(), score, {"n": F.lit(1)}).select(score, (F.col("cum_n") - 1).alias("_rank")))
-    levels, size = 1, ranks.count()
-    while FAN**levels < size:
-        levels += 1
-    cells = cells.join(ranks, score)
-    out = cells.select(*by, week, score, "_rank")
-    found: dict[str, Column] = {}
-    for level in range(levels):
-        below = FAN ** (levels - 1 - level)
-        parent, child = F.expr(f"_rank div {below * FAN}"), F.expr(f"(_rank div {below}) % {FAN}")
-        one = {f"{n}_{i}": F.sum(F.when(F.col("_child") == i, F.col(n)).otherwise(0)) for n in counts for i in range(FAN)}
-        nodes = cells.withColumns({"_parent": parent, "_child": child}).groupBy(*by, "_parent", week).agg(*[c.alias(n) for n, c in one.items()])
-        order = Window.partitionBy(*by, "_parent").orderBy(F.unix_date(week))
-        frames = {"": order.rangeBetween(-7 * weeks, -7), "_ever": order.rangeBetween(Window.unboundedPreceding, -7)}
-        sums = [
-            F.array(*[F.coalesce(F.sum(f"_{name}_{i}").over(frame), F.lit(0)) for i in range(FAN)]).alias(f"_{name}{when}{level}")
-            for name in sides
-            for when, frame in frames.items()
-        ]
-        table = nodes.select(*by, "_parent", week, *sums)
-        out = out.withColumns({"_parent": parent, f"_child{level}": child}).join(table, [*by, "_parent", week]).drop("_parent")
-        for name, (_, above) in sides.items():
-            for when in frames:
-                held, at = F.col(f"_{name}{when}{level}"), F.col(f"_child{level}")
-                own = 1 if level == levels - 1 else 0  # the score itself counts
-                beyond = F.slice(held, at + 2 - own, F.lit(FAN)) if above else F.slice(held, F.lit(1), (at + own).cast("int"))
-                found[f"{name}_extreme{when}"] = found.get(f"{name}_extreme{when}", F.lit(0)) + _array_sum(beyond)
-                if not level:
-                    found[f"{name}_n{when}"] = _array_sum(held)
-    return out.select(*by, week, score, *[c.alias(n) for n, c in found.items()])
-
-
-def _array_sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    bits = max(1, (ranks.count() - 1).bit_length())
+    rank, own = F.col("_rank"), 2
+    nodes = [F.struct(F.lit(i).alias("level"), F.shiftright(rank, bits - i).alias("node"), F.shiftright(rank, bits - 1 - i).bitwiseAND(F.lit(1)).cast("int").alias("branch")) for i in range(bits)]
+    nodes.append(F.struct(F.lit(bits).alias("level"), rank.alias("node"), F.lit(own).alias("branch")))
+    placed = cells.join(ranks, score).withColumn("_p", F.explode(F.array(*nodes))).select(*by, week, score, *[f"_{n}" for n in sides], "_p.*")
+    at = [*by, "level", "node", week]
+    beyond = {name: F.col("branch").isin(int(above), own) for name, (_, above) in sides.items()}
+    sums = placed.groupBy(*at).agg(
+        *[F.sum(F.when(beyond[n], F.col(f"_{n}")).otherwise(0)).alias(f"_x_{n}") for n in sides], *[F.sum(f"_{n}").alias(f"_t_{n}") for n in sides]
+    )
+    order = Window.partitionBy(*by, "level", "node").orderBy(F.unix_date(week))
+    frames = {"": order.rangeBetween(-7 * weeks, -7), "_ever": order.rangeBetween(Window.unboundedPreceding, -7)}
+    past = sums.select(*at, *[F.coalesce(F.sum(f"_{k}_{n}").over(f), F.lit(0)).alias(f"_{k}_{n}{w}") for k in "xt" for n in sides for w, f in frames.items()])
+    takes = {name: F.col("branch").isin(int(not above), own) for name, (_, above) in sides.items()}
+    found = placed.select(*at, score, "branch").join(past, at)
+    return found.groupBy(*by, week, score).agg(
+        *[F.sum(F.when(takes[n], F.col(f"_x_{n}{w}")).otherwise(0)).alias(f"{n}_extreme{w}") for n in sides for w in frames],
+        *[F.max(F.when(F.col("level") == 0, F.col(f"_t_{n}{w}"))).alias(f"{n}_n{w}") for n in sides for w in frames],
+    )
 
 
 def conformal_state(

@@ -149,7 +149,7 @@ def safe_ratio(t):
 )
 def severity(t):
     s = Series("entity", "date")
-    d = base.day_panel(t).select("entity", "date", (s.change("gross", 7) * 100).alias("c")).where("c is not null")
+    d = base.gross_days(t).select("entity", "date", (s.change("gross", 7) * 100).alias("c")).where("c is not null")
     drop = F.greatest(-F.col("c"), F.lit(0.0))
     return d.withColumns(
         {
@@ -194,7 +194,7 @@ def count_sql(signals):
 
 def weekly_signals(t):
     return evidence.weekly_signals(
-        base.week_panel(t).select("entity", "week_start", "gross", "lines"), "entity", "week_start", "gross", "lines"
+        base.week_panel(t, measures=("gross", "lines")).select("entity", "week_start", "gross", "lines"), "entity", "week_start", "gross", "lines"
     )
 
 

@@ -208,7 +208,7 @@ def selective(t):
 def weekly_scores(t):
     """Weekly scores per category with the next-week label."""
     s = Series("entity", "week_start")
-    d = base.week_panel(t).select(
+    d = base.week_panel(t, measures=("gross",)).select(
         "entity", "week_start", s.ratio_to_mean("gross", 4).alias("ratio"), below(s.next_ratio("gross"), 0.80).alias("y")
     )
     score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - F.col("ratio") / 2.0)), 3)
@@ -490,7 +490,7 @@ TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
      WHEN (SELECT least(min(gross), min(lines)) FROM l WHERE week_start = latest) <= 0 THEN 'NONPOSITIVE_LATEST_SOURCE' END AS reason)""",
 )
 def source_gate(t):
-    return policy.source_gate(base.week_panel(t), "entity", "week_start", ["gross", "lines"], TYPES)
+    return policy.source_gate(base.week_panel(t, measures=("gross", "lines")), "entity", "week_start", ["gross", "lines"], TYPES)
 
 
 @query(

@@ -35,7 +35,7 @@ def stages(spark, tmp_path_factory):
 
 def test_registered():
     assert "pipeline" in entry.queries()
-    assert sum(n.startswith("op") and n[2].isdigit() for n in entry.queries()) == 10
+    assert sum(n.startswith("op") and n[2].isdigit() for n in entry.queries()) == 13
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_copies", "decontamination", "mix", "token_ids"]
 
 

@@ -156,6 +156,6 @@ def test_walk_forward_query_has_both_horizons(spark, monkeypatch):
 
     rows = [("a", date(2024, 1, 1) + timedelta(days=i), 100.0 + 10 * (i % 7)) for i in range(150)]
     df = spark.createDataFrame(rows, "entity string, date date, gross double")
-    monkeypatch.setattr(base, "day_panel", lambda t: df)
+    monkeypatch.setattr(base, "gross_days", lambda t: df)
     got = {x["horizon"]: x["origins"] for x in queries.walk_forward(None).collect()}
     assert set(got) == {7, 30} and got[7] > got[30] > 0

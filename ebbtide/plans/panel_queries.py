@@ -251,7 +251,8 @@ def sector_day_panel(t):
         .groupBy(F.col("category").alias("entity"), "week_start")
         .agg(panels.double(F.sum("list_amount")).alias("market_value"))
     )
-    return prior_week_lookup(base.gross_days(t), weekly, "date", ["market_value"], by=["entity"])
+    days = base.day_panel(t, measures=("sales", "gross", "returns", "invoices"))
+    return prior_week_lookup(days, weekly, "date", ["market_value"], by=["entity"])
 
 
 @query(

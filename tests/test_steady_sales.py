@@ -47,7 +47,7 @@ def duck(folder):
     return con
 
 
-@pytest.mark.parametrize("name", ["conformal_alphas"])
+@pytest.mark.parametrize("name", ["conformal_alphas", "sector_day_panel"])
 def test_matches_sql(spark, folder, duck, name):
     """Nothing is left out, the newest days of a stream neither."""
     df = entry.queries()[name](spark, folder)

@@ -65,13 +65,17 @@ _SCORES = "entity string, date date, score double, y int"
    FROM n a LEFT JOIN n b ON a.entity = b.entity AND b.i BETWEEN a.i - 126 AND a.i - 1 GROUP BY 1, 2, 3),
  p AS (SELECT *, CASE WHEN n >= 20 THEN s / n END AS percentile FROM j)
  SELECT entity, date, percentile, CASE WHEN percentile IS NULL THEN 'static' ELSE 'causal_percentile' END AS policy_mode,
-   CASE WHEN percentile IS NULL THEN score >= 0.55 ELSE percentile >= 0.7 END AS alert FROM p
-   WHERE date < (SELECT max(date) - 7 FROM scores)""",
+   CASE WHEN percentile IS NULL THEN score >= 0.55 ELSE percentile >= 0.7 END AS alert FROM p""",
 )
 def percentile_stream(t):
     from pyspark.sql import types as T
 
-    source = streams.read_folder(t.spark, score_files(t), T.StructType.fromDDL(_SCORES))
+    folder = score_files(t)
+    # the tables end here: a closing row lets the last days be scored too
+    last = t.spark.read.schema(_SCORES).parquet(folder).agg(F.max("date").alias("date"))
+    closing = last.select(F.date_add("date", streams.DELAY_DAYS + 1).alias("date"), F.lit(True).alias("closing"))
+    closing.write.mode("append").parquet(folder)
+    source = streams.read_folder(t.spark, folder, T.StructType.fromDDL(f"{_SCORES}, closing boolean"))
     return streams.run_to_table(streams.percentile_stream(source, 0.55), work_folder(t.spark, "percentile"))
 
 

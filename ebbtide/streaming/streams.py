@@ -152,6 +152,8 @@ def sliding_change_stream(events: DataFrame, folder: str, **kwargs) -> DataFrame
 STATE = "past array<double>, days array<int>, waiting array<double>, last int"
 SCORED = "entity string, date date, score double, percentile double, policy_mode string, alert boolean"
 _DAY_MS = 86_400_000
+#: Days that a score waits for rows of earlier dates.
+DELAY_DAYS = 7
 
 
 class _LookBack:
@@ -178,7 +180,7 @@ def percentile_stream(
     budget: float = 0.30,
     lookback: int = 126,
     warmup: int = 20,
-    delay_days: int = 7,
+    delay_days: int = DELAY_DAYS,
     grace_days: int = 3650,
     idle_days: int = 730,
 ) -> DataFrame:
@@ -191,6 +193,10 @@ def percentile_stream(
     drops rows only `grace_days` later still. An entity without rows for
     `idle_days` is forgotten and begins anew. Rows without a score or date are
     left out.
+
+    A source that ends may send a last row whose column `closing` is true,
+    dated more than `delay_days` after its newest one: it only moves time on,
+    so that no row stays in state unscored, and is not returned.
     """
     grace = grace_days * _DAY_MS
 
@@ -201,11 +207,15 @@ def percentile_stream(
         closed = (mark + grace) / _DAY_MS if mark > 0 else float("-inf")
         rows, out = list(zip(days, waiting, strict=True)), []
         for part in parts:
-            for day, score in zip(part["day"].tolist(), part["score"].tolist(), strict=True):
+            for day, score, end in zip(part["day"].tolist(), part["score"].tolist(), part["closing"].tolist(), strict=True):
+                if end:
+                    continue
                 if last is not None and day <= last:
                     out.append((day, score, None, "late", None))
                 else:
                     rows.append((day, score))
+        if not rows and not out and not state.exists:
+            return  # closing rows alone
         rows.sort(key=lambda r: r[0])
         ready = bisect_left(rows, closed, key=lambda r: r[0])
         known = _LookBack(list(past), lookback)
@@ -240,7 +250,8 @@ def percentile_stream(
         F.unix_date("date").alias("day"),
         F.col("score").cast("double").alias("score"),
         F.col("date").cast("timestamp").alias("at"),
-    ).where("day is not null and score is not null")
+        (F.coalesce("closing", F.lit(False)) if "closing" in scores.columns else F.lit(False)).alias("closing"),
+    ).where("day is not null and (score is not null or closing)")
     timed = rows.withWatermark("at", f"{delay_days + grace_days} days")
     return timed.groupBy("entity").applyInPandasWithState(advance, SCORED, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 

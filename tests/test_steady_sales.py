@@ -47,7 +47,7 @@ def duck(folder):
     return con
 
 
-@pytest.mark.parametrize("name", ["conformal_alphas", "sector_day_panel"])
+@pytest.mark.parametrize("name", ["conformal_alphas", "sector_day_panel", "percentile_stream"])
 def test_matches_sql(spark, folder, duck, name):
     """Nothing is left out, the newest days of a stream neither."""
     df = entry.queries()[name](spark, folder)
@@ -57,3 +57,8 @@ def test_matches_sql(spark, folder, duck, name):
     order = [d[0] for d in cur.description]
     assert sorted(order) == cols
     assert mine == Counter(repr(tuple(r[order.index(c)] for c in cols)) for r in cur.fetchall())
+
+
+def test_percentile_stream_scores_every_row(spark, folder):
+    queries = entry.queries()
+    assert queries["percentile_stream"](spark, folder).count() == queries["delayed_label_stream"](spark, folder).count()

@@ -185,7 +185,7 @@ def monthly_snapshot_scores(
     """One frozen model per calendar month, trained on labels at least
     `lag_days` old; its scores are exposed one week later. Rows of a month
     without enough labels take their entity's last score; rows before the
-    first model have none, and without any model this raises."""
+    first model have none, without any model no row has one."""
     d = settle(df.withColumn("_month", F.trunc(day, "month")))
     months = [r["_month"] for r in d.select("_month").distinct().orderBy("_month").collect()]
     out, skipped = None, []
@@ -201,10 +201,10 @@ def monthly_snapshot_scores(
             {"train_rows": F.lit(size["n"]), "label_cutoff": cutoff}
         )
         out = scored if out is None else out.unionByName(scored)
+    empty = {"snapshot_risk": F.lit(None).cast("double"), "train_rows": F.lit(None).cast("int"), "label_cutoff": F.lit(None).cast("date")}
     if out is None:
-        raise ValueError("no month has enough known labels")
-    if skipped:
-        empty = {"snapshot_risk": F.lit(None).cast("double"), "train_rows": F.lit(None).cast("int"), "label_cutoff": F.lit(None).cast("date")}
+        out = d.where(F.col("_month").isNotNull()).withColumns(empty)
+    elif skipped:
         out = out.unionByName(d.where(F.col("_month").isin(*skipped)).withColumns(empty))
         past = Window.partitionBy(*by).orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
         out = out.withColumns({c: F.last(c, ignorenulls=True).over(past) for c in empty})

@@ -5,8 +5,10 @@ from datetime import datetime, timedelta
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from ebbtide.operators import ml
 
 TABLES = {
     "region": ("r_regionkey int, r_name string", [(0, "ASIA")]),
@@ -62,3 +64,16 @@ def test_matches_sql(spark, folder, duck, name):
 def test_percentile_stream_scores_every_row(spark, folder):
     queries = entry.queries()
     assert queries["percentile_stream"](spark, folder).count() == queries["delayed_label_stream"](spark, folder).count()
+
+
+def rows(spark, label):
+    return spark.range(120).select(
+        F.concat(F.lit("e"), F.col("id") % 2).alias("entity"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("date"),
+        (F.col("id") % 7).cast("double").alias("a"), F.lit(label).alias("y"),
+    )
+
+
+def test_snapshots_without_any_model(spark):
+    got = ml.monthly_snapshot_scores(rows(spark, 0), "date", "y", ["a"], min_rows=5)
+    assert got.count() == 120 and got.where("snapshot_risk is not null or train_rows is not null").count() == 0
+    assert {"snapshot_risk", "train_rows", "label_cutoff", "exposed_from"} <= set(got.columns)

@@ -101,3 +101,11 @@ def severity_class(ratio: Column, bounds: Sequence[float] = (0.70, 0.85, 1.0)) -
 
 def clip(col: Column, low: float, high: float) -> Column:
     return F.when(col.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), col)))
+
+
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's r as an aggregate; NULL where one side is steady, which `corr`
+    answers with a division by zero."""
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.try_divide(F.covar_pop(x, y), spread)

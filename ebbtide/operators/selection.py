@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ebbtide.functions.scalars import correlation
 from ebbtide.operators.ordering import melt
 
 
@@ -29,7 +30,7 @@ def stable_top(df: DataFrame, day: str, label: str, features: Sequence[str], n:
     long = melt(d, ["_y", "_late"], features)
 
     def strength(x: Column, y: Column) -> Column:
-        return F.coalesce(F.abs(F.nanvl(F.corr(x, y), F.lit(None).cast("double"))), F.lit(0.0))
+        return F.coalesce(F.abs(F.nanvl(correlation(x, y), F.lit(None).cast("double"))), F.lit(0.0))
 
     late = F.col("_late")
     scored = long.groupBy("feature").agg(

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from ebbtide.operators import ml
+from ebbtide.operators import ml, selection
 
 TABLES = {
     "region": ("r_regionkey int, r_name string", [(0, "ASIA")]),
@@ -77,3 +77,8 @@ def test_snapshots_without_any_model(spark):
     got = ml.monthly_snapshot_scores(rows(spark, 0), "date", "y", ["a"], min_rows=5)
     assert got.count() == 120 and got.where("snapshot_risk is not null or train_rows is not null").count() == 0
     assert {"snapshot_risk", "train_rows", "label_cutoff", "exposed_from"} <= set(got.columns)
+
+
+def test_a_steady_label_goes_with_no_feature(spark):
+    got = selection.stable_top(rows(spark, 0).withColumn("b", F.lit(1.0)), "date", "y", ["a", "b"], 2).collect()
+    assert [(r["feature"], r["stability"], r["position"]) for r in got] == [("b", 0.0, 1), ("a", 0.0, 2)]

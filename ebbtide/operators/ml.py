@@ -98,7 +98,8 @@ def fit_classifier(train: DataFrame, features: Sequence[str], label: str, kind:
 
 
 def classify(model: PipelineModel, df: DataFrame, out: str) -> DataFrame:
-    scored = model.transform(df).withColumn(out, vector_to_array("probability")[1])
+    # a forest trained without a positive row knows one class only
+    scored = model.transform(df).withColumn(out, F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0)))
     return scored.select(*df.columns, out)
 
 

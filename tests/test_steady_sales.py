@@ -73,6 +73,14 @@ def rows(spark, label):
     )
 
 
+@pytest.mark.parametrize("kind", ["logistic", "forest", "boosted"])
+@pytest.mark.parametrize("label", [0, 1])
+def test_classifier_of_one_class(spark, kind, label):
+    d = rows(spark, label)
+    scored = ml.classify(ml.fit_classifier(d, ["a"], "y", kind), d, "p").agg(F.min("p"), F.max("p"), F.count("p")).first()
+    assert scored[2] == 120 and abs(scored[0] - label) < 0.1 and abs(scored[1] - label) < 0.1
+
+
 def test_snapshots_without_any_model(spark):
     got = ml.monthly_snapshot_scores(rows(spark, 0), "date", "y", ["a"], min_rows=5)
     assert got.count() == 120 and got.where("snapshot_risk is not null or train_rows is not null").count() == 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,16 +63,47 @@ def observed_customer(col: str = "customer_key") -> Column:
     return F.when(F.trim(c.cast("string")) != "", c)
 
 
-def rich_measures() -> list[Column]:
-    return [
-        F.sum("net_sales").alias("sales"),
-        F.sum(F.when(F.col("gross_sales") > 0, F.col("gross_sales")).otherwise(0)).alias("gross"),
-        F.countDistinct("transaction_number").alias("invoices"),
-        F.countDistinct(observed_customer()).alias("customers"),
-        F.countDistinct("product_id").alias("products"),
-        F.sum(F.abs("quantity")).alias("units"),
-        F.count(F.lit(1)).alias("transaction_rows"),
-        F.abs(F.sum(F.when(F.col("net_sales") < 0, F.col("net_sales")).otherwise(0))).alias("return_value"),
+#: A column and the counts of its distinct values: all of them (None) or those with a line that meets the condition.
+Distinct = tuple[Column, dict[str, Column | None]]
+
+
+def grouped(lines: DataFrame, keys: Sequence[str], sums: dict[str, Column], distinct: Sequence[Distinct]) -> DataFrame:
+    """Aggregates and exact distinct counts per group.
+
+    One aggregation with several distinct counts copies every line, with the
+    buffers of all sums, once per count. Here the lines are written once and
+    each counted column takes only its own (group, value) pairs.
+    """
+    names = [n for _, counts in distinct for n in counts]
+    plain = [c.alias(n) for n, c in sums.items()]
+    if len(names) < 2:
+        single = [F.countDistinct(v if c is None else F.when(c, v)).alias(n) for v, counts in distinct for n, c in counts.items()]
+        return lines.groupBy(*keys).agg(*plain, *single)
+    lines = settle(lines)
+    whole = lines.groupBy(*keys).agg(*plain) if plain else lines.select(*keys).distinct()
+    for value, counts in distinct:
+        met = [F.max(F.lit(True) if c is None else F.coalesce(c, F.lit(False))).alias(n) for n, c in counts.items()]
+        pairs = lines.withColumn("_value", value).where("_value is not null").groupBy(*keys, "_value").agg(*met)
+        part = pairs.groupBy(*keys).agg(*[F.count_if(F.col(n)).alias(n) for n in counts])
+        whole = whole.unionByName(part, allowMissingColumns=True)
+    # one row per part and group: NULL keys meet here as well
+    return whole.groupBy(*keys).agg(
+        *[F.max(n).alias(n) for n in sums], *[F.coalesce(F.max(n), F.lit(0)).alias(n) for n in names]
+    )
+
+
+def rich_measures() -> tuple[dict[str, Column], list[Distinct]]:
+    """Aggregates, and the columns whose values are counted."""
+    return {
+        "sales": F.sum("net_sales"),
+        "gross": F.sum(F.when(F.col("gross_sales") > 0, F.col("gross_sales")).otherwise(0)),
+        "units": F.sum(F.abs("quantity")),
+        "transaction_rows": F.count(F.lit(1)),
+        "return_value": F.abs(F.sum(F.when(F.col("net_sales") < 0, F.col("net_sales")).otherwise(0))),
+    }, [
+        (F.col("transaction_number"), {"invoices": None}),
+        (observed_customer(), {"customers": None}),
+        (F.col("product_id"), {"products": None}),
     ]
 
 
@@ -80,10 +112,10 @@ RICH = ("sales", "gross", "invoices", "customers", "products", "units", "transac
 
 def daily_rich(sales: DataFrame, day: str = "sale_date", by: Sequence[str] = ()) -> DataFrame:
     """Ten daily measures of transaction-level sales on a gap-free calendar."""
-    grouped = transaction_level(sales).groupBy(*by, day).agg(*rich_measures())
-    grouped = settle(grouped.select(*by, day, *[double(m).alias(m) for m in RICH]))
-    dates = calendar(grouped, day, by)
-    daily = dates.join(grouped, [*by, day], "left").na.fill(0.0, list(RICH))
+    per_day = grouped(transaction_level(sales), [*by, day], *rich_measures())
+    per_day = settle(per_day.select(*by, day, *[double(m).alias(m) for m in RICH]))
+    dates = calendar(per_day, day, by)
+    daily = dates.join(per_day, [*by, day], "left").na.fill(0.0, list(RICH))
     return daily.withColumns(
         {
             "avg_invoice": F.col("sales") / F.greatest(F.col("invoices"), F.lit(1.0)),
@@ -94,9 +126,9 @@ def daily_rich(sales: DataFrame, day: str = "sale_date", by: Sequence[str] = ())
 
 def daily_series(sales: DataFrame, day: str = "sale_date", value: str = "net_sales", by: Sequence[str] = ()) -> DataFrame:
     """Net sales per day; a day without rows is a zero-sales day."""
-    grouped = settle(sales.groupBy(*by, day).agg(F.sum(value).alias(value)))
-    dates = calendar(grouped, day, by)
-    return dates.join(grouped, [*by, day], "left").withColumn(
+    per_day = settle(sales.groupBy(*by, day).agg(F.sum(value).alias(value)))
+    dates = calendar(per_day, day, by)
+    return dates.join(per_day, [*by, day], "left").withColumn(
         value, F.coalesce(double(value), F.lit(0.0))
     )
 
@@ -148,9 +180,9 @@ def retail_audit(raw: DataFrame, amount: str = "net_sales") -> DataFrame:
 PANEL = ("sales", "gross", "returns", "units", "lines", "invoices", "electronic_invoices", "customers", "products")
 
 
-def panel_measures() -> dict[str, Column]:
-    """Aggregates behind the PANEL names. `electronic` is a property of the
-    invoice: an invoice counts once."""
+def panel_measures() -> tuple[dict[str, Column], list[Distinct]]:
+    """Aggregates behind the PANEL names, and the columns whose values are
+    counted. `electronic` is a property of the invoice: an invoice counts once."""
     zero = F.lit(0).cast("decimal(18,4)")
     return {
         "sales": F.sum("net_sales"),
@@ -158,18 +190,20 @@ def panel_measures() -> dict[str, Column]:
         "returns": F.sum(F.greatest(-F.col("net_sales"), zero)),
         "units": F.sum(F.abs("quantity")),
         "lines": F.count(F.lit(1)),
-        "invoices": F.countDistinct("transaction_number"),
-        "electronic_invoices": F.countDistinct(F.when(F.col("electronic"), F.col("transaction_number"))),
-        "customers": F.countDistinct(observed_customer()),
-        "products": F.countDistinct("product_id"),
-    }
+    }, [
+        (F.col("transaction_number"), {"invoices": None, "electronic_invoices": F.col("electronic")}),
+        (observed_customer(), {"customers": None}),
+        (F.col("product_id"), {"products": None}),
+    ]
 
 
 def group_panel(tx: DataFrame, keys: Sequence[str], measures: Sequence[str] = PANEL) -> DataFrame:
     """Additive measures and exact distinct counts per group. Ask only for
-    what is read: each distinct count adds a copy of every line to the shuffle."""
-    built = panel_measures()
-    return tx.groupBy(*keys).agg(*[built[m].cast("double").alias(m) for m in measures])
+    what is read: each counted column is one more pass over the lines."""
+    sums, distinct = panel_measures()
+    sums = {n: c for n, c in sums.items() if n in measures}
+    asked = [(value, {n: c for n, c in counts.items() if n in measures}) for value, counts in distinct]
+    return grouped(tx, keys, sums, [(value, counts) for value, counts in asked if counts]).select(*keys, *[double(m).alias(m) for m in measures])
 
 
 #: name -> (numerator, denominator)
@@ -213,8 +247,8 @@ def category_week_panel(
     week = week_start_sunday(F.col(day))
     whole = (F.date_add(week, 6) <= F.lit(last).cast("date")) & (week >= F.lit(first).cast("date"))
     weekly = tx.where(whole).withColumn("week_start", week)
-    grouped = group_panel(weekly, [*entity, "week_start"], measures)
-    return panel_ratios(complete_grid(grouped, entity, "week_start", measures, 7))
+    panel = group_panel(weekly, [*entity, "week_start"], measures)
+    return panel_ratios(complete_grid(panel, entity, "week_start", measures, 7))
 
 
 def entity_day_exact(tx: DataFrame, entity: Sequence[str], day: str = "sale_date") -> DataFrame:

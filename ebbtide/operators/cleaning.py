@@ -301,7 +301,8 @@ def choose_history(sales: DataFrame, min_days: int = 28, by: Sequence[str] = ())
 
     choice = spans.groupBy(*by).agg(span("transaction_level"), span("daily_import"))
     rich, daily = F.col("transaction_level"), F.col("daily_import")
-    choice = choice.select(
+    # one row per group, written once: its size is known where the lines meet it
+    choice = settle(choice.select(
         *by,
         F.when(rich >= min_days, "transaction_level")
         .when(daily >= min_days, "daily_import")
@@ -309,7 +310,7 @@ def choose_history(sales: DataFrame, min_days: int = 28, by: Sequence[str] = ())
         .when(daily > 0, "daily_import_insufficient")
         .otherwise("seed_aggregate")
         .alias("data_mode"),
-    )
+    ))
     joined = tagged.join(choice, by) if by else tagged.join(F.broadcast(choice))
     return joined.where(F.col("_source") == F.regexp_replace("data_mode", "_insufficient$", "")).drop("_source")
 

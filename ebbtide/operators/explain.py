@@ -40,7 +40,10 @@ def with_period(sales: DataFrame, window: int = 7, by: Sequence[str] = (), dates
     rows = transaction_level(sales)
     by = list(by)
     if by:
-        joined = rows.join(rows.groupBy(*by).agg(F.max("sale_date").alias("_last")), by)
+        # written once, so its size is known and the lines are not dealt by group
+        newest = settle(rows.groupBy(*by).agg(F.max("sale_date").alias("_last")))
+        first = newest.agg(F.min("_last")).first()[0]
+        joined = rows.where(F.col("sale_date") > F.date_sub(F.lit(first).cast("date"), 2 * window)).join(newest, by)
     else:
         newest = (rows if dates is None else transaction_level(dates)).agg(F.max("sale_date")).first()[0]
         joined = rows.withColumn("_last", F.lit(newest).cast("date"))

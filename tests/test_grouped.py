@@ -1,8 +1,8 @@
-"""Distinct counts in passes of their own."""
+"""Distinct counts in passes of their own, and period windows per group."""
 
 from pyspark.sql import functions as F
 
-from ebbtide.operators import panels
+from ebbtide.operators import explain, panels
 
 
 def lines(spark):
@@ -35,3 +35,12 @@ def test_lines_are_not_copied_per_distinct_count(spark):
     d = lines(spark)
     built = panels.grouped(d, ["k", "d"], {"s": F.sum("customer")}, [(F.col(c), {f"n_{c}": None}) for c in ("invoice", "product")])
     assert "Expand" not in plan(built)
+
+
+def test_lines_are_not_dealt_by_group_for_periods(spark):
+    rows = [("a", "2024-01-31", "INV"), ("a", "2024-01-20", "INV"), ("a", "2024-01-10", "INV"), ("b", "2024-03-31", "INV"), ("b", "2024-03-30", "DAILY_IMPORT"), ("b", "2024-03-18", "INV"), (None, "2024-03-31", "INV")]
+    sales = spark.createDataFrame(rows, "k string, day string, transaction_type string").withColumn("sale_date", F.col("day").cast("date"))
+    tagged = explain.with_period(sales, 7, ["k"])
+    assert sorted((r["k"], r["day"], r["period"]) for r in tagged.collect()) == [("a", "2024-01-20", "previous"), ("a", "2024-01-31", "current"), ("b", "2024-03-18", "previous"), ("b", "2024-03-31", "current")]
+    text = plan(tagged)
+    assert "BroadcastHashJoin" in text and "hashpartitioning" not in text.split("== Physical Plan ==")[1]

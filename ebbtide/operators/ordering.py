@@ -31,6 +31,22 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that one task should hold when it sorts or groups them.
+TASK_ROWS = 500_000
+
+
+def dealt(df: DataFrame, rows: int, *by: str | Column) -> DataFrame:
+    """`df` dealt by `by` into so many partitions that each holds about
+    TASK_ROWS of its `rows`, whatever the session shuffles into.
+
+    Grouping by `by` then happens after the shuffle alone. That is meant for
+    keys with few rows each, where partial sums save nothing and hold a row
+    of memory per line.
+    """
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+    return df.repartition(parts, *by)
+
+
 def bucket_count(df: DataFrame) -> int:
     """As many ranges as the session shuffles into, within fixed limits."""
     return min(MOST_BUCKETS, max(BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
@@ -53,7 +69,7 @@ GROUP_VALUES = 10_000
 MOST_LARGE_GROUPS = 10_000
 
 
-def own_ranges(reduced: DataFrame, value: str, by: Sequence[str], buckets: int) -> DataFrame:
+def own_ranges(reduced: DataFrame, value: str, by: Sequence[str], buckets: int, rows: int | None = None) -> DataFrame:
     """`reduced` (one row per group and value) with its `_range`, cut by each
     large group's own quantiles; groups of up to GROUP_VALUES values are one range.
 
@@ -62,7 +78,9 @@ def own_ranges(reduced: DataFrame, value: str, by: Sequence[str], buckets: int)
     """
     probs = [i / buckets for i in range(1, buckets)]
     cuts = F.percentile_approx(F.col(value).cast("double"), probs, 1000).alias("_cuts")
-    large = settle(reduced.groupBy(*by).agg(F.count(value).alias("_values"), cuts).where(F.col("_values") > GROUP_VALUES))
+    # with few groups in a task their quantiles are gathered without a sort
+    spread = reduced if rows is None else dealt(reduced, rows, *by, F.pmod(F.hash(value), F.lit(16)))
+    large = settle(spread.groupBy(*by).agg(F.count(value).alias("_values"), cuts).where(F.col("_values") > GROUP_VALUES))
     n = large.count()
     if not n:
         return reduced.withColumn("_range", F.lit(0))
@@ -93,17 +111,26 @@ def running_totals(
     by: Sequence[str] = (),
     descending: bool = False,
     cuts: Sequence[float] | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """One row per (by, value) with its measures, `cum_*` up to and including
     it in value order, and `total_*` of the group. `cuts` may be given when
-    the distribution is known."""
+    the distribution is known; `rows`, the length of `df`, where most values
+    are distinct: it is then dealt by value."""
     by = list(by)
-    reduced = settle(df.groupBy(*by, value).agg(*[F.sum(m).alias(n) for n, m in measures.items()]))
+    keys = [*by, value]
+    if rows is not None:
+        df = dealt(df.withColumn("_cell", F.pmod(F.hash(value), F.lit(1024))), rows, *by, "_cell")
+        keys = [*by, "_cell", value]
+    reduced = df.groupBy(*keys).agg(*[F.sum(m).alias(n) for n, m in measures.items()])
+    reduced = settle(reduced.drop("_cell"))
     if by and cuts is None:
-        reduced = own_ranges(reduced, value, by, BUCKETS)
+        reduced = own_ranges(reduced, value, by, BUCKETS, rows)
     else:
         cuts = cut_points(reduced, value, bucket_count(df)) if cuts is None else cuts
         reduced = reduced.withColumn("_range", range_bucket(F.col(value), cuts))
+    if rows is not None:
+        reduced = dealt(reduced, rows, *by, "_range")
     order = F.col(value).desc() if descending else F.col(value).asc()
     inside = Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     part = reduced.groupBy(*by, "_range").agg(*[F.sum(n).alias(f"_p_{n}") for n in measures])
@@ -133,14 +160,17 @@ def quantile_name(q: float) -> str:
     return "q" + f"{q * 100:g}".replace(".", "_")
 
 
-def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str] = (), rows: int | None = None
+) -> DataFrame:
     """Linear-interpolation quantiles per group, NULLs ignored.
 
     Works by rank on the distinct values, so no group's values are ever held
-    together. Columns: by, n, q.. (see `quantile_name`).
+    together. Columns: by, n, q.. (see `quantile_name`). `rows` as in
+    `running_totals`.
     """
     by = list(by)
-    ranked = running_totals(df.where(F.col(value).isNotNull()), value, {"n": F.lit(1)}, by)
+    ranked = running_totals(df.where(F.col(value).isNotNull()), value, {"n": F.lit(1)}, by, rows=rows)
     picks = []
     for i, q in enumerate(qs):
         pos = F.lit(float(q)) * (F.col("total_n") - 1)

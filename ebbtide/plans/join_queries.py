@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ebbtide.operators import joins, panels
+from ebbtide.operators.ordering import dealt, settle
 from ebbtide.operators.windows import Series
 from ebbtide.plans import base
 from ebbtide.plans.base import COMPANY, SALES, panel_sql, scores_sql, week_panel_sql
@@ -168,7 +169,10 @@ def unstable_keys(t):
 )
 def keep_keys(t):
     s = t.sales("product_id", "sale_date", "net_sales", "gross_sales")
-    daily = s.groupBy("product_id", "sale_date").agg(F.sum("net_sales").alias("net"), F.sum("gross_sales").alias("gross"))
+    # few lines share a product and day: they are dealt by both before they are summed, and written once
+    lines = dealt(s, t.read("lineitem").count(), "product_id", "sale_date")
+    daily = settle(lines.groupBy("product_id", "sale_date").agg(F.sum("net_sales").alias("net"), F.sum("gross_sales").alias("gross")))
+    daily = dealt(daily, daily.count(), "product_id")
     robust = joins.robust_entities(daily, "product_id", "sale_date", "gross", 35, 900000)
     return joins.keep_keys(daily, robust.select("product_id"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.functions.scalars import clip, ratio_to_risk, safe_ratio
 from ebbtide.operators.joins import set_overlap
-from ebbtide.operators.ordering import exact_quantiles, melt
+from ebbtide.operators.ordering import dealt, exact_quantiles, melt, settle
 from ebbtide.operators.panels import double, observed_customer
 from ebbtide.operators.windows import Series
 
@@ -149,7 +149,13 @@ def pivot_features(panel: DataFrame, day: str, entity: str, entities: Sequence[s
 
 def value_weighted_share(tx: DataFrame, day: str, invoice: str, value: str, flags: dict[str, str], ordinal: str) -> DataFrame:
     """Value-weighted shares of row flags, mean and median invoice total and
-    the mean of an ordinal score per day."""
+    the mean of an ordinal score per day.
+
+    The lines are written once; an invoice has few of them, so they are dealt
+    by day and invoice before they are summed.
+    """
+    tx = settle(tx)
+    rows = tx.count()
     v = F.greatest(double(value), F.lit(0.0))
     shares = tx.groupBy(day).agg(
         *[
@@ -158,9 +164,10 @@ def value_weighted_share(tx: DataFrame, day: str, invoice: str, value: str, flag
         ],
         F.avg(ordinal).alias("ordinal_mean"),
     )
-    invoices = tx.groupBy(day, invoice).agg(double(F.sum(value)).alias("_total"))
+    lines = dealt(tx.select(day, invoice, value), rows, day, invoice)
+    invoices = settle(lines.groupBy(day, invoice).agg(double(F.sum(value)).alias("_total")))
     totals = invoices.groupBy(day).agg(F.avg("_total").alias("avg_invoice"))
-    medians = exact_quantiles(invoices, "_total", [0.5], [day]).select(day, F.col("q50").alias("median_invoice"))
+    medians = exact_quantiles(invoices, "_total", [0.5], [day], rows).select(day, F.col("q50").alias("median_invoice"))
     return shares.join(totals, day).join(medians, day)
 
 

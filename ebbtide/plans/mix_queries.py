@@ -124,7 +124,7 @@ def pivot_features(t):
  SELECT sale_date, coalesce(o, 0) AS online_share, coalesce(l, 0) AS loyal_share, ordinal_mean, avg_invoice, median_invoice FROM s JOIN j USING (sale_date)""",
 )
 def value_weighted_share(t):
-    tx = t.sales("sale_date", "transaction_number", "channel", "order_status", "quantity", "net_sales")
+    tx = t.sales("sale_date", "transaction_number", "channel", "order_status", "quantity", "net_sales", spread=True)
     flags = {"online_share": "channel = 'MACHINERY'", "loyal_share": "order_status = 'F'"}
     return mix.value_weighted_share(tx, "sale_date", "transaction_number", "net_sales", flags, "quantity")
 

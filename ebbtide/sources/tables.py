@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ebbtide.operators.ordering import dealt
+
 FACT = {
     "sale_date": lambda: F.col("l_shipdate").cast("date"),
     "transaction_number": lambda: F.col("l_orderkey"),
@@ -51,8 +53,9 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def sales(self, *columns: str) -> DataFrame:
-        """Sales lines with the requested columns."""
+    def sales(self, *columns: str, spread: bool = False) -> DataFrame:
+        """Sales lines with the requested columns; with `spread`, lines meet
+        their orders in tasks whose size does not grow with the table."""
         lines = self.read("lineitem")
         wanted = set(columns)
         if wanted & (set(ORDER) | set(CUSTOMER)):
@@ -60,6 +63,9 @@ class Tables:
             if wanted & set(CUSTOMER):
                 customers = self.read("customer").select("c_custkey", "c_mktsegment")
                 orders = orders.join(customers, orders.o_custkey == customers.c_custkey)
+            if spread:
+                rows = lines.count()
+                lines, orders = dealt(lines, rows, "l_orderkey"), dealt(orders, rows, "o_orderkey")
             lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         if wanted & set(PRODUCT):
             lines = lines.join(self.read("part"), F.col("l_partkey") == F.col("p_partkey"))

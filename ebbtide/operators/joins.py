@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbtide.functions.calendar import week_start_sunday
 from ebbtide.functions.scalars import safe_ratio
-from ebbtide.operators.ordering import settle
+from ebbtide.operators.ordering import dealt, settle
 from ebbtide.operators.windows import Series
 
 
@@ -231,25 +231,39 @@ def set_overlap(
     """Items kept, new and dropped per group and period against the union of
     the `back` periods before.
 
-    Each membership is copied to its own period and, as history, to the ones
-    after it - a fixed factor in one scan - and one grouping by item decides;
-    no group is joined with itself. Periods present in the data get a row each.
+    Of each item only the neighbouring memberships are compared: one counts as
+    kept when the one before it is near enough, and stands in the history of
+    the periods after it up to the next one. These counts, not the members,
+    are added up per period; no group is joined with itself. Periods present
+    in the data get a row each.
     """
-    copies = F.transform(
-        F.sequence(F.lit(0), F.lit(back)),
-        lambda i: F.struct(F.date_add(F.col(period), i * step_days).alias("at"), (i == 0).cast("int").alias("now")),
-    )
-    spread = members.select(*group, item, F.explode(copies).alias("_c"))
-    per_item = spread.groupBy(*group, F.col("_c.at").alias(period), item).agg(
-        F.max("_c.now").alias("_now"), F.max(1 - F.col("_c.now")).alias("_before")
+    members = members.select(*group, F.col(period).cast("date").alias(period), item)
+    members = settle(members.where(F.col(period).isNotNull()))
+    rows = members.count()
+    seen = dealt(members, rows, *group, period, item).distinct()
+    # periods that are no whole number of steps apart never meet
+    seen = seen.withColumn("_phase", F.pmod(F.datediff(period, F.lit("1970-01-01").cast("date")), F.lit(step_days)))
+    w = Window.partitionBy(*group, item, "_phase").orderBy(period)
+    seen = dealt(seen, rows, *group, item).withColumns({"_last": F.lag(period).over(w), "_next": F.lead(period).over(w)})
+    kept = F.coalesce(F.datediff(period, "_last") <= back * step_days, F.lit(False))
+    at = F.transform(F.sequence(F.lit(0), F.lit(back)), lambda i: F.date_add(F.col(period), i * step_days))
+    spread = seen.select(*group, item, period, "_next", kept.alias("_kept"), F.explode(at).alias("_at"))
+    spread = spread.where((F.col("_at") <= F.col("_next")) | F.col("_next").isNull())
+    now = F.col("_at") == F.col(period)
+    counts = spread.groupBy(*group, F.col("_at").alias("_period")).agg(
+        F.sum(now.cast("int")).alias("current_items"),
+        F.sum((~now).cast("int")).alias("previous_items"),
+        F.sum((now & F.col("_kept")).cast("int")).alias("kept"),
     )
     counts = settle(
-        per_item.groupBy(*group, period).agg(
-            F.sum("_now").alias("current_items"),
-            F.sum("_before").alias("previous_items"),
-            F.sum(F.col("_now") * F.col("_before")).alias("kept"),
-            F.sum(F.col("_now") * (1 - F.col("_before"))).alias("new"),
-            F.sum((1 - F.col("_now")) * F.col("_before")).alias("dropped"),
+        counts.select(
+            *group,
+            F.col("_period").alias(period),
+            "current_items",
+            "previous_items",
+            "kept",
+            (F.col("current_items") - F.col("kept")).alias("new"),
+            (F.col("previous_items") - F.col("kept")).alias("dropped"),
         )
     )
     present = counts.where("current_items > 0").select(period).distinct()

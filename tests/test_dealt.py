@@ -6,7 +6,7 @@ from datetime import date, timedelta
 from decimal import Decimal
 from statistics import median
 
-from ebbtide.operators import mix, ordering
+from ebbtide.operators import joins, mix, ordering
 from ebbtide.plans.join_queries import keep_keys
 from ebbtide.sources.tables import Tables
 
@@ -74,3 +74,27 @@ def test_ranges_of_dealt_groups(spark, monkeypatch):
     got = {r["g"]: r for r in ordering.exact_quantiles(df, "v", [0.5], ["g"], rows=606).collect()}
     want = {r["g"]: r for r in ordering.exact_quantiles(df, "v", [0.5], ["g"]).collect()}
     assert got == want and got["b"]["q50"] == 0.0 and got["a"]["q50"] == median(v for g, v in rows if g == "a")
+
+
+def test_overlap_compares_neighbours_only(spark, monkeypatch):
+    seen = written(monkeypatch, joins)
+    days = [0, 0, 7, 14, 15, 22, 35, 42, 70, 77, 105]
+    rows = [(g, START + timedelta(d), i) for g in ("a", None) for d in days for i in (*range(8), None) if (d * 3 + (i or 11) * 5) % 4] + [("a", None, 1)]
+    d = spark.createDataFrame(rows, "g string, week date, item int")
+    got = {(r["g"], r["week"]): tuple(r)[2:] for r in joins.set_overlap(d, ["g"], "week", "item").collect()}
+    member, before = defaultdict(set), defaultdict(set)
+    for g, w, i in rows:
+        if w:
+            member[g, w].add(i)
+            for k in range(1, 5):
+                before[g, w + timedelta(7 * k)].add(i)
+    present = {w for _, w in member}
+    want = {}
+    for key in {*member, *before}:
+        if key[1] in present:
+            m, b = member[key], before[key]
+            want[key] = (len(m), len(b), len(m & b), len(m - b), len(b - m))
+    assert got == want
+    # the copies of a membership are counted where they arise, not dealt by item
+    tree = plan(seen[-1]).split("== Physical Plan ==")[1]
+    assert tree.index("Generate") < tree.index("Window")

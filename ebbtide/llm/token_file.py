@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.llm.common import kept, lean
-from ebbtide.llm.shingles import text_slices
+from ebbtide.llm.shingles import mix, text_slices
 from ebbtide.operators.ordering import settle
 from ebbtide.session import work_folder
 
@@ -35,11 +35,75 @@ MAX_BITS = 20
 BLOCK_IDS = 1 << 17
 STEP = 64
 END_ID = 0
-#: Pieces that either generation of a worker's memory holds, and bytes of text that are encoded together.
+#: Pieces that either generation of a worker's memory holds: as rows of arrays if
+#: they have up to SHORT bytes, else as Python objects. Bytes of text encoded together.
 CACHE_PIECES = 500_000
+CACHE_OBJECTS = 40_000
+SHORT = 15
 SLICE_BYTES = 4 << 20
 
 
+def short_keys(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Which words have 1 to SHORT bytes, and the key of each of those: its bytes and their number."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8) if words.buffers()[2] else np.zeros(0, np.uint8)
+    size = np.diff(offsets)
+    short = np.flatnonzero((size > 0) & (size <= SHORT))
+    first, size = offsets[short], size[short]
+    raw = np.zeros((len(short), SHORT + 1), np.uint8)
+    for j in range(SHORT):
+        rows = np.flatnonzero(size > j)
+        raw[rows, j] = data[first[rows] + j]
+    raw[:, SHORT] = size
+    return short, raw.view(np.uint64)
+
+
+class ShortPieces:
+    """Ids of pieces by key, in arrays: some 40 bytes a piece, a quarter of what a dict takes.
+
+    Keys are sorted by a hash and compared whole; one whose hash is taken is not held.
+    """
+
+    def __init__(self, type_: np.dtype):
+        self.hash, self.keys = np.zeros(0, np.uint64), np.zeros((0, 2), np.uint64)
+        self.start, self.size, self.ids = np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, type_)
+
+    def __len__(self) -> int:
+        return len(self.hash)
+
+    def find(self, hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Rows of the keys, -1 without one."""
+        if not len(self):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.hash, hashes), len(self) - 1)
+        return np.where((self.keys[at] == keys).all(axis=1), at, -1)
+
+    def add(self, hashes: np.ndarray, keys: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        """Hold new keys; `ids` has the ids of all of them in turn."""
+        start = len(self.ids) + np.cumsum(size, dtype=np.int64) - size
+        hashes, order = np.unique(hashes, return_index=True)
+        at = np.searchsorted(self.hash, hashes)
+        free = np.append(self.hash, ~hashes[-1:])[at] != hashes
+        at, hashes, order = at[free], hashes[free], order[free]
+        # one column after the other, so that little is held twice
+        self.hash = np.insert(self.hash, at, hashes)
+        self.keys = np.insert(self.keys, at, keys[order], axis=0)
+        self.start = np.insert(self.start, at, start[order].astype(np.uint32))
+        self.size = np.insert(self.size, at, size[order].astype(np.uint32))
+        self.ids = np.append(self.ids, ids)
+
+
+def runs(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of `values` that begin at `start`, one after the other."""
+    size = size.astype(np.int64)
+    before = np.cumsum(size) - size
+    total = int(size.sum())
+    type_ = np.int32 if max(total, len(values)) < 1 << 31 else np.int64
+    at = np.repeat((start.astype(np.int64) - before).astype(type_), size)
+    at += np.arange(total, dtype=type_)
+    return values[at]
+
+
 class PieceCache:
     """Ids of pieces of text that start at a space, as bytes.
 
@@ -50,8 +114,9 @@ class PieceCache:
     model; other pieces go through the whole tokenizer, as do whole texts that
     hold the string of an added token.
 
-    Pieces are remembered in two generations of bounded size: a piece that was
-    not met while the younger one filled up is forgotten.
+    Pieces are remembered in two generations of bounded size, most of them in
+    arrays, since a worker's memory counts beside the executor's heap: a piece
+    that was not met while the younger one filled up is forgotten.
     """
 
     def __init__(self, tokenizer):
@@ -61,6 +126,8 @@ class PieceCache:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.type = np.dtype(np.uint16 if self.kind == "H" else np.uint32)
+        self.short, self.short_old = ShortPieces(self.type), ShortPieces(self.type)
         # the printable stand-ins of the byte alphabet
         shown = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or 174 <= c]
         hidden = [c for c in range(256) if c not in shown]
@@ -111,7 +178,7 @@ class PieceCache:
 
     def pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of distinct pieces; those behind a space are given with it."""
-        if len(self.young) > CACHE_PIECES:
+        if len(self.young) > CACHE_OBJECTS:
             self.young, self.old = {}, self.young
         get = self.young.get
         found = [get(p) or self._known(p) or self._letters(p) for p in pieces]
@@ -120,13 +187,55 @@ class PieceCache:
             found[i] = self.young[pieces[i]] = ids
         return found
 
+    def _fresh(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces behind spaces that are remembered elsewhere."""
+        found = []
+        for p in pieces:
+            core = p.rstrip(_MARKS)
+            if not core[1:].isalpha():
+                found.append(self._letters(p))
+            elif len(core) < len(p):
+                found.append(self._part(core) + self._part(p[len(core) :]))
+            else:
+                found.append(self._part(p))
+        hard = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(hard, self._whole([pieces[i] for i in hard]), strict=True):
+            found[i] = ids
+        return found
+
+    def behind_spaces(self, words: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Ids that hold those of each distinct word and the space before it, in parts; start and size per word."""
+        if len(self.short) > CACHE_PIECES:
+            self.short, self.short_old = ShortPieces(self.type), self.short
+        at, keys = short_keys(words)
+        hashes = mix(mix(keys[:, 0]) ^ keys[:, 1])
+        new = np.flatnonzero(self.short.find(hashes, keys) < 0)
+        known = self.short_old.find(hashes[new], keys[new])
+        old, again = known[known >= 0], new[known >= 0]
+        if len(again):
+            sizes = self.short_old.size[old]
+            self.short.add(hashes[again], keys[again], sizes, runs(self.short_old.ids, self.short_old.start[old], sizes))
+        new = new[known < 0]
+        if len(new):
+            coded = self._fresh([" " + w for w in words.take(pa.array(at[new])).to_pylist()])
+            sizes = np.array([len(ids) for ids in coded], np.int64) // self.type.itemsize
+            self.short.add(hashes[new], keys[new], sizes, np.frombuffer(b"".join(coded), self.type))
+        row = self.short.find(hashes, keys)
+        start, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        held = at[row >= 0]
+        start[held], size[held] = self.short.start[row[row >= 0]], self.short.size[row[row >= 0]]
+        rest = np.setdiff1d(np.arange(len(words)), held)
+        coded = self.pieces([" " + w for w in words.take(pa.array(rest)).to_pylist()])
+        size[rest] = np.array([len(ids) for ids in coded], np.int64) // self.type.itemsize
+        start[rest] = len(self.short.ids) + np.cumsum(size[rest]) - size[rest]
+        return [self.short.ids, np.frombuffer(b"".join(coded), self.type)], start, size
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by END_ID, and how many each has.
 
         Texts are split at their spaces as Arrow columns, and every distinct
         piece is looked up once.
         """
-        type_ = np.dtype(np.uint16 if self.kind == "H" else np.uint32)
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         odd = pc.match_substring_regex(texts, r" \s").to_numpy(zero_copy_only=False)
         whole = np.zeros(len(texts), bool)
@@ -137,10 +246,11 @@ class PieceCache:
         lists = pc.split_pattern(spaced, " ")
         ends = lists.offsets.to_numpy()[1:] - lists.offsets.to_numpy()[0]
         coded = lists.flatten().dictionary_encode()
-        code, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        code, words = coded.indices.to_numpy(zero_copy_only=False).copy(), coded.dictionary
+        flat, start, size = self.behind_spaces(words)
         heads = np.append(0, ends[:-1])
         first, place = np.unique(code[heads], return_inverse=True)
-        table = self.pieces([" " + w for w in words]) + self.pieces([words[i] for i in first.tolist()])
+        table = self.pieces(words.take(pa.array(first)).to_pylist())
         code[heads] = len(words) + place
         for i in np.flatnonzero(odd | whole).tolist():
             text = texts[i].as_py()
@@ -149,16 +259,16 @@ class PieceCache:
             else:
                 cut = _SPACE.split(text)
                 ids = b"".join(self.pieces([cut[0], *(" " + w for w in cut[1:])]))
-            code[heads[i]] = len(table)
+            code[heads[i]] = len(words) + len(table)
             table.append(ids)
-        code = np.insert(code, ends, len(table))
+        code = np.insert(code, ends, len(words) + len(table))
         table.append(array(self.kind, [END_ID]).tobytes())
-        flat = np.frombuffer(b"".join(table), type_)
-        size = np.array([len(t) for t in table], np.int64) // type_.itemsize
-        start = np.cumsum(size) - size
+        more = np.array([len(t) for t in table], np.int64) // self.type.itemsize
+        start, size = np.append(start, sum(map(len, flat)) + np.cumsum(more) - more), np.append(size, more)
+        flat = np.concatenate([*flat, np.frombuffer(b"".join(table), self.type)])
         many = size[code]
         before = np.cumsum(many) - many
-        ids = flat[np.repeat(start[code] - before, many) + np.arange(int(many.sum()))]
+        ids = runs(flat, start[code], many)
         edges = np.append(0, ends + np.arange(1, len(ends) + 1))
         totals = np.append(before, len(ids))[edges]
         return ids, np.diff(totals)
@@ -199,6 +309,7 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
             for at, _, offsets in text_slices(batch.column(2), SLICE_BYTES):
                 part = batch.slice(at, len(offsets) - 1)
                 ids, n = cache.encode(part.column(2))
+                pa.default_memory_pool().release_unused()
                 more = np.bincount(ids, minlength=len(counts))
                 more[: len(counts)] += counts
                 counts = more
@@ -358,7 +469,7 @@ def encode_blocks(tokens: DataFrame, code, offsets, type_: type) -> DataFrame:
                         yield from flush()
         yield from flush()
 
-    return tokens.mapInArrow(lean(rows, "token_file"), BLOCKS)
+    return tokens.mapInArrow(lean(rows), BLOCKS)
 
 
 def write_token_files(docs: DataFrame, folder: str, path: str, text: str = "text", doc_id: str = "doc_id") -> None:
@@ -417,7 +528,7 @@ def read_pieces(spark, folder: str) -> DataFrame:
                 )
 
     return spark.read.schema(BLOCKS).parquet(f"{folder}/blocks").mapInArrow(
-        lean(rows, "token_file"), "doc bigint, shard int, seq bigint, start bigint, n bigint, whole bigint, crc bigint"
+        lean(rows), "doc bigint, shard int, seq bigint, start bigint, n bigint, whole bigint, crc bigint"
     )
 
 
